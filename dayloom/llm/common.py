@@ -171,3 +171,12 @@ def signed(x: np.ndarray) -> np.ndarray:
 def frame_sizes(df: DataFrame, per: int, *more) -> int:
     """How many groups of about ``per`` rows the frame makes (one at least)."""
     return max(1, -(-df.select(F.lit(1)).count() // per))
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join on ``keys`` in which null equals null; the left side's keys stay."""
+    renamed = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c) for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from dayloom.llm import token_files
+from dayloom.llm import decontaminate, mixing, token_files, url_filter
 
 
 def queries() -> dict:
     return {
+        "op5_url_filter": url_filter.op5,
+        "op6_mixing": mixing.op6,
+        "op7_decontaminate": decontaminate.op7,
         "op9_token_files": token_files.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_url_filter": url_filter.ORACLE,
+        "op6_mixing": mixing.ORACLE,
+        "op7_decontaminate": decontaminate.ORACLE,
+    }
