@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dayloom.llm import decontaminate, mixing, token_files, url_filter
+from dayloom.llm import decontaminate, langid, mixing, token_files, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op5_url_filter": url_filter.op5,
         "op6_mixing": mixing.op6,
         "op7_decontaminate": decontaminate.op7,
+        "op8_langid": langid.op8,
         "op9_token_files": token_files.op9,
     }
 
