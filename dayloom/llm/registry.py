@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dayloom.llm import decontaminate, langid, mixing, near_dup, token_files, url_filter
+from dayloom.llm import decontaminate, langid, mixing, near_dup, nearest, token_files, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_nearest": nearest.op1,
         "op3_near_dup": near_dup.op3,
         "op5_url_filter": url_filter.op5,
         "op6_mixing": mixing.op6,
@@ -18,6 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_nearest": nearest.op1,
         "op3_near_dup": near_dup.op3,
         "op5_url_filter": url_filter.ORACLE,
         "op6_mixing": mixing.ORACLE,
