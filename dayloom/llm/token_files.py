@@ -19,64 +19,87 @@ An empty table makes empty files. Other columns are not read.
 from __future__ import annotations
 
 import re
-import zlib
+import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import discard, flat, release, scratch, stash, table
+from dayloom.llm.common import discard, flat, pieces, release, scratch, stash, table
 
 #: The longest code, in bits; the decoding table has 2**MAX_BITS entries.
 MAX_BITS = 20
 #: Ids between two checkpoints of a block.
 CHECKPOINT_EVERY = 256
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
-
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
+CACHE_WORDS = 300_000
+
+#: White space on which Python and the tokenizer may disagree, and a capital whose lower case depends on its place.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u0130", "\u03a3")
+#: A comma or full stop beside another mark: they are one pre-token.
+_RUN = re.compile(r"[.,](?=[^\s\w]|_)|(?<=[^\s\w])[.,]|_[.,]")
+#: The same for ASCII: white space, letters and digits, comma and full stop, other marks.
+_KIND = bytes(32 if c in b" \t\n\r\x0b\x0c" else 97 if chr(c).isalnum() else 112 if c in b".," else 113 for c in range(128)) + bytes(128)
 _tokenizers: dict = {}
 
 
+def _lone(text: str) -> bool:
+    """No comma or full stop stands beside another mark."""
+    if not text.isascii():
+        return not _RUN.search(text)
+    kinds = text.encode().translate(_KIND)
+    return b"pp" not in kinds and b"pq" not in kinds and b"qp" not in kinds
+
+
 def _ids_of(path: str, end_id: int):
     """texts -> bytes of their ids (uint32, little-endian), the end id last.
 
-    A pre-token of this tokenizer never crosses white space, so texts are split there and each
-    different word is encoded once; a text with white space on which Python and the tokenizer
-    disagree is encoded as it stands.
+    A pre-token of this tokenizer never crosses white space, nor the place between a letter and a lone
+    comma or full stop, so texts are lower-cased and split there, and each different word is encoded
+    once; a text in which these steps might not agree with the tokenizer's is encoded as it stands.
+    Words of ASCII letters are one pre-token each, which the library's model takes as it stands.
     """
     from tokenizers import Tokenizer
 
-    tok, cache = _tokenizers.setdefault(path, (Tokenizer.from_file(path), {}))
-    end = np.uint32(end_id).tobytes()
+    if path not in _tokenizers:
+        _tokenizers[path] = Tokenizer.from_file(path), {}
+    tok, cache = _tokenizers[path]
+    end, tokenize = np.uint32(end_id).tobytes(), tok.model.tokenize
 
     def encode(items: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(items, add_special_tokens=False)]
 
-    def split(text: str) -> list[str]:
-        out = []
-        for w in text.split():
-            if w[-1] in ",." and len(w) > 1 and w[-2].isalpha():
-                out.append(w[:-1])
-                out.append(w[-1])
+    def encode_words(words: list[str]) -> dict[str, bytes]:
+        out, other = {}, []
+        for w in words:
+            if w.isalpha() and w.isascii():
+                out[w] = array("I", [t.id for t in tokenize(w)]).tobytes()
             else:
-                out.append(w)
+                other.append(w)
+        out.update(zip(other, encode(other), strict=True))
         return out
 
+    def split(text: str) -> list[str] | None:
+        if any(c in text for c in _ODD) or not unicodedata.is_normalized("NFC", text):
+            return None
+        text = text.lower()
+        return (text.replace(",", " , ").replace(".", " . ") if _lone(text) else text).split()
+
     def run(texts: list[str]) -> list[bytes]:
         out = []
-        for at in range(0, len(texts), 512):
-            part = [[] if (odd := _ODD_SPACE.search(t)) else split(t) for t in texts[at : at + 512]]
-            missing = list(set().union(*part) - cache.keys())
-            if len(cache) + len(missing) > CACHE_WORDS:
-                cache.clear()
-                missing = list(set().union(*part))
-            cache.update(zip(missing, encode(missing), strict=True))
-            get = cache.__getitem__
-            for text, words in zip(texts[at : at + 512], part, strict=True):
-                body = b"".join(map(get, words)) if words else encode([text])[0] if text.strip() or odd else b""
-                out.append(body + end)
+        for at in range(0, len(texts), 1024):
+            part = [split(t) for t in texts[at : at + 1024]]
+            words = set().union(*(p for p in part if p))
+            fresh = encode_words([w for w in words if w not in cache])
+            if len(cache) + len(fresh) <= CACHE_WORDS:
+                cache.update(fresh)
+                get = cache.__getitem__
+            else:  # the frequent words are in the cache by now; the others serve this batch
+                get = {w: cache.get(w) or fresh[w] for w in words}.__getitem__
+            for text, p in zip(texts[at : at + 1024], part, strict=True):
+                out.append((encode([text])[0] if p is None else b"".join(map(get, p))) + end)
         return out
 
     return run
@@ -91,8 +114,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame
     def run(batches):
         ids_of = _ids_of(tokenizer_path, end_id)
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for part in pieces(b, "text", 1 << 22):
                 ids = [np.frombuffer(x, "<u4").astype(width).tobytes() for x in ids_of([t or "" for t in part.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
