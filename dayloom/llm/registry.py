@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dayloom.llm import decontaminate, langid, mixing, near_dup, nearest, token_files, url_filter
+from dayloom.llm import decontaminate, langid, mixing, near_dup, nearest, pii, token_files, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_nearest": nearest.op1,
         "op3_near_dup": near_dup.op3,
+        "op4_pii": pii.op4,
         "op5_url_filter": url_filter.op5,
         "op6_mixing": mixing.op6,
         "op7_decontaminate": decontaminate.op7,
@@ -21,6 +22,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_nearest": nearest.op1,
         "op3_near_dup": near_dup.op3,
+        "op4_pii": pii.op4,
         "op5_url_filter": url_filter.ORACLE,
         "op6_mixing": mixing.ORACLE,
         "op7_decontaminate": decontaminate.ORACLE,
