@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dayloom.llm import decontaminate, langid, mixing, near_dup, nearest, pii, token_files, url_filter
+from dayloom.llm import decontaminate, langid, mixing, near_dup, nearest, pii, substring_dedup, token_files, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_nearest": nearest.op1,
+        "op2_substring_dedup": substring_dedup.op2,
         "op3_near_dup": near_dup.op3,
         "op4_pii": pii.op4,
         "op5_url_filter": url_filter.op5,
@@ -21,6 +22,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_nearest": nearest.op1,
+        "op2_substring_dedup": substring_dedup.op2,
         "op3_near_dup": near_dup.op3,
         "op4_pii": pii.op4,
         "op5_url_filter": url_filter.ORACLE,
