@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dayloom.llm import decontaminate, langid, mixing, near_dup, nearest, pii, substring_dedup, token_files, url_filter
+from dayloom.llm import decontaminate, langid, line_dedup, mixing, near_dup, nearest, pii, substring_dedup, token_files, url_filter
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_decontaminate": decontaminate.op7,
         "op8_langid": langid.op8,
         "op9_token_files": token_files.op9,
+        "op10_line_dedup": line_dedup.op10,
     }
 
 

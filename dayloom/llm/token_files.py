@@ -53,56 +53,50 @@ def _lone(text: str) -> bool:
     return b"pp" not in kinds and b"pq" not in kinds and b"qp" not in kinds
 
 
-def _ids_of(path: str, end_id: int):
-    """texts -> bytes of their ids (uint32, little-endian), the end id last.
+class _Words(dict):
+    """The ids of words, as bytes; up to ``CACHE_WORDS`` stay, which the frequent words reach first."""
+
+    def __init__(self, path: str, code: str):
+        from tokenizers import Tokenizer
+
+        self.tok, self.code = Tokenizer.from_file(path), code
+        # the characters that stand for the bytes of a text in byte-level vocabularies
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.table = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(shown))}
+
+    def ids(self, text: str) -> bytes:
+        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha() and max(word) < "\u0250":  # one pre-token, which the library's model takes as bytes
+            plain = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
+            got = array(self.code, [t.id for t in self.tok.model.tokenize(plain)]).tobytes()
+        else:
+            got = self.ids(word)
+        if len(self) < CACHE_WORDS:
+            self[word] = got
+        return got
+
+
+def _ids_of(path: str, end_id: int, code: str = "I"):
+    """texts -> bytes of their ids, the end id last.
 
     A pre-token of this tokenizer never crosses white space, nor the place between a letter and a lone
-    comma or full stop, so texts are lower-cased and split there, and each different word is encoded
-    once; a text in which these steps might not agree with the tokenizer's is encoded as it stands.
-    Words of ASCII letters are one pre-token each, which the library's model takes as it stands.
+    comma or full stop, so texts are lower-cased and split there, and a worker remembers the ids of words.
+    A text in which these steps might not agree with the tokenizer's is encoded as it stands.
     """
-    from tokenizers import Tokenizer
+    if (path, code) not in _tokenizers:
+        _tokenizers[path, code] = _Words(path, code)
+    words = _tokenizers[path, code]
+    end, get = array(code, [end_id]).tobytes(), words.__getitem__
 
-    if path not in _tokenizers:
-        _tokenizers[path] = Tokenizer.from_file(path), {}
-    tok, cache = _tokenizers[path]
-    end, tokenize = np.uint32(end_id).tobytes(), tok.model.tokenize
-
-    def encode(items: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(items, add_special_tokens=False)]
-
-    def encode_words(words: list[str]) -> dict[str, bytes]:
-        out, other = {}, []
-        for w in words:
-            if w.isalpha() and w.isascii():
-                out[w] = array("I", [t.id for t in tokenize(w)]).tobytes()
-            else:
-                other.append(w)
-        out.update(zip(other, encode(other), strict=True))
-        return out
-
-    def split(text: str) -> list[str] | None:
+    def one(text: str) -> bytes:
         if any(c in text for c in _ODD) or not unicodedata.is_normalized("NFC", text):
-            return None
+            return words.ids(text)
         text = text.lower()
-        return (text.replace(",", " , ").replace(".", " . ") if _lone(text) else text).split()
-
-    def run(texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 1024):
-            part = [split(t) for t in texts[at : at + 1024]]
-            words = set().union(*(p for p in part if p))
-            fresh = encode_words([w for w in words if w not in cache])
-            if len(cache) + len(fresh) <= CACHE_WORDS:
-                cache.update(fresh)
-                get = cache.__getitem__
-            else:  # the frequent words are in the cache by now; the others serve this batch
-                get = {w: cache.get(w) or fresh[w] for w in words}.__getitem__
-            for text, p in zip(texts[at : at + 1024], part, strict=True):
-                out.append((encode([text])[0] if p is None else b"".join(map(get, p))) + end)
-        return out
-
-    return run
+        return b"".join(map(get, (text.replace(",", " , ").replace(".", " . ") if _lone(text) else text).split()))
+
+    return lambda texts: [one(t) + end for t in texts]
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
@@ -112,10 +106,10 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame
     width = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
     def run(batches):
-        ids_of = _ids_of(tokenizer_path, end_id)
+        ids_of = _ids_of(tokenizer_path, end_id, "H" if width == "<u2" else "I")
         for b in batches:
             for part in pieces(b, "text", 1 << 22):
-                ids = [np.frombuffer(x, "<u4").astype(width).tobytes() for x in ids_of([t or "" for t in part.column("text").to_pylist()])]
+                ids = ids_of([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
