@@ -1,14 +1,68 @@
-"""A corpus pipeline of the operators in ``dayloom.llm``."""
+"""A corpus pipeline of operators in ``dayloom.llm``: from raw documents to coded token files.
+
+Each stage works on all that the stage before it kept; between stages the rows are written and read
+again. The stages of language, near duplicates, contamination and mixing return the columns of
+``documents``; the last one returns a row per document of the token files, read back from them.
+
+Null texts and texts without letters go in the first stage. An empty table passes through all stages.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dayloom.llm import decontaminate, langid, mixing, near_dup, token_files
+from dayloom.llm.common import join_on, stash, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language can be told go."""
+    model = langid.learn(docs.filter(~langid.held_out()).select("doc_id", "lang", "text"))
+    return langid.predict(docs, model).filter("lang_pred <> 'und'").drop("lang_pred", "score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    kept = near_dup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    marked = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id", "text_hash").distinct()
+    keyed = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
+    return join_on(keyed, marked, ["doc_id", "text_hash"], "left_anti").drop("text_hash")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in the proportions of their weights: documents repeat, or are taken in part."""
+    return mixing.mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix."""
+    return token_files.digest(token_files.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("language ID", language),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", contamination),
+    ("mixing sources to target weights", mix),
+    ("token-ID / binary output", tokens),
+]
+
+#: Language, near-duplicate and token stages are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply STAGES to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stash(docs, f"stage{i}")
     return docs
