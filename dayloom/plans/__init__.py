@@ -1,11 +1,17 @@
-"""Named queries over the driver tables, each with the SQL that checks it."""
+"""Named queries over the driver tables, each with the SQL that checks it (where SQL can)."""
 
 from __future__ import annotations
 
 
+def _all() -> dict:
+    from dayloom.plans import dashboard
+
+    return dashboard.QUERIES
+
+
 def queries() -> dict:
-    return {}
+    return {name: fn for name, (fn, _) in _all().items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _all().items() if sql}
