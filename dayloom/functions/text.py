@@ -50,12 +50,17 @@ def page_description(html) -> Column:
     return F.coalesce(og, _tag(html, r"(?i)<meta[^>]*name=[\"']description[\"'][^>]*content=[\"']([^\"']*)[\"']"), F.lit(""))
 
 
-def page_text(html, most: int = 1000) -> Column:
-    """The body's text without scripts, styles and tags, blanks collapsed, at most ``most`` characters (a preview)."""
+def page_text(html) -> Column:
+    """The body's text without scripts, styles and tags, blanks collapsed."""
     body = F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1)
     for pattern in (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"<[^>]+>"):
         body = F.regexp_replace(body, pattern, " ")
-    return F.substring(F.btrim(F.regexp_replace(body, BLANK + "+", " ")), 1, most)
+    return F.btrim(F.regexp_replace(body, BLANK + "+", " "))
+
+
+def preview(text, most: int = 1000) -> Column:
+    """The beginning of a text, as a link's preview shows it."""
+    return F.substring(text, 1, most)
 
 
 def is_web_url(url) -> Column:

@@ -158,13 +158,26 @@ def enriched_bookmarks(bookmarks: DataFrame, authors: DataFrame, media: DataFram
     )
 
 
+def numbered(df: DataFrame, key: str, order: str, name: str, chunk: int = 100_000) -> DataFrame:
+    """Adds the row's number (from 0) among those of its key, by a whole-number order.
+
+    A key's rows are numbered in chunks of the order's range, and the chunks' counts are summed: a key with
+    very many rows is spread over tasks.
+    """
+    c = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    sizes = c.groupBy(key, "_chunk").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(order)) - 1
+    return c.withColumn(name, own).join(sizes, [key, "_chunk"]).withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_chunk", "_before")
+
+
 def unique_slugs(posts: DataFrame, base: str = "base", order: str = "id") -> DataFrame:
     """Adds ``slug``: the base for the first post that has it, then base-1, base-2 and so on.
 
     A suffix that would meet another post's natural base is skipped: a base's free suffixes are its numbers without the taken ones.
     """
-    w = Window.partitionBy(base).orderBy(order)
-    n = posts.withColumn("_nth", F.row_number().over(w) - 1)
+    n = numbered(posts, base, order, "_nth")
     stem = F.regexp_extract(base, r"^(.*)-(\d+)$", 1)
     number = F.regexp_extract(base, r"^(.*)-(\d+)$", 2)
     taken = posts.filter(F.col(base).rlike(r"^.*-[1-9]\d{0,8}$")).select(stem.alias("_stem"), number.cast("int").alias("_k")).distinct()

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _all() -> dict:
-    from dayloom.plans import dashboard
+    from dayloom.plans import calendar, content, dashboard
 
-    return dashboard.QUERIES
+    return {**dashboard.QUERIES, **content.QUERIES, **calendar.QUERIES}
 
 
 def queries() -> dict:

@@ -141,7 +141,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-    return d.select(F.col("doc_id").alias("id"), F.array_join(F.slice(F.split(F.substring("text", 1, 200), r"\s+"), 1, 2), " ").alias("title"), F.substring("text", 1, 80).alias("excerpt"), F.array("lang", "source").alias("tags"), F.col("text").alias("content"))
+    return d.select(F.col("doc_id").alias("id"), F.array_join(F.slice(F.split("text", r"\s+", 3), 1, 2), " ").alias("title"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("excerpt"), F.array("lang", "source").alias("tags"), F.col("text").alias("content"))
 
 
 def bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,8 +189,8 @@ SQL = {
       CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'Service Not Configured' WHEN event_type IN ('error', 'signup') THEN 'API key is missing' END AS message,
       CASE WHEN event_id % 6 = 0 THEN 0.0 WHEN event_id % 5 = 0 THEN NULL ELSE value END AS latency FROM events""",
     "transactions": "SELECT o_orderkey AS id, o_custkey AS user_id, o_totalprice AS amount, CASE WHEN o_orderstatus = 'F' THEN 'credit' ELSE 'debit' END AS type, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders",
-    "posts": r"SELECT doc_id AS id, array_to_string(string_split_regex(substr(text, 1, 200), '\s+')[1:2], ' ') AS title, substr(text, 1, 80) AS excerpt, [lang, source] AS tags, text AS content FROM documents",
-    "lines": "SELECT l_orderkey, list({'n': l_linenumber, 'p': l_partkey, 'h': l_returnflag || l_linestatus} ORDER BY l_linenumber, l_partkey) AS lines FROM lineitem GROUP BY 1",
+    "posts": r"SELECT doc_id AS id, array_to_string(string_split_regex(text, '\s+')[1:2], ' ') AS title, split_part(text, chr(10), 1) AS excerpt, [lang, source] AS tags, text AS content FROM documents",
+    "lines": "SELECT l_orderkey, list({'n': l_linenumber, 'p': l_partkey, 'h': l_returnflag || l_linestatus} ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) AS lines FROM lineitem GROUP BY 1",
     "bookmarks": """SELECT o_orderkey AS id, 'bookmark ' || o_orderkey AS text, o_orderdate AS created_at, CASE WHEN o_orderkey % 6 <> 0 THEN o_custkey END AS author_id,
       CASE WHEN o_orderkey % 4 <> 0 THEN [CAST(x.p AS VARCHAR) FOR x IN lines] END AS media_keys,
       CASE WHEN o_orderkey % 3 <> 0 THEN ['https://example.com/p/' || x.p FOR x IN lines] END AS urls, [x.h FOR x IN lines] AS hashtags,
