@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def fixed(x, places: int) -> Column:
-    """Fixed decimals, rounding the exact binary value (1.45 gives 1.4)."""
-    exact = F.format_string("%.40f", x).cast("decimal(38,18)")
-    return F.format_string(f"%.{places}f", F.round(exact, places).cast("double"))
+    """Fixed decimals, rounding the exact binary value (1.45 gives 1.4). For values below 10**12."""
+    size = F.abs(x)
+    part = ((size - F.floor(size)) * float(1 << 60)).cast("long").cast("decimal(20,0)") / F.lit(1 << 60).cast("decimal(20,0)")
+    exact = F.floor(size).cast("decimal(12,0)") + F.round(part, places).cast(f"decimal(20,{places})")
+    return F.concat(F.when(x < 0, "-").otherwise(""), exact.cast(f"decimal(24,{places})").cast("string"))
 
 
 def signed_amount(kind, amount) -> Column:
