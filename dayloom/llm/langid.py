@@ -104,7 +104,10 @@ class Model:
     def __init__(self, names: list[str], symbol: np.ndarray, tables: list[np.ndarray]):
         self.names, self.symbol = names, symbol
         self.starts = np.concatenate([[0], np.cumsum([len(t) for t in tables])[:-1]]).astype(np.int32)
-        self.table = np.concatenate([np.where(t >= 0, t + s, -1).astype(np.int32) for t, s in zip(tables, self.starts, strict=True)]).reshape(-1)
+        # the last state has no transitions: a text stands there before it begins, and after a letter that the sample lacks
+        none = np.full((1, SYMBOLS), -1, np.int32)
+        self.table = np.concatenate([*(np.where(t >= 0, t + s, -1).astype(np.int32) for t, s in zip(tables, self.starts, strict=True)), none]).reshape(-1)
+        self.outside = len(self.table) // SYMBOLS - 1
 
     def phrases(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Phrases of each stretch (ending at ``ends``) against each language; the stretches advance together."""
@@ -116,10 +119,10 @@ class Model:
         active = np.searchsorted(-length, -np.arange(1, steps + 1), side="right")
         total = np.zeros((len(ends), len(self.names)), np.int64)
         for i, root in enumerate(self.starts):
-            state = np.full(len(ends), root, np.int32)
-            count = np.ones(len(ends), np.int32)
+            state = np.full(len(ends), self.outside, np.int64)
+            count = np.zeros(len(ends), np.int32)
             again = self.table[root * SYMBOLS : (root + 1) * SYMBOLS].copy()
-            again[again < 0] = root  # a letter that the sample lacks is a phrase
+            again[again < 0] = self.outside
             for step, k in enumerate(active.tolist()):
                 c = codes[starts[:k] + step]
                 to = self.table[state[:k] * SYMBOLS + c]
@@ -163,7 +166,8 @@ def learn(docs: DataFrame) -> Model | None:
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
+    """``docs`` with ``lang_pred`` and ``score`` (which replace columns of these names)."""
+    docs = docs.drop("lang_pred", "score")
     if model is None:
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the samples' size and number

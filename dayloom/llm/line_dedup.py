@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import SHINGLE_C, Rolling, flat, join_on, mix, pieces, second, signed, table
+from dayloom.llm.common import SHINGLE_C, Rolling, flat, mix, pieces, second, signed, table
 
 ROLL, MODULUS, LEAST_LINES = 2, 4, 2
 #: Bytes of chunks that a task remembers in order to drop its own repeats.
@@ -104,21 +104,20 @@ def _later(batches):
         yield b.select(["id", "th", "number"]).take(pa.array(keep, pa.int64()))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("th", F.xxhash64(text)).withColumn("text", text)
+COUNTS = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` reduced, and ``n_lines``, ``n_chunks``, ``n_removed_chunks``, ``n_removed_lines``."""
-    keyed = _keyed(docs)
+    """``docs`` with ``text`` reduced, and ``n_lines``, ``n_chunks``, ``n_removed_chunks``, ``n_removed_lines`` (which replace columns of these names)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.drop(*COUNTS)
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64(text), "text": text})
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = keyed.select("id", "th", "text").mapInArrow(_chunk_rows, _ROW)
+    rows = keyed.select(F.col("__id").alias("id"), F.col("__th").alias("th"), "text").mapInArrow(_chunk_rows, _ROW)
     gone = rows.repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2", "id", "th", "number").mapInArrow(_later, "id long, th long, number int")
-    gone = gone.groupBy("id", "th").agg(F.collect_set("number").alias("gone"))
-    own = [c for c in docs.columns if c not in ("id", "th", "gone")]
-    both = join_on(keyed, gone, ["id", "th"], "left").select(*own, "gone")
-    counts = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
+    gone = gone.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("number").alias("__gone"))
+    own = docs.columns
+    both = keyed.join(gone, ["__id", "__th"], "left").select(*own, "__gone")
 
     def run(batches):
         for whole in batches:
@@ -128,7 +127,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
                 raw = buf.tobytes()
                 begin = np.searchsorted(doc, np.arange(b.num_rows + 1))
                 texts, table_ = [], []
-                for i, gone_ in enumerate(b.column("gone").to_pylist()):
+                for i, gone_ in enumerate(b.column("__gone").to_pylist()):
                     s = slice(begin[i], begin[i + 1])
                     out = set(gone_ or ())
                     kept = [k for k in range(s.start, s.stop) if number[k] not in out]
@@ -137,9 +136,9 @@ def dedupe(docs: DataFrame) -> DataFrame:
                     table_.append((total, s.stop - s.start, len(out), total - int(sum(lines[k] for k in kept))))
                 cols = [pa.array(texts, b.schema.field("text").type) if c == "text" else b.column(c) for c in own]
                 cols += [pa.array([r[k] for r in table_], pa.int64()) for k in range(4)]
-                yield pa.RecordBatch.from_arrays(cols, [*own, *counts])
+                yield pa.RecordBatch.from_arrays(cols, [*own, *COUNTS])
 
-    schema = both.select(*own, *[F.lit(0).cast("long").alias(c) for c in counts]).schema
+    schema = both.select(*own, *[F.lit(0).cast("long").alias(c) for c in COUNTS]).schema
     return both.mapInArrow(run, schema)
 
 

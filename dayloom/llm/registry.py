@@ -22,10 +22,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_nearest": nearest.op1,
-        "op2_substring_dedup": substring_dedup.op2,
-        "op3_near_dup": near_dup.op3,
-        "op4_pii": pii.op4,
         "op5_url_filter": url_filter.ORACLE,
         "op6_mixing": mixing.ORACLE,
         "op7_decontaminate": decontaminate.ORACLE,
