@@ -41,3 +41,14 @@ def lookup(codes: dict, code, default=None) -> Column:
     """The value of a code in a small fixed table."""
     table = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
     return F.coalesce(F.try_element_at(table, code), F.lit(default))
+
+
+def random_pick(options, *seed) -> Column:
+    """One of an array's elements (null for an empty one), chosen by a hash of the seed columns: reruns agree."""
+    n = F.size(options)
+    return F.when(n > 0, F.element_at(options, (F.pmod(F.xxhash64(*seed), n) + 1).cast("int")))
+
+
+def field_or(arr, name: str, kind: str = "array<string>") -> Column:
+    """A field of an array of structs as an array, empty where there is none."""
+    return F.coalesce(F.transform(arr, lambda x: x[name]), F.array().cast(kind))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,10 +48,15 @@ def delete(target: DataFrame, keys: DataFrame, on=("id",)) -> DataFrame:
 
 
 def get_or_create(members: DataFrame, names: DataFrame, on=("name", "user_id")) -> DataFrame:
-    """The dimension with the missing members added, all at once; ids go on from the largest."""
-    new = names.select(*on).distinct().join(members, list(on), "left_anti")
-    top = members.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    from pyspark.sql import Window
-
-    numbered = new.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.row_number().over(Window.orderBy(*on)))  # one row: top
-    return members.select("id", *on).unionByName(numbered.select("id", *on))
+    """The dimension with the missing members added, all at once; ids go on from the largest, in the order of a hash.
+
+    The new members are numbered in 256 chunks of the hash's range, whose counts are summed: no task sees them all.
+    """
+    hashed = F.md5(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in on]))
+    new = names.select(*on).distinct().join(members, list(on), "left_anti").withColumn("_h", hashed).withColumn("_chunk", F.substring("_h", 1, 2))
+    before = F.sum("_n").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))  # 256 rows at most
+    chunks = new.groupBy("_chunk").agg(F.count("*").alias("_n")).select("_chunk", F.coalesce(before, F.lit(0)).alias("_before"))
+    top = members.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    nth = F.row_number().over(Window.partitionBy("_chunk").orderBy("_h", *on))
+    numbered = new.withColumn("_nth", nth).join(F.broadcast(chunks.crossJoin(top)), "_chunk")  # one row: top
+    return members.select("id", *on).unionByName(numbered.select((F.col("_top") + F.col("_before") + F.col("_nth")).alias("id"), *on))

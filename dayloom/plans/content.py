@@ -43,6 +43,15 @@ def prompt_templates(spark, d):
     return tags.select("id", filled.alias("prompt"), clause.alias("clause"), text.leading_int(F.concat(F.col("seed"), F.lit("abc"))).alias("number"))
 
 
+def quarter_slots(spark, d):
+    return T.quarters(spark)
+
+
+def style_picks(spark, d):
+    styles = F.array(*map(F.lit, ("plain", "formal", "playful")))
+    return T.prompts(spark, d).select("id", arrays.random_pick(styles, F.lit("style"), F.col("id")).alias("style"))
+
+
 def bookmark_enrich(spark, d):
     b = T.bookmarks(spark, d)
     authors = T.table(spark, d, "customer", "c_custkey", "c_name").filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
@@ -184,12 +193,14 @@ QUERIES = {
     "tag_get_or_create": (tag_get_or_create, with_views("""
         , old AS (SELECT min(id) AS id, name, 1::BIGINT AS user_id FROM tags GROUP BY name HAVING min(id) % 2 = 0),
         new AS (SELECT DISTINCT name FROM tags WHERE (name LIKE 'Brand#1%' OR name LIKE 'Brand#2%') AND name NOT IN (SELECT name FROM old))
-        SELECT * FROM old UNION ALL SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY name) AS id, name, 1::BIGINT AS user_id FROM new""", "tags")),
+        SELECT * FROM old UNION ALL SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY md5(name || chr(31) || '1'), name) AS id, name, 1::BIGINT AS user_id FROM new""", "tags")),
     "prompt_templates": (prompt_templates, with_views("""
         , s AS (SELECT id, name, CASE id % 3 WHEN 0 THEN CAST(id AS VARCHAR) WHEN 1 THEN '' ELSE name END AS seed FROM tags)
         SELECT id, trim('Topic: ' || name || ' ' || CASE WHEN seed <> '' THEN 'Seed: ' || seed || ' ' ELSE '' END) AS prompt,
           CASE id % 3 WHEN 0 THEN 'Use the number ' || seed || '.' WHEN 2 THEN 'Write about ' || seed || '.' ELSE '' END AS clause,
           CASE id % 3 WHEN 0 THEN id END AS number FROM s""", "tags")),
+    "quarter_slots": (quarter_slots, "SELECT (i // 4)::INTEGER AS hour, (i % 4 * 15)::INTEGER AS minute, printf('%02d:%02d', i // 4, i % 4 * 15) AS label FROM range(96) t(i)"),
+    "style_picks": (style_picks, None),
     "bookmark_enrich": (bookmark_enrich, _B("""
         SELECT id, coalesce(c_name, 'Unknown') AS author_name, CASE WHEN p_partkey % 2 = 0 THEN 'preview/' || p_partkey ELSE 'm/' || p_partkey END AS media_url,
           coalesce(array_to_string(urls, ' '), '') AS urls, coalesce(array_to_string(hashtags, ' '), '') AS hashtags, domain AS context_domain

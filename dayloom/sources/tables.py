@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dayloom.sources.schemas import BOOKMARK_PAGE
+
 DAY = "yyyy-MM-dd"
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -63,6 +65,19 @@ def probe(spark: SparkSession, sf_dir: str, names) -> DataFrame:
     return spark.createDataFrame(rows, "name string, ok boolean, message string")
 
 
+def bookmark_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bookmarks, authors and media of JSON pages: the schema is declared, never inferred; each table is its own scan of the columns it needs."""
+    pages = spark.read.schema(BOOKMARK_PAGE).option("multiLine", "true").json(path)
+    part = lambda c: pages.select(F.explode(c).alias("x")).select("x.*")
+    return part("data"), part("includes.users"), part("includes.media")
+
+
+def quarters(spark: SparkSession) -> DataFrame:
+    """The 96 starts of a quarter of an hour: ``hour``, ``minute``, ``label``."""
+    q = spark.range(96).select((F.col("id") / 4).cast("int").alias("hour"), (F.col("id") % 4 * 15).cast("int").alias("minute"))
+    return q.withColumn("label", F.format_string("%02d:%02d", "hour", "minute"))
+
+
 # --- views over the driver's tables ---------------------------------------------------------
 
 

@@ -184,3 +184,21 @@ def test_change_feed_batch_and_stream_agree(spark, tmp_path):
         q.awaitTermination()
     fields = spark.createDataFrame([], "id long, seq long, value double").schema
     assert as_dict(cdc.state_at(spark, state, 2, fields)) == want
+
+
+def test_bookmark_pages_and_file_list(spark, tmp_path):
+    page = tmp_path / "pages" / "a.json"
+    page.parent.mkdir()
+    page.write_text('{"data": [{"id": "1", "text": "t", "author_id": "u", "attachments": {"media_keys": ["m"]}}, {"id": "2"}], "includes": {"users": [{"id": "u", "name": "n"}]}}')
+    marks, users, media = T.bookmark_pages(spark, str(page.parent))
+    assert marks.count() == 2 and users.first().name == "n" and media.count() == 0
+    got = A.enriched_bookmarks(marks, users, media)
+    assert {r.id: r.author_name for r in got.collect()} == {"1": "n", "2": "Unknown"}
+    assert [tuple(r) for r in T.files(spark, str(page.parent), "https://files.example").collect()] == [("a.json", "https://files.example/a.json")]
+
+
+def test_random_pick_is_seeded(spark):
+    df = spark.range(300).select("id", arrays.random_pick(F.array(F.lit("a"), F.lit("b")), F.lit(1), F.col("id")).alias("x"))
+    first = [r.x for r in df.orderBy("id").collect()]
+    assert first == [r.x for r in df.orderBy("id").collect()] and set(first) == {"a", "b"}
+    assert one(spark, arrays.random_pick(F.array().cast("array<string>"), F.lit(1)))[0] is None
