@@ -30,11 +30,13 @@ from dayloom.llm.common import SHINGLE_C, Rolling, discard, flat, join_on, mix,
 
 LENGTH, GRAM = 100, 32
 #: Blocks of one gram that are brought together, and rows that a task refines at a time.
-MOST_GROUP, REFINE_ROWS = 16_384, 16_384
+MOST_GROUP, REFINE_ROWS = 8192, 4096
 #: A longer document is read in overlapping segments of this many bytes.
-SEGMENT = 1 << 23
+SEGMENT = 1 << 22
+#: Bytes of text that are worked on at a time.
+PIECE = 1 << 20
 #: Blocks among which a task drops its own repeats at a time.
-LOCAL_ROWS = 1 << 21
+LOCAL_ROWS = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -74,7 +76,7 @@ def blocks(buf: np.ndarray, off: np.ndarray):
 def _segments(batches):
     """(ids, hashes, bytes, offsets, where the bytes begin in the document) of some documents, or of a part of a long one."""
     for whole in batches:
-        for b in pieces(whole, "text"):
+        for b in pieces(whole, "text", PIECE):
             buf, off = flat(b.column("text"))
             ids, th = b.column("id").to_numpy(), b.column("th").to_numpy()
             if len(buf) <= SEGMENT:
@@ -233,7 +235,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     def cut(batches):
         for b in batches:
-            for part in pieces(b, "text", 1 << 20):
+            for part in pieces(b, "text", PIECE):
                 buf, off = flat(part.column("text"))
                 lists = part.column("blocks")
                 rows = pa.Table.from_struct_array(lists.flatten())
@@ -282,7 +284,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for b in pieces(whole, "text"):
+            for b in pieces(whole, "text", PIECE):
                 buf, off = flat(b.column("text"))
                 lists = b.column("runs")
                 gone = np.zeros(len(buf) + 1, np.int32)
