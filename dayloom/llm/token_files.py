@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from array import array
 
 import numpy as np
@@ -60,6 +61,7 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tok, self.code = Tokenizer.from_file(path), code
+        self.tokenize = self.tok.model.tokenize
         # the characters that stand for the bytes of a text in byte-level vocabularies
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.table = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(shown))}
@@ -70,7 +72,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if word.isalpha() and max(word) < "\u0250":  # one pre-token, which the library's model takes as bytes
             plain = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
-            got = array(self.code, [t.id for t in self.tok.model.tokenize(plain)]).tobytes()
+            got = array(self.code, [t.id for t in self.tokenize(plain)]).tobytes()
         else:
             got = self.ids(word)
         if len(self) < CACHE_WORDS:
@@ -251,8 +253,11 @@ def write_files(tokens: DataFrame, path: str) -> None:
     discard(coded)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id``, ``start``, ``n_tokens`` and ``ids`` (binary, little-endian unsigned 32-bit), decoded from the files."""
+def read_files(spark: SparkSession, path: str, name: str = "ids", kind: str = "binary", take=bytes) -> DataFrame:
+    """``doc_id``, ``start``, ``n_tokens`` and ``ids`` (binary, little-endian unsigned 32-bit), decoded from the files.
+
+    ``take`` may turn a document's id bytes into something smaller where only that is wanted.
+    """
     lengths = {r["id"]: r["length"] for r in spark.read.schema("id long, length int").parquet(f"{path}/codebook").collect()}
     ids, length, _ = canonical(lengths)
     span = np.left_shift(1, MAX_BITS - length)
@@ -272,8 +277,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                 checks = [flat_checks[i:j] for i, j in zip(off[:-1], off[1:], strict=True)]
                 out = _decode(b.column("bits").to_pylist(), counts, checks, symbol, lens).astype("<u4")
                 ends = np.cumsum(counts)
-                docs = [out[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(docs, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                docs = [take(out[e - n : e].data) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(docs, pa.binary() if kind == "binary" else pa.int64())], ["doc_id", "start", "n_tokens", name])
 
     blocks = spark.read.schema("doc_id long, n_tokens long, bits binary, checkpoints array<long>, part int, local_start long").parquet(f"{path}/blocks")
     # one row per output partition, summed over those before it
@@ -284,26 +289,26 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         before += totals[part]
     offsets = F.broadcast(spark.createDataFrame(rows, "part int, before long"))
     placed = blocks.join(offsets, "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "bits", "checkpoints")
-    return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(decode, f"doc_id long, start long, n_tokens long, {name} {kind}")
 
 
-def digest(files: DataFrame) -> DataFrame:
-    """``doc_id``, ``start``, ``n_tokens`` and the CRC-32 of the decoded ids."""
-    return files.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+def read_digest(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id``, ``start``, ``n_tokens`` and ``ids_crc32``, the CRC-32 of the ids decoded from the files."""
+    return read_files(spark, path, "ids_crc32", "long", zlib.crc32)
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    """Tokenise ``docs``, write the files to the shared folder and return what is read back."""
+def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> str:
+    """Tokenise ``docs`` and write the files below a new path in the shared folder, which is returned."""
     spark, path = docs.sparkSession, scratch(docs.sparkSession, "tokens")
     tokens = tokenise(docs, tokenizer_path, end_id)
     meta = {"width": int(_width(tokens)[2])}
     kept = stash(tokens, "ids").withMetadata("ids", meta)
     write_files(kept, path)
     release(spark)
-    return read_files(spark, path)
+    return path
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digest(encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return read_digest(spark, encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
