@@ -114,19 +114,24 @@ def _with_context(found: DataFrame) -> DataFrame:
 
 def disclosing(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """``kind``, ``value``, ``term``, ``pmi``, ``ic`` of the terms that give a value away."""
-    near = found.select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.kind", "x.value", F.explode("x.terms").alias("term")).distinct()
-    together = stash(near.groupBy("kind", "value", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support), "together")
+    n = found.select("text_hash").distinct().count()
+    mentions = stash(found.select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.kind", "x.value", "x.terms").distinct(), "mentions")
+    entities = mentions.select("text_hash", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_e"))
+    near = mentions.select("text_hash", "kind", "value", F.explode("terms").alias("term")).distinct()
+    # a term stands in at least as many texts as it stands in near any entity: what that rules out isn't counted further
+    least = near.select("text_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    together = near.groupBy("kind", "value", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support).join(entities, ["kind", "value"]).join(least, "term")
+    most = F.col("n_te") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - alpha))
+    together = stash(together.filter(F.col("least") <= most + 1e-6 * most).drop("least"), "together")
     terms = together.select("term").distinct()
     few = terms.count()
     if not few:
         return together.select("kind", "value", "term", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("ic"))
-    mentions = found.select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.kind", "x.value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_e"))
-    n = found.select("text_hash").distinct().count()
     text = F.col("text").cast("string")
     held = docs.select(F.xxhash64(text).alias("text_hash"), F.explode(F.array_distinct(F.split(F.lower(text), _NOT_WORD))).alias("term"))
     held = held.join(F.broadcast(terms) if few <= BROADCAST_TERMS else terms, "term", "left_semi").distinct()
     counted = held.groupBy("term").agg(F.count("*").alias("n_t"))
-    all_ = together.join(mentions, ["kind", "value"]).join(counted, "term")
+    all_ = together.join(counted, "term")
     all_ = all_.withColumn("pmi", F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))).withColumn("ic", F.log2(F.lit(float(n)) / F.col("n_e")))
     return all_.filter((F.col("pmi") >= alpha * F.col("ic")) & (F.col("pmi") > 0)).select("kind", "value", "term", "pmi", "ic")
 
