@@ -19,8 +19,8 @@ from dayloom.llm.common import join_on, stash, table
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be told go."""
-    model = langid.learn(docs.filter(~langid.held_out()).select("doc_id", "lang", "text"))
-    return langid.predict(docs, model).filter("lang_pred <> 'und'").drop("lang_pred", "score")
+    sample = langid.learn(docs.filter(~langid.held_out()).select("doc_id", "lang", "text"))
+    return langid.predict(docs, sample).filter("lang_pred <> 'und'").drop("lang_pred", "score")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix."""
-    return token_files.digest(token_files.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return token_files.read_digest(spark, token_files.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [

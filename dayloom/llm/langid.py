@@ -6,7 +6,7 @@ the next phrase begins after it. The language that needs the fewest phrases per
 
 The samples are bounded: ``SAMPLE_CHARS`` characters a language, from the labelled documents that come
 first by a hash of their id, at most ``DOC_CHARS`` of each; at most ``MOST_LANGUAGES`` languages, the most
-frequent. Each automaton is built in a task of its own from that bounded sample. Every text is parsed
+frequent. The samples are broadcast, and a worker builds the automata from them once. Every text is parsed
 whole, in stretches of ``STRETCH`` characters side by side (a phrase ends at the end of a stretch).
 
 Letters are lower-cased; all else becomes one space. Null text, or text without letters: ``und`` with
@@ -28,10 +28,10 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from dayloom.llm.common import pieces, table
 
-SAMPLE_CHARS, DOC_CHARS, MOST_LANGUAGES = 40_000, 2_000, 64
+SAMPLE_CHARS, DOC_CHARS, MOST_LANGUAGES = 30_000, 2_000, 64
 STRETCH = 1024
 #: Symbols of the automata: 0 the space, 1 any letter no sample holds, then the samples' most frequent letters.
-SYMBOLS = 96
+SYMBOLS = 64
 
 
 def _letters(text: str) -> str:
@@ -72,20 +72,28 @@ def automaton(codes: list[int], symbols: int = SYMBOLS) -> np.ndarray:
     return out
 
 
-def samples(docs: DataFrame) -> DataFrame:
-    """``lang`` and ``sample``: bounded text of each language. A task keeps what a language may need at most."""
-    marked = docs.filter("lang is not null and text is not null").select(
-        F.col("lang").cast("string").alias("lang"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("sample")).alias("chance"), F.substring("text", 1, DOC_CHARS).alias("text")
-    )
-    # the first documents of each language within each task, then over all: a bounded heap per language and task
-    need = SAMPLE_CHARS // 100
+#: Documents of a language that may come to its sample, and how many times as many are let near.
+NEED, MARGIN = SAMPLE_CHARS // 100, 50
+
+
+def samples(docs: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """``lang`` and ``sample``: bounded text of each language of ``counts`` (its number of documents).
+
+    Documents are taken by a hash of their id, the lowest first. Only hashes low enough to let about ``NEED * MARGIN``
+    documents of a language through are looked at, and a task keeps no more than a language may need.
+    """
+    chance = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("sample"))
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, NEED * MARGIN / n))])
+    lang = F.col("lang").cast("string")
+    marked = docs.filter(F.col("text").isNotNull() & lang.isin(list(counts)))
+    marked = marked.filter(chance.cast("double") / 2.0**64 + 0.5 <= F.try_element_at(share, lang)).select(lang.alias("lang"), chance.alias("chance"), F.substring("text", 1, DOC_CHARS).alias("text"))
 
     def first(batches):
         kept = None
         for b in batches:
             pdf = b.to_pandas()
             kept = pdf if kept is None else pd.concat([kept, pdf])
-            kept = kept.sort_values(["chance", "text"]).groupby("lang", sort=False).head(need)
+            kept = kept.sort_values(["chance", "text"]).groupby("lang", sort=False).head(NEED)
             size = kept["text"].str.len()
             kept = kept[size.groupby(kept["lang"]).cumsum() - size < SAMPLE_CHARS]
         if kept is not None:
@@ -133,48 +141,51 @@ class Model:
         return total
 
 
-def symbols_of(texts: list[str]) -> np.ndarray:
-    """The symbol of every code point, from the letters of the samples."""
+def ranks(texts: list[str]) -> dict[str, int]:
+    """The symbols of the letters of the samples."""
     found = pd.Series([c for t in texts for c in t if c != " "]).value_counts() if any(texts) else pd.Series(dtype=int)
-    rank = {c: i + 2 for i, c in enumerate(sorted(found.index, key=lambda c: (-found[c], c))[: SYMBOLS - 2])}
-    out = np.zeros(0x110000, np.uint8)
-    for i in range(0x110000):
-        c = chr(i)
-        if c.isalpha():
-            low = c.lower()
-            out[i] = rank.get(low[0], 1)
-    return out
+    return {c: i + 2 for i, c in enumerate(sorted(found.index, key=lambda c: (-found[c], c))[: SYMBOLS - 2])}
+
+
+def learn(docs: DataFrame) -> list[tuple[str, str]]:
+    """(language, cleaned sample) of labelled ``docs``, the language with most documents first."""
+    most = docs.filter("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = {r["lang"]: r["n"] for r in most}
+    if not counts:
+        return []
+    got = {r["lang"]: _letters(r["sample"]) for r in samples(docs, counts).collect()}  # bounded, see above
+    return [(n, got[n]) for n in counts if got.get(n)]
 
 
-def learn(docs: DataFrame) -> Model | None:
-    """The model of labelled ``docs``; the samples are cleaned and built into automata in one task per language."""
-    got = samples(docs)
-    names = [r["lang"] for r in docs.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    texts = {r["lang"]: _letters(r["sample"]) for r in got.filter(F.col("lang").isin(names)).collect()}
-    names = [n for n in names if texts.get(n)]
-    if not names:
-        return None
-    symbol = symbols_of([texts[n] for n in names])
-    rows = [(n, symbol[np.frombuffer(texts[n].encode("utf-32-le"), "<u4")].tobytes()) for n in names]
+_models: dict = {}
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": pdf["lang"], "table": [automaton(list(c)).tobytes() for c in pdf["codes"]]})
 
-    built = docs.sparkSession.createDataFrame(rows, "lang string, codes binary").groupBy("lang").applyInPandas(build, "lang string, table binary")
-    tables = {r["lang"]: np.frombuffer(r["table"], np.int32).reshape(-1, SYMBOLS) for r in built.collect()}
-    return Model(names, symbol, [tables[n] for n in names])
+def built(sample: list[tuple[str, str]]) -> Model:
+    """The model of the samples; a worker keeps the last one."""
+    key = hash(tuple(sample))
+    if key not in _models:
+        rank = ranks([t for _, t in sample])
+        symbol = np.zeros(0x110000, np.uint8)
+        for i in range(0x110000):
+            c = chr(i)
+            if c.isalpha():
+                symbol[i] = rank.get(c.lower()[0], 1)
+        tables = [automaton(symbol[np.frombuffer(t.encode("utf-32-le"), "<u4")].tolist()) for _, t in sample]
+        _models.clear()
+        _models[key] = Model([n for n, _ in sample], symbol, tables)
+    return _models[key]
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+def predict(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (which replace columns of these names)."""
     docs = docs.drop("lang_pred", "score")
-    if model is None:
+    if not sample:
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the samples' size and number
+    shared = docs.sparkSession.sparkContext.broadcast(sample)  # bounded by the samples' size and number
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches):
-        m = shared.value
+        m = built(shared.value)
         names = pa.array([*m.names, "und"])
         for whole in batches:
             for b in pieces(whole, "text"):
@@ -219,5 +230,5 @@ def held_out() -> F.Column:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = learn(docs.filter(~held_out()).select("doc_id", "lang", "text"))
-    return predict(docs.select("doc_id", F.col("text").cast("string").alias("text")), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    sample = learn(docs.filter(~held_out()).select("doc_id", "lang", "text"))
+    return predict(docs.select("doc_id", F.col("text").cast("string").alias("text")), sample).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -8,10 +8,12 @@ Jaccard similarity estimated from the registers, less the agreements that chance
 registers make, drops hopeless pairs; the rest is verified on the full sets.
 
 Documents with equal sets form a class, and only its smallest id goes on. In a band's bucket each
-member is first paired with the smallest id only, and of all these pairs each document verifies one.
-Connected components then tell which buckets still hold members of different components; only between
-those are more pairs looked for (in blocks, keeping the estimate's survivors) and verified. So a large
-group of near copies costs its size, not its square, and no link that joins components is left out.
+member is first paired with one centre only, and in each of a few rounds a document verifies the most similar
+of its centres that is not in its component yet. Then only buckets that still hold members of
+different components are compared further, in blocks within a task: the pairs between components that the
+estimate leaves are verified one by one where they are few; where they are many, the block's full sets are
+brought together and only links that join components leave the task. So the pairs that are written or
+moved grow with a group's size, not with its square, and no link that joins components is left out.
 
 Null text, and text without words: an empty set, linked with nothing. Fewer than five words: one shingle
 of all of them. Rows with a null ``doc_id`` are left out. Rows that repeat a ``doc_id`` are one node:
@@ -20,6 +22,7 @@ their links unite. Extra columns are not read; an empty table gives an empty res
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import SHINGLE_C, discard, flat, mix, pieces, signed, stash, table, word_hashes
+from dayloom.llm.common import SHINGLE_C, discard, flat, mix, pieces, release, signed, stash, table, word_hashes
 
 WORDS, BUCKETS, BAND_ROWS = 5, 128, 4
 #: Similarity in hundredths.
@@ -39,6 +42,10 @@ REST_BITS, MANTISSA_BITS = 57, 10
 SIGMAS = 5.0
 #: Members of a bucket that are compared with each other in one task.
 BLOCK = 1000
+#: Rounds in which each document verifies one more of its centres.
+ROUNDS = 2
+#: Hopeful pairs a member up to which a block's pairs are verified one by one.
+DENSE = 4
 
 _rng = np.random.Generator(np.random.PCG64(11))
 PROBES = np.argsort(_rng.random((BUCKETS, BUCKETS)), axis=1)
@@ -89,6 +96,7 @@ def densified(reg: np.ndarray) -> np.ndarray:
     return reg
 
 
+@functools.lru_cache(4096)
 def chance_collisions(n: float, m: float) -> float:
     """Expected number of buckets in which two disjoint sets of n and m hashes get equal registers."""
     total, step = 0.0, 1 << MANTISSA_BITS
@@ -112,12 +120,12 @@ def estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> t
     return (agree - chance) / np.maximum(1.0, used - chance), used
 
 
-def hopeful(a, b, na, nb, similarity: int = SIMILARITY) -> np.ndarray:
-    """Pairs that may reach the similarity: by their sizes, which is exact, and by the estimate with a wide margin."""
+def hopeful(a, b, na, nb, similarity: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that may reach the similarity, by their sizes (exact) and by the estimate with a wide margin; and the estimate."""
     est, used = estimates(a, b, na, nb)
     t = similarity / 100
     sized = 100 * np.minimum(na, nb) >= similarity * np.maximum(na, nb)
-    return sized & (est >= t - SIGMAS * np.sqrt(t * (1 - t) / np.maximum(1, used)) - 0.02)
+    return sized & (est >= t - SIGMAS * np.sqrt(t * (1 - t) / np.maximum(1, used)) - 0.02), est
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
@@ -137,6 +145,11 @@ def _sketch(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
 
 
+def _band_keys(parts: np.ndarray) -> np.ndarray:
+    """The keys of the bands' buckets, from the bands' registers (four in 64 bits) in their order."""
+    return mix(mix(parts) + np.arange(1, parts.shape[-1] + 1, dtype=np.uint64) * SHINGLE_C[20])
+
+
 def _bands(nodes: DataFrame) -> DataFrame:
     """``band`` (a hash of the band's number and registers) and ``doc_id``."""
 
@@ -147,7 +160,7 @@ def _bands(nodes: DataFrame) -> DataFrame:
             regs = np.stack([densified(r) for r in np.frombuffer(flat(b.column("sig"))[0].tobytes(), np.uint16).reshape(-1, BUCKETS)])
             n_bands = BUCKETS // BAND_ROWS
             parts = np.ascontiguousarray(regs).view(np.uint64).reshape(-1, n_bands)
-            keys = mix(mix(parts) + np.arange(1, n_bands + 1, dtype=np.uint64) * SHINGLE_C[20])
+            keys = _band_keys(parts)
             ids = np.repeat(b.column("doc_id").to_numpy(), n_bands)
             yield pa.RecordBatch.from_arrays([pa.array(signed(keys.reshape(-1))), pa.array(ids, pa.int64())], ["band", "doc_id"])
 
@@ -163,10 +176,10 @@ def _survivors(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame
         for b in batches:
             if b.num_rows:
                 sa, sb = (np.frombuffer(flat(b.column(c))[0].tobytes(), np.uint16).reshape(-1, BUCKETS) for c in ("sig_a", "sig_b"))
-                ok = hopeful(sa, sb, b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), similarity)
-                yield b.select(["a", "b"]).filter(pa.array(ok))
+                ok, est = hopeful(sa, sb, b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), similarity)
+                yield b.select(["a", "b"]).append_column("est", pa.array(est)).filter(pa.array(ok))
 
-    return both.select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(run, "a long, b long, est double")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
@@ -221,37 +234,90 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return stash(nodes.select("doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root")), "roots")
 
 
-def _across(bands: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
-    """Hopeful pairs of documents of different components that share a band's bucket."""
-    members = stash(bands.join(labels, "doc_id"), "members")
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members of buckets with several components, once for every pair of blocks of their bucket."""
     mixed = members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-    mixed = mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    m = members.join(mixed, "band").join(nodes.select("doc_id", "sig", "n_shingles"), "doc_id")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    m = m.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    m = members.select("band", "doc_id", "root").join(mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band")
+    m = m.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return m.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "root")
+
+
+def _rest_of(key: tuple, x: int, ids, own, root) -> np.ndarray:
+    """The members that a block pair compares with member x: of another component, each pair once."""
+    y = np.flatnonzero((own == key[2]) & (root != root[x]))
+    return y[ids[y] > ids[x]] if key[1] == key[2] else y
+
+
+def _across(blocks: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
+    """Hopeful pairs (``a``, ``b``) of different components in a block pair.
+
+    A block pair with more than ``DENSE`` of them a member gives instead, with ``b`` null, the members that
+    have any: their sets are brought together.
+    """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[1], key[2]
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, BUCKETS)
-        ids, root, n, own_ = (pdf[c].to_numpy() for c in ("doc_id", "root", "n_shingles", "own"))
-        right = np.flatnonzero(own_ == j)
-        a_out, b_out = [], []
-        for x in np.flatnonzero(own_ == i):
-            y = right[root[right] != root[x]]
-            y = y[ids[y] > ids[x]] if i == j else y
+        ids, root, n, own = (pdf[c].to_numpy() for c in ("doc_id", "root", "n_shingles", "own"))
+        shared = np.stack([densified(r) for r in sig]).view(np.uint64)
+        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in np.flatnonzero(own == key[1]):
+            y = _rest_of(key, x, ids, own, root)
+            if len(y):
+                # a pair is looked at in its first common band only
+                first = (shared[y] == shared[x]).argmax(axis=1)
+                y = y[signed(_band_keys(shared[x]))[first] == key[0]]
             if len(y):
-                y = y[hopeful(np.broadcast_to(sig[x], (len(y), BUCKETS)), sig[y], np.broadcast_to(n[x], len(y)), n[y], similarity)]
-                a_out.append(np.minimum(ids[y], ids[x]))
-                b_out.append(np.maximum(ids[y], ids[x]))
-        cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": cat(a_out), "b": cat(b_out)})
+                y = y[hopeful(np.broadcast_to(sig[x], (len(y), BUCKETS)), sig[y], np.broadcast_to(n[x], len(y)), n[y], similarity)[0]]
+                a_out.append(np.full(len(y), ids[x]))
+                b_out.append(ids[y])
+        a, b = np.concatenate(a_out), pd.Series(np.concatenate(b_out), dtype="Int64")
+        if len(a) > DENSE * len(pdf):
+            a = np.unique(np.concatenate([a, b.to_numpy(np.int64)]))
+            b = pd.Series([pd.NA] * len(a), dtype="Int64")
+        return pd.DataFrame({"band": key[0], "i": key[1], "j": key[2], "a": a, "b": b})
 
-    return m.select("band", "i", "j", "own", "doc_id", "root", "n_shingles", "sig").groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    m = blocks.join(nodes.select("doc_id", "sig", "n_shingles"), "doc_id")
+    return m.groupBy("band", "i", "j").applyInPandas(run, "band long, i int, j int, a long, b long")
+
+
+def _dense_links(dense: DataFrame, blocks: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
+    """Links between components in dense block pairs, from full sets, as many as it takes to join the components."""
+
+    def sets(batches):
+        for whole in batches:
+            for b in pieces(whole, "text"):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in shingle_sets(b.column("text"))], pa.binary())], ["doc_id", "shingles"])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, root, own = (pdf[c].to_numpy() for c in ("doc_id", "root", "own"))
+        each = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        size = np.array([len(x) for x in each])
+        names, code = np.unique(np.concatenate(each), return_inverse=True)
+        begin = np.cumsum(size) - size
+        mark, group = np.zeros(len(names), np.int64), root.copy()
+        a_out, b_out = [], []
+        for x in np.flatnonzero(own == key[1]):
+            mark[code[begin[x] : begin[x] + size[x]]] = 1
+            both = np.add.reduceat(mark[code], begin)
+            mark[code[begin[x] : begin[x] + size[x]]] = 0
+            y = _rest_of(key, x, ids, own, root)
+            y = y[100 * both[y] >= similarity * (size[x] + size[y] - both[y])]
+            for k in y:
+                if group[k] != group[x]:
+                    a_out.append(ids[x])
+                    b_out.append(ids[k])
+                    group[group == group[k]] = group[x]
+        return pd.DataFrame({"a": np.array(a_out, np.int64), "b": np.array(b_out, np.int64)})
+
+    own = blocks.join(dense.select("band", "i", "j", F.col("a").alias("doc_id")), ["band", "i", "j", "doc_id"])
+    some = texts.join(own.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    m = own.join(some.mapInArrow(sets, "doc_id long, shingles binary"), "doc_id")
+    return m.groupBy("band", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
+    spark = docs.sparkSession
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = stash(_sketch(docs), "sketches")
     classes = stash(rows.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
@@ -259,14 +325,40 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     nodes = classes.select("doc_id", "n_shingles", "sig")
     texts = docs.join(nodes.select("doc_id"), "doc_id", "left_semi")
     bands = stash(_bands(nodes), "bands")
-    centres = bands.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
-    stars = bands.join(centres, "band").filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    hope = _survivors(stars, nodes, similarity)
-    one = hope.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stash(_verified(one, texts, similarity), "links")
-    labels = _labelled(nodes, links)
-    more = stash(_across(bands, labels, nodes, similarity), "across")
-    links = links.union(_verified(more, texts, similarity))
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stash(bands.join(sizes, "band"), "shared")
+    discard(bands)
+    release(spark)
+    # a bucket's centre is the member with most company in all its buckets
+    company = shared.groupBy("doc_id").agg(F.sum("n").alias("company"))
+    centres = shared.join(company, "doc_id").groupBy("band").agg(F.max(F.struct("company", -F.col("doc_id"))).alias("x")).select("band", (-F.col("x")["col2"]).alias("a"))
+    stars = shared.join(centres, "band").filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    hope = stash(_survivors(stars, nodes, similarity), "hope")
+    release(spark)
+    links, labels = None, nodes.select("doc_id", F.col("doc_id").alias("root"))
+    for _ in range(ROUNDS):
+        # of its centres in other components each document verifies the most similar one
+        side = lambda k: labels.withColumnsRenamed({"doc_id": k, "root": f"root_{k}"})
+        apart = hope.join(side("a"), "a").join(side("b"), "b").filter("root_a <> root_b")
+        one = stash(apart.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b"), "one")
+        if one.isEmpty():
+            break
+        found = stash(_verified(one, texts, similarity), "links")
+        links = found if links is None else links.union(found)
+        labels = _labelled(nodes, links)
+        hope = hope.join(one, ["a", "b"], "left_anti")
+        release(spark)
+    if links is None:
+        links = stash(nodes.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0), "links")
+    blocks = stash(_blocks(shared.join(labels, "doc_id")), "blocks")
+    found = stash(_across(blocks, nodes, similarity), "across")
+    release(spark)
+    links = links.union(_verified(found.filter("b is not null").select("a", "b"), texts, similarity))
+    dense = found.filter("b is null")
+    if not dense.isEmpty():
+        links = links.union(_dense_links(dense, blocks, texts, similarity))
+    links = stash(links, "links")
+    release(spark)
     # equal sets, and rows that repeat an id, hang on their class
     roots = components(links.union(same.filter("a <> b")))
     out = rows.select("doc_id", "n_shingles").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")

@@ -223,7 +223,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = keyed(docs).select("id", "th", "text")
-    marked = stash(_mark_first(source.mapInArrow(_all_blocks, _ROW)), "blocks")
+    marked = _mark_first(source.mapInArrow(_all_blocks, _ROW))
+    marked = stash(marked.select(F.when(~F.col("again"), F.col("k1")).alias("k1"), "id", "th", "lo", "n", "again"), "blocks")
     release(spark)
     runs = stash(marked.filter("again").select("id", "th", "lo", "n"), "runs")
     firsts = marked.filter("not again").select("k1", "id", "th", "lo", "n")
