@@ -1,15 +1,18 @@
 """Personal data: fixed patterns, and terms that the corpus shows to reveal a protected value.
 
-Patterns (see ``KINDS``) give base spans. Each different value found is a protected entity. A term near a
-mention (within ``CONTEXT`` characters) is measured by corpus co-occurrence: with N different texts,
-n_e that mention the entity, n_t that hold the term and n_te in which the term stands near a mention,
+Patterns (see ``KINDS``) give base spans. Each different value found is a protected entity. Every term of a
+text that mentions it is measured by corpus co-occurrence: with N different texts, n_e that mention the
+entity, n_t that hold the term and n_te that do both,
 
     PMI(t; e) = log2(N n_te / (n_t n_e))        IC(e) = log2(N / n_e)
 
-and a term with PMI >= ``ALPHA`` IC gives away that share of the entity's information. Such terms, if
-``SUPPORT`` different texts bear them out, get spans of kind ``term`` wherever they stand in a document
-that mentions the entity (outside base spans). ``sanitise`` generalises base spans to their kind and
-removes terms.
+and a term with PMI >= ``ALPHA`` IC gives away that share of the entity's information. Such a term counts if
+so many common texts are no chance: under independence the probability of n_te or more is at most
+C(n_e, n_te) C(n_t, n_te) / C(N, n_te), which must not exceed ``LEVEL``. For an entity of a single text that is n_t / N.
+Disclosing terms get spans of kind ``term`` wherever they stand in a text that mentions the entity (outside
+base spans). ``sanitise`` generalises base spans to their kind and removes terms.
+
+Entities that the very same texts mention share all counts and are measured once, as a group.
 
 DataFrame operations only. Counts are over different texts, so copies prove nothing. Null text counts as
 empty. Rows may repeat and ids may be null: results are by row. Extra columns are not read. Empty
@@ -18,6 +21,8 @@ tables give empty results.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +40,9 @@ KINDS = {
 }
 #: What a text must hold for the kind's pattern to be worth a try.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-CONTEXT, SUPPORT, ALPHA = 80, 3, 0.9
-#: Terms up to which their list is broadcast; beyond it, it is joined by shuffle.
-BROADCAST_TERMS = 200_000
-_NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD_CHAR = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+ALPHA, LEVEL = 0.9, 0.01
+_NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _luhn(value) -> F.Column:
@@ -66,15 +69,16 @@ def _check(kind: str):
 _SPAN = "struct<start:int,end:int,value:string>"
 
 
-def _placed(text, pattern) -> F.Column:
-    """Start, end and value of each match, from the pieces between the matches."""
+def _placed(text, pattern, wanted=None) -> F.Column:
+    """Start, end and value of each match (that is ``wanted``), from the pieces between the matches."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("out"))
+        more = F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
+        return F.struct(end.alias("at"), (more if wanted is None else F.when(wanted(x["value"]), more).otherwise(acc["out"])).alias("out"))
 
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
     return F.aggregate(pairs, first, step, lambda acc: acc["out"])
@@ -92,64 +96,78 @@ def find(docs: DataFrame) -> DataFrame:
     return out
 
 
-def _with_context(found: DataFrame) -> DataFrame:
-    """Replaces ``text`` by ``near``: the values with the terms around their mentions."""
-    t = F.col("text")
+def _with_entities(found: DataFrame) -> DataFrame:
+    """Adds ``entities``, the different values; ``text`` stays where there are any."""
+
+    def entity(kind):
+        return lambda x: F.struct(F.lit(kind).alias("kind"), x["value"].alias("value"))
+
+    all_ = F.array_distinct(F.concat(*[F.transform(F.col(k), entity(k)) for k in KINDS]))
+    return found.withColumn("entities", all_).withColumn("text", F.when(F.size("entities") > 0, F.col("text")))
+
+
+def _terms(texts: DataFrame) -> DataFrame:
+    """``text_hash`` and each different word of ``text``, lower-cased, as ``term``."""
+    words = F.transform(F.array_distinct(F.split("text", _NOT_WORD)), F.lower)
+    return texts.select("text_hash", F.explode(F.array_distinct(words)).alias("term")).filter("term <> ''")
+
+
+def _ln_choose(n, k) -> F.Column:
+    def ln_factorial(x):  # Ramanujan's
+        x = x.cast("double")
+        return F.when(x <= 1, 0.0).otherwise(x * F.log(x) - x + F.log(x * (1 + 4 * x * (1 + 2 * x))) / 6 + math.log(math.pi) / 2)
+
+    return ln_factorial(n) - ln_factorial(k) - ln_factorial(n - k)
+
 
-    def terms(x):
-        lo = F.greatest(x["start"] - CONTEXT, F.lit(0))
-        before = F.split(F.lower(F.substring(t, lo + 1, x["start"] - lo)), _NOT_WORD)
-        after = F.split(F.lower(F.substring(t, x["end"] + 1, F.lit(CONTEXT))), _NOT_WORD)
-        # the word at a cut may be a part
-        before = F.when(lo > 0, F.slice(before, 2, CONTEXT)).otherwise(before)
-        after = F.slice(after, 1, F.greatest(F.size(after) - 1, F.lit(0)))
-        return F.filter(F.array_distinct(F.concat(before, after)), lambda w: (F.length(w) >= 4) & ~w.rlike("[0-9]"))
+def _telling(n: int, n_t: str, alpha: float, level: float) -> F.Column:
+    """Whether counts disclose; once false, it stays so for any larger ``n_t``."""
+    n, n_t, n_e, n_te = F.lit(float(n)), F.col(n_t), F.col("n_e"), F.col("n_te")
+    most = n_te * F.pow(n / n_e, F.lit(1 - alpha))
+    chance = _ln_choose(n_e, n_te) + _ln_choose(n_t, n_te) - _ln_choose(n, n_te)
+    return (n_t <= most + 1e-9 * most) & (n_t * n_e < n * n_te) & (chance <= math.log(level) + 1e-9)
 
-    def mention(kind):
-        return lambda x: F.struct(F.lit(kind).alias("kind"), x["value"].alias("value"), terms(x).alias("terms"))
 
-    near = [F.transform(F.col(k), mention(k)) for k in KINDS]
-    return found.withColumn("near", F.concat(*near)).drop("text")
+_GROUP = ["n_e", "g1", "g2"]
 
 
-def disclosing(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """``kind``, ``value``, ``term``, ``pmi``, ``ic`` of the terms that give a value away."""
+def disclosing(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
+    """``text_hash`` and ``term`` of the terms that give away an entity of the text, with the largest ``share`` PMI / IC."""
     n = found.select("text_hash").distinct().count()
-    mentions = stash(found.select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.kind", "x.value", "x.terms").distinct(), "mentions")
-    entities = mentions.select("text_hash", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_e"))
-    near = mentions.select("text_hash", "kind", "value", F.explode("terms").alias("term")).distinct()
-    # a term stands in at least as many texts as it stands in near any entity: what that rules out isn't counted further
-    least = near.select("text_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("least"))
-    together = near.groupBy("kind", "value", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support).join(entities, ["kind", "value"]).join(least, "term")
-    most = F.col("n_te") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - alpha))
-    together = stash(together.filter(F.col("least") <= most + 1e-6 * most).drop("least"), "together")
-    terms = together.select("term").distinct()
-    few = terms.count()
-    if not few:
-        return together.select("kind", "value", "term", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("ic"))
+    mentions = stash(found.select("text_hash", F.explode("entities").alias("x")).select("text_hash", "x.kind", "x.value").distinct(), "mentions")
+    marks = [F.bit_xor(F.xxhash64("text_hash", F.lit(k))).alias(f"g{k}") for k in (1, 2)]
+    entities = mentions.groupBy("kind", "value").agg(F.count("*").alias("n_e"), *marks)
+    groups = stash(mentions.join(entities, ["kind", "value"]).select("text_hash", *_GROUP).distinct(), "groups")
+    near = stash(_terms(found.filter("text is not null")).distinct(), "near")
+    # a term stands in at least as many texts as it stands in with any entity: what that rules out isn't counted further
+    least = near.groupBy("term").agg(F.count("*").alias("least"))
+    widest = groups.groupBy("text_hash").agg(F.max("n_e").alias("widest"))
+    most = F.pow(F.col("widest"), F.lit(alpha)) * F.pow(F.lit(float(n)), F.lit(1 - alpha))
+    some = near.join(widest, "text_hash").join(least, "term").filter(F.col("least") <= most + 1e-9 * most)
+    pairs = stash(some.select("text_hash", "term", "least").join(groups, "text_hash").groupBy(*_GROUP, "term", "least").agg(F.count("*").alias("n_te")).filter(_telling(n, "least", alpha, level)).drop("least"), "pairs")
+    # one row of each different text, so that tasks add up their counts before the shuffle
     text = F.col("text").cast("string")
-    held = docs.select(F.xxhash64(text).alias("text_hash"), F.explode(F.array_distinct(F.split(F.lower(text), _NOT_WORD))).alias("term"))
-    held = held.join(F.broadcast(terms) if few <= BROADCAST_TERMS else terms, "term", "left_semi").distinct()
-    counted = held.groupBy("term").agg(F.count("*").alias("n_t"))
-    all_ = together.join(counted, "term")
-    all_ = all_.withColumn("pmi", F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))).withColumn("ic", F.log2(F.lit(float(n)) / F.col("n_e")))
-    return all_.filter((F.col("pmi") >= alpha * F.col("ic")) & (F.col("pmi") > 0)).select("kind", "value", "term", "pmi", "ic")
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).dropDuplicates(["text_hash"])
+    counted = _terms(texts).groupBy("term").agg(F.count("*").alias("n_t"))
+    telling = pairs.join(counted, "term").filter(_telling(n, "n_t", alpha, level))
+    share = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.lit(float(n)) / F.col("n_e"))
+    telling = telling.select(*_GROUP, "term", share.alias("share"))
+    # the group's texts that hold the term
+    return groups.join(telling, _GROUP).join(near, ["text_hash", "term"]).groupBy("text_hash", "term").agg(F.max("share").alias("share"))
 
 
-def spans(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def spans(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
     """``doc_id``, ``text_hash``, an array of spans per kind, and ``term``: the disclosing terms' spans."""
-    found = stash(_with_context(find(docs)), "found")
-    telling = stash(disclosing(found, docs, alpha, support), "telling")
-    key = ["doc_id", "text_hash"]
-    told = found.select(*key, F.explode("near").alias("x")).select(*key, "x.kind", "x.value").distinct().join(telling, ["kind", "value"]).select(*key, "term").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text")).dropDuplicates(key)
-    base = found.select(*key, F.concat(*[F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in KINDS]).alias("base")).dropDuplicates(key)
-    rows = join_on(join_on(told, base, key), texts, key)
-    pattern = F.concat(F.lit(f"(?iu)(?<!{_WORD_CHAR})\\Q"), F.col("term"), F.lit(f"\\E(?!{_WORD_CHAR})"))
-    clear = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    placed = rows.select(*key, F.explode(F.filter(_placed(F.col("text"), pattern), clear)).alias("x"))
-    term = placed.groupBy(*key).agg(F.array_sort(F.collect_set("x")).alias("term"))
-    return join_on(found.drop("near"), term, key, "left").withColumn("term", F.coalesce("term", F.array().cast(f"array<{_SPAN}>")))
+    found = stash(_with_entities(find(docs)), "found")
+    told = stash(disclosing(found, docs, alpha, level).groupBy("text_hash").agg(F.collect_set("term").alias("terms")), "told")
+    base = F.concat(*[F.col(k) for k in KINDS])
+    clear = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    placed = F.filter(_placed(F.col("text"), F.lit(_WORD), lambda w: F.array_contains("terms", F.lower(w))), clear)
+    none = F.array().cast(f"array<{_SPAN}>")
+    own = ["doc_id", "text_hash", *KINDS]
+    mentioning = found.filter("text is not null").join(told, "text_hash", "left")
+    mentioning = mentioning.select(*own, F.when(F.col("terms").isNotNull(), placed).otherwise(none).alias("term"))
+    return mentioning.unionByName(found.filter("text is null").select(*own, none.alias("term")))
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
