@@ -6,6 +6,11 @@ survive insertions before them. A chunk of at least ``LEAST_LINES`` lines that s
 too, by (document, place), is removed, after its bytes are compared with the first one's. What stays of a
 document are its other lines, joined by ``\\n``.
 
+A repeat that holds no two boundaries is no chunk, so with ``whole_runs`` every two lines in a row are looked up too,
+by a 128-bit BLAKE2b digest of their bytes: those that stand earlier in the corpus are removed. A run of
+``LEAST_LINES`` lines or more is repeated just if each two of its lines in a row are, so all of it goes, wherever
+it begins and ends. A chunk counts as removed if all its lines are.
+
 A task first drops its own repeats, so that a chunk repeated any number of times sends a reducer at
 most a few rows a task. Chunks whose hashes agree and whose bytes differ are kept apart.
 
@@ -16,6 +21,8 @@ first. Extra columns pass through ``dedupe``; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,6 +34,8 @@ from dayloom.llm.common import SHINGLE_C, Rolling, flat, mix, pieces, second, si
 ROLL, MODULUS, LEAST_LINES = 2, 4, 2
 #: Bytes of chunks that a task remembers in order to drop its own repeats.
 LOCAL_BYTES = 1 << 26
+#: The same for pairs of lines: how many.
+LOCAL_PAIRS = 300_000
 
 
 def closed(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,10 +113,60 @@ def _later(batches):
         yield b.select(["id", "th", "number"]).take(pa.array(keep, pa.int64()))
 
 
+_PAIR = "k1 long, k2 long, id long, th long, number int"
+
+
+def _pair_rows(batches):
+    """Digests and places of two lines in a row; of those a task has seen already, only the place, under a key of its own."""
+    seen: dict[bytes, tuple] = {}
+    for whole in batches:
+        for b in pieces(whole, "text"):
+            buf, off = closed(b.column("text"))
+            ids, th = b.column("id").to_pylist(), b.column("th").to_pylist()
+            end = np.flatnonzero(buf == 10)
+            doc = np.searchsorted(off, end, side="right") - 1
+            start = np.concatenate([[0], end[:-1] + 1])[: len(end)]
+            line = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            pair = np.flatnonzero(doc[1:] == doc[:-1])
+            raw, keys, places = buf.tobytes(), [], []
+            for a, z, d, n in zip(start[pair].tolist(), end[pair + 1].tolist(), doc[pair].tolist(), line[pair].tolist(), strict=True):
+                key, place = hashlib.blake2b(raw[a:z], digest_size=16).digest(), (ids[d], th[d], n)
+                if seen.setdefault(key, place) < place:  # an earlier one of this task will stand for it
+                    key = b"".join(x.to_bytes(8, "little", signed=True) for x in (ids[d], th[d])) + b"%d" % n
+                    key, place = hashlib.blake2b(key, digest_size=16, person=b"place").digest(), (ids[d], th[d], -1 - n)
+                else:
+                    seen[key] = place
+                keys.append(key)
+                places.append(place)
+            if len(seen) > LOCAL_PAIRS:
+                seen.clear()
+            k = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+            i, t, n = (list(x) for x in zip(*places, strict=True)) if places else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(i, pa.int64()), pa.array(t, pa.int64()), pa.array(n, pa.int32())], ["k1", "k2", "id", "th", "number"])
+
+
+def _later_pairs(batches):
+    """The places of all pairs of lines but the first of each digest, numbered -1 and down; rows come sorted by key and place."""
+    first = np.zeros((0, 5), np.int64)  # key and place of the last key's first row
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = np.concatenate([first, np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("k1", "k2", "id", "th", "number")], axis=1)])
+        new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+        head = rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        # rows that repeat id and text are one document
+        again = (rows[:, 2:] != head[:, 2:]).any(axis=1)[len(first) :]
+        ids, th, n = rows[len(first) :, 2:].T
+        first = head[-1:]
+        at = np.flatnonzero(again | (n < 0))
+        number = np.where(n < 0, n, -1 - n)[at].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(th[at]), pa.array(number)], ["id", "th", "number"])
+
+
 COUNTS = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
 
 
-def dedupe(docs: DataFrame) -> DataFrame:
+def dedupe(docs: DataFrame, whole_runs: bool = False) -> DataFrame:
     """``docs`` with ``text`` reduced, and ``n_lines``, ``n_chunks``, ``n_removed_chunks``, ``n_removed_lines`` (which replace columns of these names)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.drop(*COUNTS)
@@ -115,6 +174,9 @@ def dedupe(docs: DataFrame) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed.select(F.col("__id").alias("id"), F.col("__th").alias("th"), "text").mapInArrow(_chunk_rows, _ROW)
     gone = rows.repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2", "id", "th", "number").mapInArrow(_later, "id long, th long, number int")
+    if whole_runs:
+        pairs = keyed.select(F.col("__id").alias("id"), F.col("__th").alias("th"), "text").mapInArrow(_pair_rows, _PAIR).repartition(n, "k1", "k2")
+        gone = gone.union(pairs.sortWithinPartitions("k1", "k2", "id", "th", "number").mapInArrow(_later_pairs, "id long, th long, number int"))
     gone = gone.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("number").alias("__gone"))
     own = docs.columns
     both = keyed.join(gone, ["__id", "__th"], "left").select(*own, "__gone")
@@ -123,17 +185,25 @@ def dedupe(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for b in pieces(whole, "text"):
                 buf, off = closed(b.column("text"))
-                doc, number, lines, a, z, _, _ = chunks(buf, off)
+                doc, _, lines, *_ = chunks(buf, off)
                 raw = buf.tobytes()
                 begin = np.searchsorted(doc, np.arange(b.num_rows + 1))
                 texts, table_ = [], []
                 for i, gone_ in enumerate(b.column("__gone").to_pylist()):
                     s = slice(begin[i], begin[i + 1])
-                    out = set(gone_ or ())
-                    kept = [k for k in range(s.start, s.stop) if number[k] not in out]
-                    texts.append(b"\n".join(raw[a[k] : z[k]] for k in kept).decode() if out else raw[off[i] : off[i + 1] - 1].decode())
-                    total = int(lines[s].sum())
-                    table_.append((total, s.stop - s.start, len(out), total - int(sum(lines[k] for k in kept))))
+                    out = {k for k in gone_ or () if k >= 0}
+                    size = lines[s]
+                    total = int(size.sum())
+                    stays = np.repeat([k not in out for k in range(len(size))], size)
+                    for k in gone_ or ():
+                        if k < 0:
+                            stays[-1 - k : 1 - k] = False
+                    text = raw[off[i] : off[i + 1] - 1]
+                    if not stays.all():
+                        text = b"\n".join(x for x, y in zip(text.split(b"\n"), stays.tolist(), strict=True) if y)
+                    kept = np.add.reduceat(stays.astype(np.int64), np.cumsum(size) - size)
+                    texts.append(text.decode())
+                    table_.append((total, len(size), int((kept == 0).sum()), total - int(stays.sum())))
                 cols = [pa.array(texts, b.schema.field("text").type) if c == "text" else b.column(c) for c in own]
                 cols += [pa.array([r[k] for r in table_], pa.int64()) for k in range(4)]
                 yield pa.RecordBatch.from_arrays(cols, [*own, *COUNTS])
@@ -143,5 +213,5 @@ def dedupe(docs: DataFrame) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"), whole_runs=True)
     return out.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256"))
