@@ -62,6 +62,7 @@ class _Words(dict):
 
         self.tok, self.code = Tokenizer.from_file(path), code
         self.tokenize = self.tok.model.tokenize
+        self.added = tuple(t.content.lower() for t in self.tok.get_added_tokens_decoder().values())
         # the characters that stand for the bytes of a text in byte-level vocabularies
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.table = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(shown))}
@@ -95,7 +96,9 @@ def _ids_of(path: str, end_id: int, code: str = "I"):
     def one(text: str) -> bytes:
         if any(c in text for c in _ODD) or not unicodedata.is_normalized("NFC", text):
             return words.ids(text)
-        text = text.lower()
+        raw, text = text, text.lower()
+        if any(a in text for a in words.added):  # the library looks for added tokens before it lower-cases
+            return words.ids(raw)
         return b"".join(map(get, (text.replace(",", " , ").replace(".", " . ") if _lone(text) else text).split()))
 
     return lambda texts: [one(t) + end for t in texts]
