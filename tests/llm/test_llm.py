@@ -293,19 +293,6 @@ def test_language_odd(spark, odd):
     assert langid.predict(odd, []).filter("lang_pred <> 'und'").count() == 0
 
 
-def test_automaton_counts_longest_matches():
-    text, other = [2, 3, 2, 4, 2, 3, 3], [2, 3, 4, 2, 3, 3, 9, 2, 4]
-    m = langid.Model(["x"], np.zeros(1, np.uint8), [langid.automaton(text)])
-    phrases, at, s = 0, 0, "".join(map(chr, text))
-    while at < len(other):
-        n = 1
-        while at + n < len(other) and "".join(map(chr, other[at : at + n + 1])) in s:
-            n += 1
-        at, phrases = at + n, phrases + 1
-    got = int(m.phrases(np.array(other), np.array([len(other)]))[0, 0])
-    assert got == phrases == 4
-
-
 # --- token files
 
 
