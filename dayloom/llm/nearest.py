@@ -1,139 +1,253 @@
 """Approximate nearest neighbours with a hash-prefix forest.
 
 Each of ``TREES`` trees gives a vector a string of ``BITS`` signs of random projections. A tree is the
-sorted array of these strings: the vectors that share a prefix with a query lie side by side, so
-descending to the longest match is a binary search. All trees ascend together, a bit at a time, until
-they hold ``SHARE`` of the shard's vectors as different candidates, which are then scored exactly.
-
-Vectors are dealt to shards by a hash of their id, and queries to blocks, so that a task holds one shard's
-forest and one block of queries; the best of each shard are merged by rank. Shards grow with the square
-root of the table (between bounds), and so does their number. Vectors without much structure need a
-large share of candidates for high recall; ``SHARE`` is the knob between recall and work, and a shard of
-up to ``EXACT_ROWS`` vectors is searched whole.
+sorted array of these strings: the vectors that share a prefix with a query lie side by side in it, so
+descending to the longest match is a binary search. All trees ascend together, a bit at a time, until the
+stretches that share the query's prefix hold ``want(n)`` vectors in all trees together (a vector counts once
+a tree). Only these candidates are scored.
+
+As Spark jobs: a tree is cut by its strings' first bits into groups of about ``GROUP`` strings, and a group is
+the sorted array of one task. In the first pass the queries meet their group of each tree and count the
+matches at each depth; the counts are summed over the trees, and a query takes the deepest level that holds
+enough (above the groups, the groups' own counts are summed). In the second pass the queries go to the groups below
+their prefixes and are scored against the stretch, by 8-bit codes of the unit vectors; the ``ROUGH`` best of all trees are
+scored again from the original vectors. So a vector moves once a tree, as a code, however many
+queries there are, and scores are worked out for the forest's candidates only. Groups that stay large because their vectors
+share the first bits are cut into blocks of a bounded size, which each of their queries visits.
+
+Equal vectors are one entry of the forest, with their ``k + 1`` smallest ids (no more can be in an answer, as ties
+go to the smaller id), and equal queries are asked once; so a vector that a third of all rows hold costs no more than any other.
+
+Vectors without much structure need many candidates for high recall; ``want`` is the knob. It grows as the number of vectors
+to the power of 0.8, so the share of the table that is scored falls as the table grows.
 
 Vectors that are null, zero, or hold nulls or non-finite components take no part. Vectors of different
-lengths are not compared. Rows that repeat an id count once as a candidate, by their best score, and as
-a query by their smallest vector. Ties go to the smaller id. Rows with a null id are left out. An empty
-table gives an empty result, and extra columns are not read.
+lengths are not compared. Rows that repeat an id are one vector, the smallest of them. Rows with a null id are
+left out. Fewer than k candidates: all of them. An empty table gives an empty result, and extra columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import table
+from dayloom.llm.common import discard, stash, table
 
-TREES, BITS, SHARE = 96, 24, 0.4
-EXACT_ROWS = 512
-#: Bounds of a shard, and queries of a block.
-LEAST_SHARD, MOST_SHARD, QUERY_BLOCK = 2048, 1 << 18, 1024
+TREES, BITS = 48, 32
+#: Strings of a group, about; and numbers that a block of a group holds.
+GROUP, BLOCK_NUMBERS = 4096, 1 << 20
+#: Candidates that a tree's group hands on, and those that are scored from the original vectors.
+KEEP, ROUGH = 12, 24
 
 
-def projections(dim: int, trees: int = TREES, bits: int = BITS) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(5)).standard_normal((dim, trees * bits), dtype=np.float32)
+def want(n: int) -> int:
+    """How many candidates (counted once a tree) a query ascends for, among n vectors."""
+    return max(512, math.ceil(3.4 * n**0.8))
 
 
-def strings(x: np.ndarray, planes: np.ndarray, trees: int = TREES, bits: int = BITS) -> np.ndarray:
-    """The hash string of each vector in each tree, as an integer: (vectors, trees)."""
-    out = np.empty((len(x), trees), np.int64)
-    for at in range(0, len(x), 4096):
-        part = x[at : at + 4096]
-        unit = (part / np.abs(part).max(axis=1, keepdims=True)).astype(np.float32)  # only the signs matter
-        signs = np.packbits(((unit @ planes) > 0).reshape(-1, trees, bits), axis=2)
-        out[at : at + 4096] = signs.astype(np.int64) @ (1 << np.arange(8 * (signs.shape[2] - 1), -1, -8, dtype=np.int64)) >> (-bits % 8)
-    return out
+@functools.lru_cache(4)
+def projections(dim: int) -> np.ndarray:
+    """The trees' projections: (dim, TREES * BITS); those of a tree are orthogonal where there is room."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    planes = rng.standard_normal((TREES, dim, BITS))
+    if dim >= BITS:
+        for t in range(TREES):
+            q, r = np.linalg.qr(planes[t])
+            planes[t] = q * np.sign(np.diag(r))
+    return planes.transpose(1, 0, 2).reshape(dim, TREES * BITS).astype(np.float32)
 
 
-class Forest:
-    """The sorted arrays of one shard."""
+def strings(unit: np.ndarray) -> np.ndarray:
+    """The hash string of each vector in each tree, as an integer: (vectors, TREES)."""
+    signs = np.packbits(((unit @ projections(unit.shape[1])) > 0).reshape(len(unit), TREES, BITS), axis=2)
+    return np.ascontiguousarray(signs).view(">u4")[:, :, 0].astype(np.int64)
 
-    def __init__(self, x: np.ndarray, share: float = SHARE):
-        self.x, self.norm = x, np.sqrt((x * x).sum(axis=1))
-        self.planes = projections(x.shape[1])
-        keys = strings(x, self.planes)
-        self.order = np.argsort(keys, axis=0, kind="stable").T.copy()
-        self.keys = np.take_along_axis(keys.T, self.order, axis=1)
-        self.want = min(len(x), max(math.ceil(share * len(x)), EXACT_ROWS))
 
-    def candidates(self, q: np.ndarray):
-        """Row numbers of the candidates of each query."""
-        keys = strings(q, self.planes)
-        lo, hi = (np.empty((TREES, BITS + 1, len(q)), np.int64) for _ in range(2))
-        for t in range(TREES):
-            for depth in range(BITS + 1):
-                prefix = keys[:, t] >> (BITS - depth)
-                lo[t, depth] = np.searchsorted(self.keys[t], prefix << (BITS - depth))
-                hi[t, depth] = np.searchsorted(self.keys[t], (prefix + 1) << (BITS - depth))
-        total = (hi - lo).sum(axis=0)
-        for i in range(len(q)):
-            found = np.zeros(len(self.x), bool)
-            depth = int(np.flatnonzero(total[:, i] >= self.want).max())  # counting repeats: no deeper level can do
-            while True:
-                for t in range(TREES):
-                    found[self.order[t, lo[t, depth, i] : hi[t, depth, i]]] = True
-                if depth == 0 or np.count_nonzero(found) >= self.want:
-                    break
-                depth -= 1
-            yield np.flatnonzero(found)
-
-    def nearest(self, q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-        out = []
-        norm = np.sqrt((q * q).sum(axis=1))
-        rough = (q / norm[:, None]) @ (self.x / self.norm[:, None]).T
-
-        def best(i: int, rows: np.ndarray) -> list[tuple]:
-            score = (self.x[rows] * q[i]).sum(axis=1) / (self.norm[rows] * norm[i])
-            got: dict[int, float] = {}
-            for n in np.lexsort((ids[rows], -score)):
-                if len(got) == k:
-                    break
-                got.setdefault(ids[rows[n]], score[n])
-            return [(q_ids[i], v, s) for v, s in got.items()]
-
-        for i, rows in enumerate(self.candidates(q)):
-            rows = rows[ids[rows] != q_ids[i]]
-            # a product of matrices rounds by position: it only picks whom to score
-            about = rough[i, rows]
-            few = rows[about >= np.partition(about, -4 * k)[-4 * k] - 1e-9] if len(rows) > 4 * k else rows
-            got = best(i, few)
-            out += got if len(got) == k or len(few) == len(rows) else best(i, rows)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": np.int64, "vec_id": np.int64, "score": float})
+def units(v: pa.Array) -> np.ndarray:
+    x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """``vec_id`` and ``v`` (doubles) of the vectors that take part."""
+    """``vec_id`` and ``v`` (doubles) of the vectors that take part, one an id."""
     v = F.col(column).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.select(F.col("vec_id").cast("long"), v.alias("v"), bad.alias("bad"), F.exists(v, lambda x: x != 0).alias("some")).filter("vec_id is not null and v is not null and not bad and some").select("vec_id", "v")
-
-
-def search(vectors: DataFrame, is_query, k: int = 5, share: float = SHARE) -> DataFrame:
+    some = vectors.select(F.col("vec_id").cast("long"), v.alias("v"), bad.alias("bad"), F.exists(v, lambda x: x != 0).alias("some"))
+    return some.filter("vec_id is not null and v is not null and not bad and some").groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def _by_length(b: pa.RecordBatch):
+    """Parts of a batch whose vectors are of one length, of at most 2048 rows."""
+    size = b.column("v").value_lengths().to_numpy()
+    for dim in np.unique(size).tolist():
+        rows = np.flatnonzero(size == dim)
+        for at in range(0, len(rows), 2048):
+            yield dim, b.take(pa.array(rows[at : at + 2048]))
+
+
+def _packed(classes: DataFrame, bits: int, codes: bool) -> DataFrame:
+    """Each tree's strings in bundles by group: ``dim``, ``tree``, ``prefix``, ``mix``, ``n``, ``keys`` and, if asked for, ``ids`` and ``codes``."""
+
+    def run(batches):
+        for whole in batches:
+            for dim, b in _by_length(whole):
+                unit, ids = units(b.column("v")), b.column("vid").to_numpy()
+                key = strings(unit)
+                top = np.abs(unit).max(axis=1, keepdims=True)
+                row = np.concatenate([np.rint(unit / top * 127).astype(np.int8), (top / 127).view(np.int8)], axis=1)
+                for tree in range(TREES):
+                    order = np.argsort(key[:, tree], kind="stable")
+                    sort = key[order, tree]
+                    cut = np.flatnonzero(np.diff(sort >> (BITS - bits), prepend=-1))
+                    ends = np.append(cut[1:], len(sort))
+                    parts = list(zip(cut.tolist(), ends.tolist(), strict=True))
+                    cols = [
+                        pa.array(np.full(len(cut), dim), pa.int32()), pa.array(np.full(len(cut), tree), pa.int32()), pa.array(sort[cut] >> (BITS - bits)), pa.array(ids[order[cut]]),
+                        pa.array(ends - cut, pa.int64()), pa.array([sort[i:j].astype("<u4").tobytes() for i, j in parts], pa.binary()),
+                    ]
+                    if codes:
+                        cols += [pa.array([ids[order[i:j]].astype("<i8").tobytes() for i, j in parts], pa.binary()), pa.array([row[order[i:j]].tobytes() for i, j in parts], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, _PACKED[: len(cols)])
+
+    form = "dim int, tree int, prefix long, mix long, n long, keys binary" + (", ids binary, codes binary" if codes else "")
+    return classes.select("vid", "v").mapInArrow(run, form)
+
+
+_PACKED = ["dim", "tree", "prefix", "mix", "n", "keys", "ids", "codes"]
+_GROUP = ["dim", "tree", "prefix"]
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """``vid``, ``dim``, ``tree``, ``key`` and ``unit`` of each query in each tree."""
+
+    def run(batches):
+        for whole in batches:
+            for dim, b in _by_length(whole):
+                unit = units(b.column("v"))
+                raw = [u.tobytes() for u in unit]
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("vid").take(pa.array(np.repeat(np.arange(n), TREES))), pa.array(np.full(n * TREES, dim), pa.int32()), pa.array(np.tile(np.arange(TREES), n), pa.int32()), pa.array(strings(unit).reshape(-1)), pa.array(raw, pa.binary()).take(pa.array(np.repeat(np.arange(n), TREES)))],
+                    ["vid", "dim", "tree", "key", "unit"],
+                )
+
+    return queries.select("vid", "v").mapInArrow(run, "vid long, dim int, tree int, key long, unit binary")
+
+
+def _depths(classes: DataFrame, asked: DataFrame, groups: DataFrame, bits: int, enough: int) -> DataFrame:
+    """``vid`` and ``depth``: the deepest level at which the trees hold enough matches of a query."""
+    levels = list(range(bits, BITS + 1))
+
+    def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        keys = np.sort(np.frombuffer(b"".join(left["keys"]), "<u4")).astype(np.int64)
+        q = right["key"].to_numpy(np.int64)
+        found = np.zeros((len(q), len(levels)), np.int64)
+        for i, depth in enumerate(levels if len(keys) else ()):
+            low = q >> (BITS - depth) << (BITS - depth)
+            found[:, i] = np.searchsorted(keys, low + (1 << (BITS - depth))) - np.searchsorted(keys, low)
+        return pd.DataFrame({"vid": right["vid"], "found": pd.Series(list(found), index=right.index, dtype=object)})
+
+    own = asked.select("vid", "dim", "tree", "key", F.shiftright("key", BITS - bits).alias("prefix"))
+    met = _sub(_packed(classes, bits, False), groups).groupBy(*_GROUP, "sub").cogroup(_everywhere(own, groups).groupBy(*_GROUP, "sub")).applyInPandas(count, "vid long, found array<long>")
+    total = stash(met.groupBy("vid").agg(F.array(*[F.sum(F.get("found", F.lit(i))) for i in range(len(levels))]).alias("total")), "total")
+    deep = F.array_max(F.transform("total", lambda t, i: F.when(t >= enough, i + bits)))
+    found = total.select("vid", deep.alias("depth"))
+    if not bits:
+        return found.select("vid", F.coalesce("depth", F.lit(0)).alias("depth"))
+    # queries whose groups hold too little ascend above them: there the groups' counts are summed
+    above = F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("depth")
+    up = lambda c, width: F.expr(f"shiftright({c}, {width} - depth)").alias("top")
+    held = groups.select("dim", "tree", "prefix", "n", above).groupBy("dim", "tree", "depth", up("prefix", bits)).agg(F.sum("n").alias("n"))
+    few = found.filter("depth is null").select("vid")
+    high = asked.join(few, "vid", "left_semi").select("vid", "dim", "tree", "key", above).select("vid", "dim", "tree", "depth", up("key", BITS))
+    high = high.join(held, ["dim", "tree", "depth", "top"], "left").groupBy("vid", "depth").agg(F.sum("n").alias("n"))
+    high = high.groupBy("vid").agg(F.coalesce(F.max(F.when(F.col("n") >= enough, F.col("depth"))), F.lit(0)).alias("depth"))
+    return found.filter("depth is not null").unionByName(high)
+
+
+def _sub(packed: DataFrame, groups: DataFrame) -> DataFrame:
+    """The bundles with ``sub``, their block of a large group."""
+    large = groups.filter("blocks > 1").select(*_GROUP, "blocks")
+    return packed.join(large, _GROUP, "left").withColumn("sub", F.pmod(F.xxhash64("mix"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks", "mix")
+
+
+def _everywhere(asked: DataFrame, groups: DataFrame) -> DataFrame:
+    """The queries of a group, once for each of its blocks; queries of groups without vectors go."""
+    return asked.join(groups.select(*_GROUP, "blocks"), _GROUP).withColumn("sub", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).drop("blocks")
+
+
+def _scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """The best of a block for each query: ``vid``, ``other``, ``rough``."""
+    out = []
+    if len(left) and len(right):
+        dim = len(right["unit"].iloc[0]) // 4
+        keys = np.frombuffer(b"".join(left["keys"]), "<u4").astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, ids = keys[order], np.frombuffer(b"".join(left["ids"]), "<i8")[order]
+        rows = np.frombuffer(b"".join(left["codes"]), np.int8).reshape(len(keys), dim + 4)[order]
+        code = rows[:, :dim].astype(np.float32) * np.ascontiguousarray(rows[:, dim:]).view(np.float32)
+        depth, q = right["depth"].to_numpy(np.int64), right["key"].to_numpy(np.int64)
+        low = q >> (BITS - depth) << (BITS - depth)
+        lo, hi = np.searchsorted(keys, low), np.searchsorted(keys, low + (1 << (BITS - depth)))
+        unit = np.frombuffer(b"".join(right["unit"]), np.float32).reshape(-1, dim)
+        asks = right["vid"].to_numpy(np.int64)
+        for i, j in sorted(set(zip(lo.tolist(), hi.tolist(), strict=True))):
+            same = np.flatnonzero((lo == i) & (hi == j)) if j > i else ()
+            for at in range(0, len(same), 256):
+                some = same[at : at + 256]
+                score = unit[some] @ code[i:j].T
+                best = np.argpartition(-score, KEEP, axis=1)[:, :KEEP] if j - i > KEEP else np.broadcast_to(np.arange(j - i), (len(some), j - i))
+                out.append((np.repeat(asks[some], best.shape[1]), ids[i:j][best].reshape(-1), np.take_along_axis(score, best, 1).reshape(-1)))
+    vid, other, rough = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+    return pd.DataFrame({"vid": vid, "other": other, "rough": rough})
+
+
+def candidates(vectors: DataFrame, is_query, k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The classes of equal vectors (``vid``, ``v``, ``ids``), the queries (``query_id``, ``vid``), and their rough best (``vid``, ``other``)."""
+    base = stash(usable(vectors), "vectors")
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    classes = base.withColumn("nth", nth).filter(F.col("nth") <= k + 1).groupBy("v").agg(F.min("vec_id").alias("vid"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    classes = stash(classes, "classes")
+    asks = stash(base.filter(is_query).join(classes.select("v", "vid"), "v").select(F.col("vec_id").alias("query_id"), "vid"), "asks")
+    n = classes.count()
+    bits = max(0, min(BITS // 2, int(math.log2(max(1, n) / max(GROUP, want(n) / TREES)))))
+    asked = _asked(classes.join(asks.select("vid").distinct(), "vid", "left_semi"))
+    most = F.greatest(F.lit(1024), F.lit(BLOCK_NUMBERS) / F.col("dim"))
+    groups = _packed(classes, bits, False).groupBy(*_GROUP).agg(F.sum("n").alias("n")).withColumn("blocks", F.ceil(F.col("n") / most).cast("int"))
+    groups = stash(groups, "groups")
+    depths = stash(_depths(classes, asked, groups, bits, want(n)), "depths")
+    placed = asked.join(depths, "vid")
+    low = F.expr(f"shiftright(key, {BITS - bits})")
+    first = F.when(F.col("depth") >= bits, low).otherwise(F.expr(f"shiftleft(shiftright(key, {BITS} - depth), {bits} - depth)"))
+    last = F.when(F.col("depth") >= bits, low).otherwise(first + F.expr(f"shiftleft(1L, {bits} - depth)") - 1)
+    placed = placed.withColumn("prefix", F.explode(F.sequence(first, last)))
+    met = _sub(_packed(classes, bits, True), groups).groupBy(*_GROUP, "sub").cogroup(_everywhere(placed, groups).groupBy(*_GROUP, "sub"))
+    found = met.applyInPandas(_scored, "vid long, other long, rough float").groupBy("vid", "other").agg(F.max("rough").alias("rough"))
+    found = found.withColumn("nth", F.row_number().over(Window.partitionBy("vid").orderBy(F.col("rough").desc(), "other"))).filter(F.col("nth") <= ROUGH)
+    out = stash(found.select("vid", "other"), "rough")
+    for df in (base, groups, depths):
+        discard(df)
+    return classes, asks, out
+
+
+def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: each query's nearest found by cosine."""
-    base = usable(vectors)
-    queries = base.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = base.count()
-    shards = max(1, math.ceil(n / min(MOST_SHARD, max(LEAST_SHARD, 16 * math.isqrt(n)))))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    spread = lambda name, many: F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias(name)
-    index = base.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), spread("block", blocks))
-    asked = queries.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(blocks)).cast("int").alias("block"), spread("shard", shards))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        forest = Forest(np.stack(left["v"].to_list()), share)
-        return forest.nearest(np.stack(right["v"].to_list()), right["vec_id"].to_numpy(), left["vec_id"].to_numpy(), k)
-
-    key = ["dim", "shard", "block"]
-    found = index.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(run, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")).cast("int")
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    classes, asks, found = candidates(vectors, is_query, k)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    pairs = found.join(classes.select(F.col("vid").alias("other"), F.col("v").alias("w"), "ids"), "other").join(classes.select("vid", "v"), "vid")
+    pairs = pairs.select("vid", "ids", (dot("v", "w") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("w", "w")))).alias("score"))
+    each = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("order"), i.alias("id")))
+    best = pairs.groupBy("vid").agg(F.array_sort(F.flatten(F.collect_list(each))).alias("best"))  # ROUGH classes of k + 1 ids
+    mine = F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k)
+    out = asks.join(best, "vid").select("query_id", F.posexplode(mine).alias("at", "x"))
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.order")).alias("score"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

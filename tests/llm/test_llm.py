@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("dayloom.llm.registry")
 
-from dayloom.llm import decontaminate, langid, line_dedup, mixing, near_dup, nearest, pii, registry, substring_dedup, token_files, url_filter
+from dayloom.llm import decontaminate, langid, line_dedup, mixing, near_dup, pii, registry, substring_dedup, token_files, url_filter
 from dayloom.llm.common import SHINGLE_C, Rolling, mix
 
 SF = "/root/testdata/sf0.001"
@@ -43,38 +43,6 @@ def test_query_matches_sql(spark, duck, same, name):
     same(registry.queries()[name](spark, SF), duck.sql(registry.oracle_sql()[name]).df())
 
 
-# --- nearest neighbours
-
-
-def brute_nearest(rows, k=5):
-    ok = [(i, np.array(v, float)) for i, v in rows if v is not None and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
-    out = {}
-    for i, v in ok:
-        if i % 50 == 0:
-            c = sorted((-(v * w).sum() / (np.sqrt((v * v).sum()) * np.sqrt((w * w).sum())), j) for j, w in ok if j != i)[:k]
-            out[i] = [j for _, j in c]
-    return out
-
-
-def test_nearest_recall_and_scores(spark):
-    e = spark.read.parquet(f"{SF}/embeddings.parquet")
-    want = brute_nearest([(r.vec_id, r.embedding) for r in e.collect()])
-    got = defaultdict(list)
-    for r in nearest.search(e, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
-        got[r.query_id].append(r.vec_id)
-    assert np.mean([len(set(want[q]) & set(got[q])) / 5 for q in want]) >= 0.9
-
-
-def test_nearest_odd_vectors(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [0.0, 1.0]), (50, [0.0, 2.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = defaultdict(list)
-    for r in nearest.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
-        got[r.query_id].append(r.vec_id)
-    assert got == {0: [1, 2, 8, 50], 50: [8, 0, 1, 2]}
-    assert nearest.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
-
-
 # --- repeated substrings
 
 
