@@ -1,17 +1,17 @@
 """Benchmark decontamination over a positional inverted index.
 
-Every run of ``WINDOW`` words of a test item is a phrase. The index keeps the postings
-(term, document, position) of the terms that are the rarest in some phrase, by the counts of the whole
-corpus. A posting, moved back by the term's offset in the phrase, is a candidate start; the list of the
-phrase's second rarest term, moved back by its own offset, must hold the same start, and then all of
-its words must stand there. ``proximity`` relaxes this to the two rarest terms within some distance.
+Every run of ``WINDOW`` words of a test item is a phrase. Documents are cut into words once. The words of test items are
+counted in them, and the index stores the postings (term, document, position) of each phrase's two rarest
+terms. A posting list, moved back by its term's offset in the phrase, is a list of starts; the two lists of a phrase are
+intersected on document and start, and at the starts that both hold all of the phrase's words are compared.
+``proximity`` reads the same postings: the two rarest terms that the corpus has, within some distance, in any order.
 
-DataFrame operations only. The postings are made and met with the phrases inside the scan, without a
-shuffle, while the phrases are few enough to broadcast (``BROADCAST_PHRASES``, counted first); beyond
-it, postings and phrases are joined by term and the candidates meet their documents by a shuffle.
+DataFrame operations only. The postings of a frequent term, and the phrases that look for it, are dealt to ``SPLIT``
+tasks by document. Nothing is broadcast but what Spark itself finds small enough.
 
 Null texts have no words. Items with a null id are left out; repeated items count once. Documents
-may repeat: rows of equal ``doc_id`` and text get equal results. Empty tables give empty results.
+may repeat: rows of equal ``doc_id`` and text get equal results. Extra columns are not read. Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from dayloom.llm.common import join_on, stash, table
 
 WINDOW = 10
-#: Phrases up to which they are broadcast (about 300 bytes each).
-BROADCAST_PHRASES = 200_000
+#: Tasks to which the postings of one term are dealt.
+SPLIT = 32
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,69 +42,87 @@ def phrases(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, window))).alias("phrase")).distinct()
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), words_of("text").alias("words"))
+def cut_words(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``n_words`` and ``words`` of each row, written once."""
+    text = F.col("text").cast("string")
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), words_of("text").alias("words"))
+    return stash(cut.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), "words"), "words")
 
 
-def rarest(docs: DataFrame, found: DataFrame, small: bool) -> DataFrame:
-    """Adds to each phrase its two rarest terms and their offsets; phrases with a term that the corpus lacks go."""
-    terms = found.select(F.explode("phrase").alias("term")).distinct()
-    words = _keyed(docs).select(F.explode("words").alias("term"))
-    if small:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
-        counts = words.groupBy("term").agg(F.count("*").alias("n"))
-    else:
-        counts = words.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term", "left_semi")
-    placed = found.withColumn("id", F.md5(F.to_json(F.struct("item_id", "phrase")))).select("id", "item_id", "phrase", F.posexplode("phrase").alias("offset", "term"))
-    placed = placed.join(counts, "term").groupBy("id").agg(
-        F.first("item_id").alias("item_id"), F.first("phrase").alias("phrase"), F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by")
-    )
-    placed = placed.filter(F.size("by") == F.size("phrase"))
-    second = F.coalesce(F.get("by", F.lit(1)), F.get("by", F.lit(0)))
-    return placed.select(
-        "item_id", "phrase", F.get("by", F.lit(0))["term"].alias("term"), F.get("by", F.lit(0))["offset"].alias("offset"), second["term"].alias("term2"), second["offset"].alias("offset2")
-    )
+def _spread(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """An equi-join in which the rows of a frequent key of ``many`` meet copies of ``few`` in ``SPLIT`` tasks."""
+    dealt = many.withColumn("salt", F.pmod(F.xxhash64(*many.columns), F.lit(SPLIT)))
+    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPLIT - 1).cast("long"))))
+    return dealt.join(copies.hint("merge"), [key, "salt"]).drop("salt")
+
+
+def rarest(words: DataFrame, found: DataFrame, whole: bool = True) -> DataFrame:
+    """Adds to each phrase an ``id``, its two rarest terms and their offsets; ``whole``: phrases with a term that the corpus lacks go."""
+    placed = stash(found.withColumn("id", F.monotonically_increasing_id()), "phrases")
+    terms = stash(placed.select(F.explode("phrase").alias("term")).distinct(), "terms")
+    counts = words.select(F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    each = _spread(placed.select("id", F.posexplode("phrase").alias("offset", "term")), counts, "term")
+    by = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by"))
+    out = placed.join(by, "id")
+    if whole:
+        out = out.filter(F.size("by") == F.size("phrase"))
+    first, second = F.get("by", F.lit(0)), F.coalesce(F.get("by", F.lit(1)), F.get("by", F.lit(0)))
+    return out.select("id", "item_id", "phrase", first["term"].alias("term"), first["offset"].alias("offset"), second["term"].alias("term2"), second["offset"].alias("offset2"))
+
+
+def postings(words: DataFrame, tests: DataFrame) -> DataFrame:
+    """The stored index: ``term``, ``doc_id``, ``text_hash``, ``pos`` of the terms that ``tests`` look up."""
+    terms = stash(tests.select(F.explode(F.array("term", "term2")).alias("term")).distinct(), "looked")
+    return stash(words.select("doc_id", "text_hash", F.posexplode("words").alias("pos", "term")).join(terms, "term", "left_semi"), "postings")
+
+
+def lists(index: DataFrame, tests: DataFrame, which: str = "") -> DataFrame:
+    """``id``, ``doc_id``, ``text_hash``, ``pos`` and ``start``: the postings of each phrase's rarest (or, with "2", second) term, moved back."""
+    looked = tests.select("id", F.col(f"term{which}").alias("term"), F.col(f"offset{which}").alias("offset"))
+    return _spread(index, looked, "term").select("id", "doc_id", "text_hash", "pos", (F.col("pos") - F.col("offset")).alias("start"))
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_phrases: int = BROADCAST_PHRASES) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``item_id``, ``start``, ``end`` (word positions) of every phrase in every document."""
-    found = stash(phrases(benchmark, window), "phrases")
-    small = found.count() <= broadcast_phrases
-    tests = stash(rarest(docs, found, small), "tests")
-    keyed = _keyed(docs)
-    start = F.col("pos") - F.col("offset")
-    fits = (start >= 0) & (F.get("words", start + F.col("offset2")) == F.col("term2")) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("phrase")) == F.col("phrase"))
-    out = ["doc_id", "text_hash", "item_id", start.alias("start"), (start + F.size("phrase")).alias("end")]
-    if small:
-        postings = keyed.select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "term"))
-        return postings.join(F.broadcast(tests), "term").filter(fits).select(*out)
-    postings = keyed.select("doc_id", "text_hash", F.posexplode("words").alias("pos", "term"))
-    near = postings.join(tests, "term").filter(start >= 0)
-    return join_on(near, keyed.dropDuplicates(["doc_id", "text_hash"]), ["doc_id", "text_hash"]).filter(fits).select(*out)
+def occurrences(words: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``item_id``, ``start``, ``end`` (word positions) of every phrase in every document of ``cut_words``."""
+    tests = stash(rarest(words, phrases(benchmark, window)), "tests")
+    index = postings(words, tests)
+    at = ["id", "doc_id", "text_hash", "start"]
+    first = lists(index, tests).filter("start >= 0").select(*at).distinct()
+    both = join_on(first, lists(index, tests, "2").select(*at), at, "left_semi")
+    both = _spread(stash(both, "starts"), tests.select("id", "item_id", "phrase"), "id")
+    fits = F.slice("words", F.col("start") + 1, F.size("phrase")) == F.col("phrase")
+    placed = join_on(both, words.select("doc_id", "text_hash", "words"), ["doc_id", "text_hash"]).filter(fits)
+    return placed.select("doc_id", "text_hash", "item_id", "start", (F.col("start") + F.size("phrase")).alias("end"))
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, within: int = 20, window: int = WINDOW) -> DataFrame:
-    """Where the two rarest terms of a phrase stand at most ``within`` words apart: ``doc_id``, ``item_id``, ``pos``, ``pos2``."""
-    tests = stash(rarest(docs, stash(phrases(benchmark, window), "phrases"), True), "near")
-    pairs = F.broadcast(tests.select("item_id", "term", "term2").distinct())
-    postings = _keyed(docs).select("doc_id", "words", F.posexplode("words").alias("pos", "term")).join(pairs, "term")
-    lo = F.greatest(F.col("pos") - within, F.lit(0))
-    around = F.slice("words", lo + 1, F.lit(2 * within + 1))
-    hits = F.filter(F.transform(around, lambda w, i: F.when((w == F.col("term2")) & (F.abs(i + lo - F.col("pos")) <= within), i + lo)), lambda x: x.isNotNull())
-    return postings.select("doc_id", "item_id", "pos", F.explode(hits).alias("pos2")).filter("pos <> pos2 or term = term2").distinct()
+    """Where a phrase's two rarest terms stand at most ``within`` words apart: ``doc_id``, ``item_id``, ``pos``, ``pos2``.
+
+    Terms that the corpus lacks don't count, so a phrase of which some words were changed is found. The lists meet
+    on document and stretch of ``within`` words, the second one in the stretches beside its own too.
+    """
+    words = cut_words(docs)
+    tests = stash(rarest(words, phrases(benchmark, window), whole=False), "tests")
+    index = postings(words, tests)
+    block = F.floor(F.col("pos") / within)
+    first = lists(index, tests).select("id", "doc_id", "text_hash", "pos", block.alias("block"))
+    second = lists(index, tests, "2").select("id", "doc_id", "text_hash", F.col("pos").alias("pos2"), F.explode(F.sequence(block - 1, block + 1)).alias("block"))
+    near = join_on(first, second, ["id", "doc_id", "text_hash", "block"]).filter(F.abs(F.col("pos") - F.col("pos2")) <= within)
+    near = _spread(near.select("id", "doc_id", "pos", "pos2").distinct(), tests.select("id", "item_id", (F.col("term") == F.col("term2")).alias("alone")), "id")
+    return near.filter("pos <> pos2 or alone").select("doc_id", "item_id", "pos", "pos2").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: ``n_words``, ``n_hit`` (words inside any occurrence), ``n_items``, ``items_sha256``, ``contaminated``."""
-    found = stash(occurrences(docs, benchmark, window), "occurrences")
+    words = cut_words(docs)
+    found = stash(occurrences(words, benchmark, window), "occurrences")
     own = ["doc_id", "text_hash"]
     before = F.max("end").over(Window.partitionBy(*own).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     hit = found.select(*own, "start", "end").distinct().withColumn("new", F.greatest(F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0))), F.lit(0)))
     hit = hit.groupBy(*own).agg(F.sum("new").alias("n_hit"))
     items = found.select(*own, "item_id").distinct().groupBy(*own).agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     marks = join_on(hit, items, own)
-    all_ = _keyed(docs).select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"))
-    out = join_on(all_, marks, own, "left")
+    out = join_on(words.select("doc_id", "text_hash", "n_words"), marks, own, "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     names = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(

@@ -225,23 +225,38 @@ def brute_hits(rows, items, k=10):
                     found |= x
                     hit |= set(range(s, s + n))
         out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    return sorted(out)
+    return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_decontaminate(spark, odd, monkeypatch, limit):
-    items = [(1, "Alpha beta GAMMA delta epsilon zeta eta theta iota kappa lambda mu"), (2, "one TWO"), (3, None), (4, "..."), (10, "émile à"), (10, "émile à"), (None, "one")]
+def test_decontaminate(spark, odd):
+    items = [(1, "Alpha beta GAMMA delta epsilon zeta eta theta iota kappa lambda mu"), (2, "one TWO"), (3, None), (4, "..."), (10, "émile à"), (10, "émile à"), (None, "one"), (11, "a b c d e f g h a b c d missing")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    real = decontaminate.occurrences
-    monkeypatch.setattr(decontaminate, "occurrences", lambda *a: real(*a, broadcast_phrases=limit))
-    got = sorted(tuple(r) for r in decontaminate.decontaminate(odd, bench).drop("text_hash").collect())
-    assert got == brute_hits(texts(odd), [(i, t or "") for i, t in items if i is not None])
-    near = decontaminate.proximity(odd, bench, within=3)
-    assert near.filter("abs(pos - pos2) > 3").count() == 0 and near.count() > 0
+    more = [(None, "one two x", None, None, 0, 1, "x", 2), (70, "the one two " * 70_000, "en", "a", 0, 1, "x", 2), (71, "beta alpha mu gamma", "en", "a", 0, 1, "x", 2)]
+    docs = odd.union(spark.createDataFrame(more, odd.schema)).withColumns({c: F.lit("clash") for c in ("text_hash", "words", "term", "start", "item_id")})
+    got = sorted((tuple(r) for r in decontaminate.decontaminate(docs, bench).drop("text_hash").collect()), key=str)
+    assert got == sorted(brute_hits(texts(docs), [(i, t or "") for i, t in items if i is not None]), key=str)
     assert decontaminate.decontaminate(odd.limit(0), bench).count() == 0
     assert decontaminate.decontaminate(odd, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_proximity(spark):
+    rows = [(1, "rare x x x other x x"), (2, "other rare"), (3, "rare x x x x x x other"), (4, "rare only"), (5, "common common common common common common x"), (None, "other x rare"), (6, None)]
+    items = [(1, "rare common other x absent"), (2, "only"), (3, "absent"), (4, "x common " * 8)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    counts = Counter(w for _, t in rows for w in (t or "").split())
+    want = set()
+    for i, t in items:
+        words = t.split()
+        for s in range(max(1, len(words) - 9)):
+            by = sorted((counts[w], k, w) for k, w in enumerate(words[s : s + 10]) if w in counts)
+            for d, text in rows if by else ():
+                at = lambda w, text=text: [p for p, x in enumerate((text or "").split()) if x == w]
+                first, second = by[0][2], by[min(1, len(by) - 1)][2]
+                want |= {(d, str(i), p, q) for p in at(first) for q in at(second) if abs(p - q) <= 4 and (p != q or first == second)}
+    got = [tuple(r) for r in decontaminate.proximity(docs, bench, within=4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (1, "1", 4, 0) in want and (4, "2", 1, 1) in want
+
+
 # --- language
 
 
