@@ -168,9 +168,11 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def frame_sizes(df: DataFrame, per: int, *more) -> int:
-    """How many groups of about ``per`` rows the frame makes (one at least)."""
-    return max(1, -(-df.select(F.lit(1)).count() // per))
+def spread(many: DataFrame, few: DataFrame, keys: list[str], split: int) -> DataFrame:
+    """An equi-join in which the rows of a frequent key of ``many`` meet copies of ``few`` in ``split`` tasks."""
+    dealt = many.withColumn("salt", F.pmod(F.xxhash64(*many.columns), F.lit(split)))
+    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(split - 1).cast("long"))))
+    return dealt.join(copies.hint("merge"), [*keys, "salt"]).drop("salt")
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

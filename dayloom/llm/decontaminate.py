@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import join_on, stash, table
+from dayloom.llm.common import join_on, spread, stash, table
 
 WINDOW = 10
 #: Tasks to which the postings of one term are dealt.
@@ -49,19 +49,12 @@ def cut_words(docs: DataFrame) -> DataFrame:
     return stash(cut.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), "words"), "words")
 
 
-def _spread(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """An equi-join in which the rows of a frequent key of ``many`` meet copies of ``few`` in ``SPLIT`` tasks."""
-    dealt = many.withColumn("salt", F.pmod(F.xxhash64(*many.columns), F.lit(SPLIT)))
-    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPLIT - 1).cast("long"))))
-    return dealt.join(copies.hint("merge"), [key, "salt"]).drop("salt")
-
-
 def rarest(words: DataFrame, found: DataFrame, whole: bool = True) -> DataFrame:
     """Adds to each phrase an ``id``, its two rarest terms and their offsets; ``whole``: phrases with a term that the corpus lacks go."""
     placed = stash(found.withColumn("id", F.monotonically_increasing_id()), "phrases")
     terms = stash(placed.select(F.explode("phrase").alias("term")).distinct(), "terms")
     counts = words.select(F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    each = _spread(placed.select("id", F.posexplode("phrase").alias("offset", "term")), counts, "term")
+    each = spread(placed.select("id", F.posexplode("phrase").alias("offset", "term")), counts, ["term"], SPLIT)
     by = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by"))
     out = placed.join(by, "id")
     if whole:
@@ -79,7 +72,7 @@ def postings(words: DataFrame, tests: DataFrame) -> DataFrame:
 def lists(index: DataFrame, tests: DataFrame, which: str = "") -> DataFrame:
     """``id``, ``doc_id``, ``text_hash``, ``pos`` and ``start``: the postings of each phrase's rarest (or, with "2", second) term, moved back."""
     looked = tests.select("id", F.col(f"term{which}").alias("term"), F.col(f"offset{which}").alias("offset"))
-    return _spread(index, looked, "term").select("id", "doc_id", "text_hash", "pos", (F.col("pos") - F.col("offset")).alias("start"))
+    return spread(index, looked, ["term"], SPLIT).select("id", "doc_id", "text_hash", "pos", (F.col("pos") - F.col("offset")).alias("start"))
 
 
 def occurrences(words: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -89,7 +82,7 @@ def occurrences(words: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     at = ["id", "doc_id", "text_hash", "start"]
     first = lists(index, tests).filter("start >= 0").select(*at).distinct()
     both = join_on(first, lists(index, tests, "2").select(*at), at, "left_semi")
-    both = _spread(stash(both, "starts"), tests.select("id", "item_id", "phrase"), "id")
+    both = spread(stash(both, "starts"), tests.select("id", "item_id", "phrase"), ["id"], SPLIT)
     fits = F.slice("words", F.col("start") + 1, F.size("phrase")) == F.col("phrase")
     placed = join_on(both, words.select("doc_id", "text_hash", "words"), ["doc_id", "text_hash"]).filter(fits)
     return placed.select("doc_id", "text_hash", "item_id", "start", (F.col("start") + F.size("phrase")).alias("end"))
@@ -108,7 +101,7 @@ def proximity(docs: DataFrame, benchmark: DataFrame, within: int = 20, window: i
     first = lists(index, tests).select("id", "doc_id", "text_hash", "pos", block.alias("block"))
     second = lists(index, tests, "2").select("id", "doc_id", "text_hash", F.col("pos").alias("pos2"), F.explode(F.sequence(block - 1, block + 1)).alias("block"))
     near = join_on(first, second, ["id", "doc_id", "text_hash", "block"]).filter(F.abs(F.col("pos") - F.col("pos2")) <= within)
-    near = _spread(near.select("id", "doc_id", "pos", "pos2").distinct(), tests.select("id", "item_id", (F.col("term") == F.col("term2")).alias("alone")), "id")
+    near = spread(near.select("id", "doc_id", "pos", "pos2").distinct(), tests.select("id", "item_id", (F.col("term") == F.col("term2")).alias("alone")), ["id"], SPLIT)
     return near.filter("pos <> pos2 or alone").select("doc_id", "item_id", "pos", "pos2").distinct()
 
 

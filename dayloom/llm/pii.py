@@ -23,10 +23,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import join_on, stash, table
+from dayloom.llm.common import join_on, spread, stash, table
 
 _LOCAL, _LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
@@ -41,6 +41,8 @@ KINDS = {
 #: What a text must hold for the kind's pattern to be worth a try.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 ALPHA, LEVEL = 0.9, 0.01
+#: Tasks to which the mentions of one entity are dealt.
+SPLIT = 16
 _NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -69,19 +71,46 @@ def _check(kind: str):
 _SPAN = "struct<start:int,end:int,value:string>"
 
 
-def _placed(text, pattern, wanted=None) -> F.Column:
-    """Start, end and value of each match (that is ``wanted``), from the pieces between the matches."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+def _let(value, body) -> F.Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(x, op, zero) -> F.Column:
+    """For each element of an array what ``op`` makes of all before it: along blocks, then within them, so never of a long slice."""
+    fold = lambda part: F.aggregate(part, F.lit(zero), op)
+
+    def along(x):
+        n = F.size(x)
+        width = F.greatest(F.lit(1), F.ceil(F.pow(n.cast("double"), F.lit(1 / 3)))).cast("int")
+
+        def of(width):
+            place = lambda i: F.floor(i / width).cast("int")
+            blocks = F.transform(F.sequence(F.lit(0), place(F.greatest(n, F.lit(1)) - 1)), lambda j: fold(F.slice(x, j * width + 1, width)))
+            heads = _let(blocks, lambda bs: F.transform(bs, lambda _, j: fold(F.slice(bs, F.lit(1), j))))
+            one = lambda hs: F.transform(x, lambda _, i: op(F.get(hs, place(i)), fold(F.slice(x, place(i) * width + 1, i % width))))
+            return _let(heads, one)
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        more = F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
-        return F.struct(end.alias("at"), (more if wanted is None else F.when(wanted(x["value"]), more).otherwise(acc["out"])).alias("out"))
+        return _let(width, of)
 
+    return _let(x, along)
+
+
+def _placed(text, pattern) -> F.Column:
+    """Start, end and value of each match, from the pieces between the matches."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
-    return F.aggregate(pairs, first, step, lambda acc: acc["out"])
+
+    def spans(pairs):
+        at = _running(F.transform(pairs, lambda x: F.length(x["gap"]) + F.length(x["value"])), lambda a, b: a + b, 0)
+
+        def span(x, at):
+            start = at + F.length(x["gap"])
+            return F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"))
+
+        return F.zip_with(pairs, at, span)
+
+    return _let(pairs, spans)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -97,12 +126,12 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def _with_entities(found: DataFrame) -> DataFrame:
-    """Adds ``entities``, the different values; ``text`` stays where there are any."""
+    """Adds ``entities``, the values found; ``text`` stays where there are any."""
 
     def entity(kind):
         return lambda x: F.struct(F.lit(kind).alias("kind"), x["value"].alias("value"))
 
-    all_ = F.array_distinct(F.concat(*[F.transform(F.col(k), entity(k)) for k in KINDS]))
+    all_ = F.concat(*[F.transform(F.col(k), entity(k)) for k in KINDS])
     return found.withColumn("entities", all_).withColumn("text", F.when(F.size("entities") > 0, F.col("text")))
 
 
@@ -137,7 +166,7 @@ def disclosing(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, level: f
     mentions = stash(found.select("text_hash", F.explode("entities").alias("x")).select("text_hash", "x.kind", "x.value").distinct(), "mentions")
     marks = [F.bit_xor(F.xxhash64("text_hash", F.lit(k))).alias(f"g{k}") for k in (1, 2)]
     entities = mentions.groupBy("kind", "value").agg(F.count("*").alias("n_e"), *marks)
-    groups = stash(mentions.join(entities, ["kind", "value"]).select("text_hash", *_GROUP).distinct(), "groups")
+    groups = stash(spread(mentions, entities, ["kind", "value"], SPLIT).select("text_hash", *_GROUP).distinct(), "groups")
     near = stash(_terms(found.filter("text is not null")).distinct(), "near")
     # a term stands in at least as many texts as it stands in with any entity: what that rules out isn't counted further
     least = near.groupBy("term").agg(F.count("*").alias("least"))
@@ -145,10 +174,10 @@ def disclosing(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, level: f
     most = F.pow(F.col("widest"), F.lit(alpha)) * F.pow(F.lit(float(n)), F.lit(1 - alpha))
     some = near.join(widest, "text_hash").join(least, "term").filter(F.col("least") <= most + 1e-9 * most)
     pairs = stash(some.select("text_hash", "term", "least").join(groups, "text_hash").groupBy(*_GROUP, "term", "least").agg(F.count("*").alias("n_te")).filter(_telling(n, "least", alpha, level)).drop("least"), "pairs")
-    # one row of each different text, so that tasks add up their counts before the shuffle
+    # different texts are counted by their hashes, and only for terms that still may tell, so no text moves
+    open_ = stash(pairs.select("term").distinct(), "terms")
     text = F.col("text").cast("string")
-    texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).dropDuplicates(["text_hash"])
-    counted = _terms(texts).groupBy("term").agg(F.count("*").alias("n_t"))
+    counted = _terms(docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))).join(open_, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     telling = pairs.join(counted, "term").filter(_telling(n, "n_t", alpha, level))
     share = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.lit(float(n)) / F.col("n_e"))
     telling = telling.select(*_GROUP, "term", share.alias("share"))
@@ -156,39 +185,60 @@ def disclosing(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, level: f
     return groups.join(telling, _GROUP).join(near, ["text_hash", "term"]).groupBy("text_hash", "term").agg(F.max("share").alias("share"))
 
 
+def _term_spans(found: DataFrame, told: DataFrame) -> DataFrame:
+    """``text_hash`` and ``term``, the spans of a text's disclosing terms that touch no base span."""
+    texts = found.filter("text is not null").join(told.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    words = texts.select("text_hash", F.explode(_placed(F.col("text"), F.lit(_WORD))).alias("x")).select("text_hash", "x.*", F.lower("x.value").alias("term"))
+    words = words.join(told, ["text_hash", "term"]).select("text_hash", "start", "end", "value", F.lit(False).alias("base"))
+    base = texts.select("text_hash", F.explode(F.concat(*KINDS)).alias("x")).select("text_hash", "x.*", F.lit(True).alias("base"))
+    by = Window.partitionBy("text_hash").orderBy("start", "end", "base")
+    before = F.max(F.when(F.col("base"), F.col("end"))).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min(F.when(F.col("base"), F.col("start"))).over(by.rowsBetween(1, Window.unboundedFollowing))
+    clear = words.unionByName(base).withColumn("before", before).withColumn("after", after)
+    clear = clear.filter("not base and (before is null or before <= start) and (after is null or after >= end)")
+    return clear.groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("term"))
+
+
 def spans(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
     """``doc_id``, ``text_hash``, an array of spans per kind, and ``term``: the disclosing terms' spans."""
     found = stash(_with_entities(find(docs)), "found")
-    told = stash(disclosing(found, docs, alpha, level).groupBy("text_hash").agg(F.collect_set("term").alias("terms")), "told")
-    base = F.concat(*[F.col(k) for k in KINDS])
-    clear = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    placed = F.filter(_placed(F.col("text"), F.lit(_WORD), lambda w: F.array_contains("terms", F.lower(w))), clear)
+    told = stash(disclosing(found, docs, alpha, level).select("text_hash", "term"), "told")
     none = F.array().cast(f"array<{_SPAN}>")
-    own = ["doc_id", "text_hash", *KINDS]
-    mentioning = found.filter("text is not null").join(told, "text_hash", "left")
-    mentioning = mentioning.select(*own, F.when(F.col("terms").isNotNull(), placed).otherwise(none).alias("term"))
-    return mentioning.unionByName(found.filter("text is null").select(*own, none.alias("term")))
+    out = found.select("doc_id", "text_hash", *KINDS).join(stash(_term_spans(found, told), "placed"), "text_hash", "left")
+    return out.select("doc_id", "text_hash", *KINDS, F.coalesce("term", none).alias("term"))
+
+
+#: Characters of the blocks in which a text is cut, so that no piece is looked for from the text's start.
+_CUT = 4096
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with base spans generalised to ``[KIND]`` and disclosing terms removed."""
+    """``docs`` with base spans generalised to ``[KIND]`` and disclosing terms removed; spans that overlap give the first one's kind."""
     kinds = [*KINDS, "term"]
 
     def change(kind):
         return lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("" if kind == "term" else f"[{kind.upper()}]").alias("put"))
 
     all_ = F.array_sort(F.concat(*[F.transform(k, change(k)) for k in kinds]))
-    found = spans(docs, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), all_.alias("_spans")).dropDuplicates(["_id", "_hash"])
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    t = F.col("text")
-
-    def step(acc, x):
-        new = F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), x["put"])
-        return F.when(x["start"] >= acc["at"], F.struct(x["end"].alias("at"), new.alias("out"))).otherwise(acc)
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("_spans", first, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    return join_on(keyed, found, ["_id", "_hash"], "left").withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(t)).select(*docs.columns)
+    found = spans(docs, **options).select("doc_id", "text_hash", all_.alias("spans")).dropDuplicates(["doc_id", "text_hash"])
+    # the row is nested, so that its columns may have any names
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+
+    def cut(blocks, start, end):
+        first = F.floor(start / _CUT).cast("int")
+        part = F.array_join(F.slice(blocks, first + 1, F.floor(end / _CUT).cast("int") - first + 1), "")
+        return F.when(end > start, F.substring(part, start % _CUT + 1, end - start)).otherwise("")
+
+    def pieces_of(blocks):
+        done = _running(F.transform("spans", lambda x: x["end"]), lambda a, b: F.greatest(a, b), 0)
+        pieces = F.zip_with("spans", done, lambda x, at: F.concat(cut(blocks, at, x["start"]), F.when(x["start"] >= at, x["put"]).otherwise("")))
+        last = F.array_max(F.transform("spans", lambda x: x["end"]))
+        return F.concat(F.array_join(pieces, ""), cut(blocks, last, F.length("text")))
+
+    changed = _let(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_CUT}}}"), F.lit(0)), pieces_of)
+    out = join_on(rows, found, ["doc_id", "text_hash"], "left").withColumn("clean", F.when(F.size("spans") > 0, changed).otherwise(F.col("text")))
+    return out.select(*[F.col("clean").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _joined(kinds) -> F.Column:

@@ -52,3 +52,48 @@ def test_disclosing_terms_of_entities_in_one_or_two_texts(spark):
         assert [(x.start, x.end) for x in got[i]] == [m.span() for m in words if not any(a < m.end() and m.start() < b for a, b in base)]
     assert [x.value for x in got[150]] == ["Bo", "writes", "R2D2", "from", "with", "王小明", "and"]
     assert "Kestrel7" in [x.value for x in got[151]] and "Kestrel7" in [x.value for x in got[152]]
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = " ".join(f"user{i}@mail{i}.example +1 555 {1000000 + i} 10.0.{i % 256}.{i % 200}" for i in range(32_000))
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    took = time.perf_counter() - began
+    for kind, pattern in PATTERNS.items():
+        want = [m.span() for m in re.finditer(pattern, text) if valid(kind, m.group())]
+        assert [(x.start, x.end) for x in got[1][kind]] == want and not got[2][kind]
+    assert took < 60
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean[2] is None and clean[1].count("[EMAIL]") == 32_000 and "@" not in clean[1]
+
+
+def brute_query(rows):
+    import hashlib
+
+    want, out = brute_terms([t for _, t in rows]), []
+    for i, t in rows:
+        spans = [(k, *m.span()) for k, p in PATTERNS.items() for m in re.finditer(p, t or "") if valid(k, m.group())]
+        words = [m for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "") if m.group().lower() in want[t]]
+        terms = [("term", *m.span()) for m in words if not any(a < m.end() and m.start() < b for _, a, b in spans)]
+        shown = lambda some: ",".join(f"{k}:{a}:{b}" for k, a, b in some)
+        out.append((i, *(sum(k == s[0] for s in spans) for k in PATTERNS), hashlib.sha256(shown(spans).encode()).hexdigest(), shown(spans + terms)))
+    return sorted(out)
+
+
+def test_query_against_brute_force(spark):
+    docs = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{docs}/documents.parquet").collect()]
+    got = sorted(tuple(r) for r in pii.op4(spark, docs).collect())
+    assert got == brute_query(rows)
+    assert sum(g[-1].count("term") for g in got) > 0
+
+
+def test_sanitise_keeps_columns_of_any_name(spark):
+    rows = [(1, "mail a@b.example now", 7, "x", 3), (1, "other", 8, "y", 4), (None, "ip 1.2.3.4", 9, "z", 5), (None, None, 1, "q", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, text_hash string, row int")
+    got = sorted((tuple(r) for r in pii.sanitise(df).collect()), key=str)
+    want = [(1, "mail [EMAIL] now", 7, "x", 3), (1, "other", 8, "y", 4), (None, "ip [IP]", 9, "z", 5), (None, None, 1, "q", 6)]
+    assert got == sorted(want, key=str)
