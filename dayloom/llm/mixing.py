@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 Each source gets a target number of words by its weight, never above ``most`` times its size (what
-is over goes to the others by weight). Documents are dealt to shards by a hash of their id; in each
+is over goes to the others by weight). Documents are dealt to shards by a hash of their id and text; in each
 shard a source's documents form one line of words, in a seeded order, cut into blocks of equal
 length. The shard's number of blocks is dealt to its sources by the highest quotients
 ``weight / (2 k + 1)``; a source takes whole passes over its blocks and, for the rest of its quota,
@@ -11,7 +11,8 @@ DataFrame operations only. Windows run within a shard (about ``shard_words`` wor
 with a third of all rows is spread over all shards; the one global window has a row per source.
 
 Null or empty text: size 0, taken 0. Null source: one source, the last in order. Repeated rows are
-documents of their own. A null ``doc_id`` counts as an empty string for the seeded order.
+documents of their own. A null ``doc_id`` counts as an empty string for the seeded order. Extra columns are kept by
+``mixed_documents``, whatever their names.
 An empty table gives an empty result.
 """
 
@@ -24,8 +25,6 @@ from dayloom.llm.common import WORD_RE, join_on, stash, table
 
 #: Words of a block and of a shard, about.
 BLOCK_WORDS, SHARD_WORDS = 64, 200_000
-#: Sources up to which their table is broadcast; beyond it, it is joined by shuffle.
-BROADCAST_SOURCES = 100_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -34,6 +33,7 @@ def sizes(docs: DataFrame) -> DataFrame:
         F.col("source").cast("string"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
+        F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("name"),
     )
 
 
@@ -67,14 +67,11 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, s
     stretches of the partial pass: ``doc_id``, ``text_hash``, ``copy`` (among equal rows), ``lo``, ``hi``.
     """
     sized = stash(sizes(docs), "sizes")
-    goals = targets(sized, weights, share, most)
-    got = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.approx_count_distinct("source").alias("sources")).first()
-    shards = max(1, -(-got["words"] // shard_words))
-    if got["sources"] <= BROADCAST_SOURCES:
-        goals = F.broadcast(goals)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    # a row a source; Spark broadcasts the table if its files are small
+    goals = stash(targets(sized, weights, share, most), "goals")
+    shards = max(1, -(-sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // shard_words))
     lines = join_on(sized, goals, ["source"])
-    lines = lines.withColumn("shard", _hex(8, F.lit(seed), key) % shards).withColumn("order", F.md5(F.concat_ws(":", F.lit(seed), F.lit("line"), key)))
+    lines = lines.withColumn("shard", _hex(8, F.lit(seed), F.col("name")) % shards).withColumn("order", F.md5(F.concat_ws(":", F.lit(seed), F.lit("line"), F.col("name")))).drop("name")
     line = Window.partitionBy("shard", "source").orderBy("order", "doc_id", "size", "text_hash")
     lines = lines.withColumn("pos", F.row_number().over(line)).withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     # the blocks of each shard's sources, and their weights in blocks
@@ -113,18 +110,19 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, s
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: whole copies of a document, and one of its partly taken words."""
     taken, parts = mix(docs, **options)
-    key = ["_id", "_hash"]
-    keyed = docs.select("*", F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
-    named = lambda df: df.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    key = ["doc_id", "text_hash"]
+    # the row is nested, so that its columns may have any names
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     # equal rows lie side by side in a line and take alike in whole passes
-    whole = named(taken.groupBy("doc_id", "text_hash").agg(F.max("passes").alias("_passes")))
-    full = join_on(keyed, whole, key).filter("_passes > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_passes").cast("int")))).select(*docs.columns)
-    cut = named(parts.groupBy("doc_id", "text_hash", "copy").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_cuts")))
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD_RE), F.lit(0))
-    text = F.array_join(F.flatten(F.transform("_cuts", lambda c: F.slice(words, (c["lo"] + 1).cast("int"), (c["hi"] - c["lo"]).cast("int")))), " ")
-    some = join_on(keyed.dropDuplicates(key), cut, key).withColumn("_text", text)
-    some = some.select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
-    return full.unionByName(some)
+    whole = taken.groupBy(*key).agg(F.max("passes").alias("passes"))
+    full = join_on(keyed, whole, key).filter("passes > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int")))).select("row.*")
+    cut = parts.groupBy(*key, "copy").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("cuts"))
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD_RE), F.lit(0))
+    text = F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice(words, (c["lo"] + 1).cast("int"), (c["hi"] - c["lo"]).cast("int")))), " ")
+    one = join_on(keyed, cut.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    some = join_on(one, cut, key).withColumn("cut_text", text)
+    put = {"text": F.col("cut_text"), "n_chars": F.length("cut_text").cast("long")}
+    return full.unionByName(some.select(*[put[c].alias(c) if c in put else F.col("row").getField(c).alias(c) for c in docs.columns]))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +131,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD_RE}')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD_RE}')), 0) AS BIGINT) AS size,
+         concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, ''))) AS name FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS nth FROM s0),
 s2 AS (SELECT *, CAST([5, 2, 1][(nth - 1) % 3 + 1] AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS cap,
@@ -144,8 +143,8 @@ lv AS (SELECT coalesce((SELECT level FROM s3 WHERE level * weight <= cap ORDER B
 goals AS (SELECT source, source_size, least(cap, lv * weight) AS target FROM s3, lv),
 n AS (SELECT greatest(1, CAST(ceil(sum(size) / {SHARD_WORDS}.0) AS BIGINT)) AS shards FROM sized),
 l0 AS (SELECT d.*, g.source_size, g.target,
-         CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % (SELECT shards FROM n) AS shard,
-         md5('7:line:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS ord
+         CAST('0x' || substr(md5('7:' || name), 1, 8) AS BIGINT) % (SELECT shards FROM n) AS shard,
+         md5('7:line:' || name) AS ord
        FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
 l1 AS (SELECT *, sum(size) OVER (PARTITION BY shard, source ORDER BY ord, doc_id, size ROWS UNBOUNDED PRECEDING) AS e FROM l0),
 c0 AS (SELECT shard, source, CAST(sum(size) AS BIGINT) AS words, any_value(target) AS target, any_value(source_size) AS source_size

@@ -170,14 +170,21 @@ def test_disclosing_terms(spark):
 # --- urls
 
 
-def test_cascade_is_exact(spark):
-    df = spark.createDataFrame([(f"k{i}", i % 7 == 0) for i in range(5000)] + [(None, False)], "key string, want boolean")
-    listed = df.filter("want").select("key")
-    for most in (1 << 29, 0):
-        got = url_filter.mark_listed(df, listed, most)
-        assert got.filter("listed <> want").count() == 0 and got.count() == 5001
-    assert url_filter.mark_listed(df, listed.limit(0)).filter("listed").count() == 0
-    assert url_filter.mark_listed(df.limit(0), listed).count() == 0
+@pytest.mark.parametrize("part_keys", [100, 1 << 12, 1 << 20])
+def test_cascade_is_exact(spark, part_keys):
+    rng = np.random.default_rng(part_keys)
+    rows = [(f"k{i}", bool(x), "r", i, 1) for i, x in enumerate(rng.random(5000) < 0.2)] + [(None, False, "r", 1, 1)] * 3
+    rows += [("k0", rows[0][1], "r", 2, 1)] * 1500  # one key of many rows
+    df = spark.createDataFrame(rows, "key string, want boolean, row string, part int, listed int")
+    listed = df.filter("want").select("key").union(spark.createDataFrame([("elsewhere",), (None,)], "key string"))
+    got = url_filter.mark_listed(df, listed, part_keys)
+    assert got.columns == ["key", "want", "row", "part", "listed"]
+    assert Counter((r.key, r.want, r.part) for r in got.collect() if r.listed == r.want) == Counter((k, w, p) for k, w, _, p, _ in rows)
+    filters, parts = url_filter.build_cascades(df.select("key"), listed, part_keys)
+    assert filters.count() == parts if part_keys >= 100 and parts < 40 else parts > 40
+    if part_keys == 100:
+        assert url_filter.mark_listed(df, listed.limit(0)).filter("listed").count() == 0
+        assert url_filter.mark_listed(df.limit(0), listed).count() == 0
 
 
 def test_url_parts(spark):
@@ -205,6 +212,20 @@ def test_mix_meets_targets(spark, small, odd):
     assert mixed.columns == small.columns and sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for _, t in texts(mixed)) == taken
 
 
+def test_mix_keeps_columns_of_any_name(spark, odd):
+    names = ("_id", "_hash", "row", "n", "cuts", "passes", "text_hash", "copy", "size", "shard")
+    docs = odd.drop("id", "th", "number").withColumns({c: F.lit(c) for c in names})
+    more = [(None, f"word{i} " * 50, "en", "a", 7) for i in range(40)] + [(8, f"other{i} " * 60, "en", None, 7) for i in range(40)]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(c) for c in names}))
+    mixed = mixing.mixed_documents(docs, shard_words=300, block_words=8)
+    assert mixed.columns == docs.columns
+    rows = mixed.collect()
+    assert all(r[c] == c for r in rows for c in names)
+    taken = mixing.mix(docs, shard_words=300, block_words=8)[0].collect()
+    assert len(taken) == docs.count() and sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows) == sum(r.taken for r in taken) > 0
+    assert sorted(map(str, mixing.mixed_documents(docs, shard_words=300, block_words=8).collect())) == sorted(map(str, rows))
+
+
 # --- decontamination
 
 
