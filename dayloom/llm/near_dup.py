@@ -16,8 +16,9 @@ brought together and only links that join components leave the task. So the pair
 moved grow with a group's size, not with its square, and no link that joins components is left out.
 
 Null text, and text without words: an empty set, linked with nothing. Fewer than five words: one shingle
-of all of them. Rows with a null ``doc_id`` are left out. Rows that repeat a ``doc_id`` are one node:
-their links unite. Extra columns are not read; an empty table gives an empty result.
+of all of them. Rows that repeat a ``doc_id`` are one document: their links unite. Rows with a null ``doc_id`` are documents
+of their own; one is kept if its component has no id, and then ``component_id`` is null. Extra columns are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import SHINGLE_C, discard, flat, mix, pieces, release, signed, stash, table, word_hashes
+from dayloom.llm.common import SHINGLE_C, discard, flat, join_on, mix, pieces, release, signed, stash, table, word_hashes
 
 WORDS, BUCKETS, BAND_ROWS = 5, 128, 4
 #: Similarity in hundredths.
@@ -129,7 +130,7 @@ def hopeful(a, b, na, nb, similarity: int = SIMILARITY) -> tuple[np.ndarray, np.
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, a 128-bit fingerprint of the set, and the registers."""
+    """``id``, ``th``, ``n_shingles``, a 128-bit fingerprint of the set, and the registers."""
 
     def run(batches):
         for whole in batches:
@@ -138,11 +139,11 @@ def _sketch(docs: DataFrame) -> DataFrame:
                 f1 = [int(s.sum(dtype=np.uint64)) for s in sets]
                 f2 = [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(f1)), pa.array(signed(f2)), pa.array([registers(s).tobytes() for s in sets], pa.binary())],
-                    ["doc_id", "n_shingles", "f1", "f2", "sig"],
+                    [b.column("id"), b.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(f1)), pa.array(signed(f2)), pa.array([registers(s).tobytes() for s in sets], pa.binary())],
+                    ["id", "th", "n_shingles", "f1", "f2", "sig"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+    return docs.mapInArrow(run, "id long, th long, n_shingles long, f1 long, f2 long, sig binary")
 
 
 def _band_keys(parts: np.ndarray) -> np.ndarray:
@@ -315,15 +316,19 @@ def _dense_links(dense: DataFrame, blocks: DataFrame, texts: DataFrame, similari
     return m.groupBy("band", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
+def _linked(docs: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """``node``, ``id``, ``th`` (the text's hash) and ``n_shingles`` of each row, and the links between rows (``a``, ``b``)."""
     spark = docs.sparkSession
-    docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = stash(_sketch(docs), "sketches")
-    classes = stash(rows.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    # a node a row: the number is written with the row, so it stays
+    rows = stash(_sketch(docs).withColumn("doc_id", F.monotonically_increasing_id()), "sketches")
+    classes = stash(rows.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "id", "th", "sig")).alias("x")).select("f1", "f2", "n_shingles", "x.*"), "classes")
     same = rows.filter("n_shingles > 0").select(F.col("doc_id").alias("a"), "f1", "f2", "n_shingles").join(classes.select("f1", "f2", "n_shingles", F.col("doc_id").alias("b")), ["f1", "f2", "n_shingles"]).select("a", "b")
     nodes = classes.select("doc_id", "n_shingles", "sig")
-    texts = docs.join(nodes.select("doc_id"), "doc_id", "left_semi")
+    named = classes.select("doc_id", "id", "th")
+    texts = stash(join_on(docs, named, ["id", "th"]).dropDuplicates(["doc_id"]).select("doc_id", "text"), "texts")
+    release(spark)
     bands = stash(_bands(nodes), "bands")
     sizes = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     shared = stash(bands.join(sizes, "band"), "shared")
@@ -359,10 +364,36 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         links = links.union(_dense_links(dense, blocks, texts, similarity))
     links = stash(links, "links")
     release(spark)
-    # equal sets, and rows that repeat an id, hang on their class
-    roots = components(links.union(same.filter("a <> b")))
-    out = rows.select("doc_id", "n_shingles").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), (F.coalesce("root", "doc_id") == F.col("doc_id")).alias("kept"))
+    # equal sets hang on their class
+    return rows.select(F.col("doc_id").alias("node"), "id", "th", "n_shingles"), links.union(same.filter("a <> b"))
+
+
+def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with ``root``, the component's smallest node."""
+    return rows.join(components(links).select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
+    rows, links = _linked(docs, similarity)
+    # rows that repeat an id are one document
+    first = rows.filter("id is not null").groupBy("id").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    again = rows.join(first, "id").select(F.col("node").alias("a"), "b").filter("a <> b")
+    placed = stash(_rooted(rows, links.union(again)), "placed")
+    least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
+    out = placed.join(least, "root")
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def kept_documents(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """``doc_id`` and ``text_hash`` of one text of each group: of the smallest id, a null one last.
+
+    Here different texts under one id are documents of their own, and so are those without an id.
+    """
+    rows, links = _linked(docs, similarity)
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "node", "th")
+    best = _rooted(rows, links).groupBy("root").agg(F.min(order).alias("x"))
+    return best.select(F.col("x.id").alias("doc_id"), F.col("x.th").alias("text_hash")).distinct()
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,6 +108,16 @@ def test_near_duplicates(odd, small, monkeypatch, dense):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == df.count()
 
 
+def test_near_duplicates_without_ids(spark):
+    other = "quite another text of more than five words that nobody copies at all"
+    rows = [(None, LONG, "x"), (None, LONG + " end", "y"), (3, LONG + " fin", "z"), (4, other, "a"), (4, "some words of a second text under the id of the first one", "b"), (None, other[::-1], "c"), (None, "", "d"), (None, None, "e"), (None, other[::-1], "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_hash string")
+    got = Counter((r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in near_dup.near_duplicates(df).collect())
+    assert got == {(None, True, 3, False): 2, (3, True, 3, True): 1, (4, True, 4, True): 2, (None, True, None, True): 2, (None, False, None, True): 2}
+    kept = Counter(r.doc_id for r in near_dup.kept_documents(df).collect())
+    assert kept == {3: 1, 4: 2, None: 3}
+
+
 def test_near_duplicates_of_nothing(odd):
     assert near_dup.near_duplicates(odd.limit(0)).count() == 0
 

@@ -43,3 +43,22 @@ def test_empty(spark):
     for _, stage in cp.STAGES:
         docs = stash(stage(spark, docs, SF), "test")
     assert docs.count() == 0
+
+
+def test_rows_without_ids_and_texts_under_one_id(spark):
+    words = lambda k, n=40: " ".join(f"{'abcdefghij'[(i * k + i // 7) % 10]}{'klmnopq'[(i + k) % 7]}ing" for i in range(n))
+    rows = [(None, words(1)), (None, words(2)), (None, words(2)), (7, words(3)), (7, words(4)), (7, words(4)), (8, words(4) + " tail"), (9, None), (9, "")]
+    names = ("_id", "_hash", "text_hash", "id", "row", "lang_pred_", "hash")
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or ""), *names) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    columns, want = docs.columns, Counter((i, t) for i, t in rows if t)
+    for k, (_, stage) in enumerate(cp.STAGES[:4]):
+        docs = stash(stage(spark, docs, SF), "test")
+        assert docs.columns == columns
+        got = docs.collect()
+        assert all(r[n] == n for r in got for n in names)
+        if k == 0:
+            assert Counter((r.doc_id, r.text) for r in got) == want
+        elif k in (1, 2):
+            assert Counter((r.doc_id, r.text) for r in got) == Counter({x: 1 for x in want if x[0] != 8})
+    tokens = cp.tokens(spark, docs, SF)
+    assert Counter(r.doc_id for r in tokens.collect()) == Counter(r.doc_id for r in got)
