@@ -6,10 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def or_empty(arr, kind: str = "array<string>") -> Column:
-    return F.coalesce(arr, F.array().cast(kind))
-
-
 def add_if_absent(arr, item) -> Column:
     """Appends the trimmed item unless it is blank or there already."""
     x = F.btrim(item)
@@ -43,12 +39,18 @@ def lookup(codes: dict, code, default=None) -> Column:
     return F.coalesce(F.try_element_at(table, code), F.lit(default))
 
 
-def random_pick(options, *seed) -> Column:
-    """One of an array's elements (null for an empty one), chosen by a hash of the seed columns: reruns agree."""
-    n = F.size(options)
-    return F.when(n > 0, F.element_at(options, (F.pmod(F.xxhash64(*seed), n) + 1).cast("int")))
+def known_or_mapped(code, known, old: dict, default) -> Column:
+    """A code that is known stays; an old one becomes what it maps to; any other the default."""
+    return F.when(code.isin(*known), code).otherwise(lookup(old, code, default))
 
 
-def field_or(arr, name: str, kind: str = "array<string>") -> Column:
-    """A field of an array of structs as an array, empty where there is none."""
-    return F.coalesce(F.transform(arr, lambda x: x[name]), F.array().cast(kind))
+def entries(counts) -> Column:
+    """A map's entries as an array of ``key`` and ``value``, by key."""
+    return F.array_sort(F.map_entries(counts))
+
+
+def random_pick(options, *seed) -> Column:
+    """One of an array's elements (null for an empty one), chosen by an MD5 of the seed columns: reruns agree."""
+    n = F.size(options)
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in seed])), 1, 8), 16, 10).cast("long")
+    return F.when(n > 0, F.get(options, (number % n).cast("int")))

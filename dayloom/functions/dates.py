@@ -98,3 +98,31 @@ def ago(x, as_of) -> Column:
 def navigate(day, view: str, step: int) -> Column:
     """The day one period on (or back): month, week, day, or an agenda of 30 days."""
     return F.to_date(F.add_months(day, step)) if view == "month" else F.date_add(F.to_date(day), {"week": 7, "day": 1, "agenda": 30}[view] * step)
+
+
+def default_end(start, end=None, minutes: int = 30) -> Column:
+    """The end, or half an hour after the start where there is none."""
+    later = add_minutes(start, F.lit(minutes))
+    return later if end is None else F.coalesce(end, later)
+
+
+def local_hour(x, zone: str) -> Column:
+    """The hour of a moment in UTC (without a zone) where the zone's clocks stand."""
+    return F.hour(F.convert_timezone(F.lit("UTC"), F.lit(zone), x.cast("timestamp_ntz")))
+
+
+def to_iso(x) -> Column:
+    """A moment in UTC as ``2024-01-02T03:04:05.678Z``."""
+    return F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def from_iso(text) -> Column:
+    """A moment in UTC (without a zone) from ISO text with a zone or without (then it is in UTC); null if it isn't one."""
+    zoned = F.when(text.rlike(r"(Z|[+-]\d\d:?\d\d)$"), text).otherwise(F.concat(text, F.lit("Z")))
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), zoned.try_cast("timestamp").cast("timestamp_ntz"))
+
+
+def clock(text) -> Column:
+    """``hour`` and ``minute`` of ``HH:mm``; a part that is missing is 0, one that is no number null."""
+    part = lambda i: F.coalesce(F.get(F.split(text, ":"), F.lit(i)), F.lit("0")).try_cast("int")
+    return F.struct(part(0).alias("hour"), part(1).alias("minute"))

@@ -130,3 +130,14 @@ def numeric_seed(text) -> Column:
 def leading_int(text) -> Column:
     """The integer that a text begins with, or null."""
     return F.nullif(F.regexp_extract(text, r"^\s*([+-]?\d+)", 1), F.lit("")).try_cast("long")
+
+
+def short_id(*seed) -> Column:
+    """Nine characters of base 36 from a hash of the seed, so that reruns agree."""
+    digits = F.conv(F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in seed])), 1, 11), 16, 36)
+    return F.lower(F.lpad(digits, 9, "0"))
+
+
+def pretty_json(value) -> Column:
+    """A struct, map or array as indented JSON."""
+    return F.to_json(value, {"pretty": "true"})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dayloom.functions import dates
 from dayloom.functions.numbers import mean_or_zero
 
 GOOD, BAD = ("great", "good", "happy"), ("bad", "sad", "tired")
@@ -39,13 +40,13 @@ def top(df: DataFrame, order, n: int, by=()) -> DataFrame:
 
 
 def todo_snapshot(reminders: DataFrame, as_of: str) -> DataFrame:
-    """Per owner, of the open items: mean energy, high-energy and overdue counts, a label, the most used tag."""
+    """Per owner, of the open items: mean energy, high-energy and overdue counts, the part of the day to focus in, the most used tag."""
     items = open_items(reminders)
     start = F.date_trunc("day", F.lit(as_of).cast("timestamp_ntz")).cast("timestamp_ntz")
     high, overdue = F.col("energy_scale") >= 7, F.coalesce(F.col("due_date") < start, F.lit(False))
     out = items.groupBy("user_id").agg(F.count("*").alias("n"), _mean_of(F.lit(True)).alias("energy_avg"), F.count_if(high).alias("n_high"), F.count_if(overdue).alias("n_overdue"))
     best = top(tag_counts(items, ("user_id",)), [F.col("n").desc(), "tag"], 1, ("user_id",)).select("user_id", F.col("tag").alias("top_tag"))
-    label = F.when((F.col("n_high") > 0) | (F.col("n_overdue") > 0), "Needs attention").otherwise("On track")
+    label = F.when((F.col("n_high") > 0) | (F.col("n_overdue") > 0), "Morning").otherwise("Afternoon")
     return out.join(best, "user_id", "left").withColumn("top_tag", F.coalesce("top_tag", F.lit("None"))).withColumn("label", label)
 
 
@@ -66,9 +67,10 @@ def energy_by_day(reminders: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     return recent.groupBy(F.to_date("created_at").alias("d")).agg(F.avg("energy_scale").alias("energy_avg")).select(F.date_format("d", "yyyy-MM-dd").alias("day"), F.date_format("d", "dd MMM").alias("label"), "energy_avg")
 
 
-def hour_histogram(df: DataFrame, column: str = "created_at") -> DataFrame:
-    """Rows per hour of the day, all 24 hours."""
-    counts = df.groupBy(F.hour(column).alias("hour")).agg(F.count("*").alias("n"))
+def hour_histogram(df: DataFrame, column: str = "created_at", zone: str | None = None) -> DataFrame:
+    """Rows per hour of the day (of a time zone, for moments in UTC), all 24 hours."""
+    hour = dates.local_hour(F.col(column), zone) if zone else F.hour(column)
+    counts = df.groupBy(hour.alias("hour")).agg(F.count("*").alias("n"))
     spine = df.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
     return spine.join(counts, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -89,8 +91,8 @@ def _any(conds: list[Column]) -> Column:
 
 def status_summary(results: DataFrame, positive_latency: bool = False, by=()) -> DataFrame:
     """Counts by status, mean latency (of all, or of those above 0), those not configured, share of successes, and the gravest status."""
-    says = F.lower(F.coalesce("message", F.lit("")))
-    unset = (F.col("status") == "error") & (F.contains(says, F.lit("not configured")) | F.contains(says, F.lit("key is missing")))
+    says = F.coalesce("message", F.lit(""))
+    unset = (F.col("status") == "error") & _any([F.contains(says, F.lit(w)) for w in UNSET])
     latency = F.when(F.col("latency") > 0, F.col("latency")) if positive_latency else F.col("latency")
     rank = F.max(F.when(F.col("status") == "error", 3).when(F.col("status") == "warning", 2).otherwise(1))
     count = lambda s: F.count_if(F.col("status") == s)
@@ -102,29 +104,41 @@ def status_summary(results: DataFrame, positive_latency: bool = False, by=()) ->
     )
 
 
-BUCKETS = (("Database", ("database", "storage")), ("Messages", ("mail",)), ("Search", ("search",)))
+# fixed values: groups of services, the words that their names hold, and the phrases of a service that isn't set up
+BUCKETS = (("Database", ("Supabase", "Database")), ("OpenAI", ("OpenAI",)), ("Social Media", ("Twitter",)))
+OTHER = "External"
+UNSET = ("not configured", "credentials are not")
 
 
-def bucket_of(name: Column, buckets=BUCKETS, other: str = "Other") -> Column:
-    """The first bucket with a word that the name holds."""
+def bucket_of(name: Column, buckets=BUCKETS, other: str = OTHER) -> Column:
+    """The first bucket with a word that the name holds, in the same case."""
     out = F.lit(other)
     for title, words in reversed(buckets):
-        out = F.when(_any([F.contains(F.lower(name), F.lit(w)) for w in words]), title).otherwise(out)
+        out = F.when(_any([F.contains(name, F.lit(w)) for w in words]), title).otherwise(out)
     return out
 
 
-def bucketed(results: DataFrame, per_bucket: int | None = None) -> DataFrame:
-    """Rows grouped into named buckets, in the order of the buckets; empty ones don't appear."""
-    order = [t for t, _ in BUCKETS] + ["Other"]
-    place = F.array_position(F.array(*map(F.lit, order)), F.col("bucket")).cast("int")
-    return results.withColumn("bucket", bucket_of(F.col("name"))).groupBy("bucket").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("name")).alias("names")).withColumn("place", place)
+def bucketed(results: DataFrame) -> DataFrame:
+    """Adds ``bucket`` and ``place``, its position among the buckets; sort by place and the rows' own order to list them."""
+    order = F.array(*[F.lit(t) for t, _ in BUCKETS], F.lit(OTHER))
+    return results.withColumn("bucket", bucket_of(F.col("name"))).withColumn("place", F.array_position(order, F.col("bucket")).cast("int"))
+
+
+def bucket_counts(results: DataFrame) -> DataFrame:
+    """Rows and different names of each bucket; empty ones don't appear."""
+    return bucketed(results).groupBy("bucket", "place").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def severity_message(total: Column, n_warning: Column, n_error: Column) -> Column:
+    """One line on a summary's gravest status."""
+    of = lambda n, what: F.concat(n.cast("string"), F.lit(" of "), total.cast("string"), F.lit(f" {what}"))
+    return F.when(n_error > 0, of(n_error, "failed")).when(n_warning > 0, of(n_warning, "with warnings")).otherwise("all working")
 
 
 def arg_max(counts: DataFrame, key: str) -> DataFrame:
     """The key with the largest ``n`` (the first, on a tie): one row; ``None`` and null for an empty input."""
-    best = counts.agg(F.max_by(F.struct(key, "n"), F.struct("n", F.lit(0))).alias("_"), F.max("n").alias("n"))
-    first = counts.join(F.broadcast(best.select(F.col("n").alias("top_n"))), F.col("n") == F.col("top_n")).agg(F.min(key).alias(key), F.max("n").alias("n"))
-    return first.select(F.coalesce(key, F.lit("None")).alias(key), "n")
+    best = counts.agg(F.min(F.struct((-F.col("n")).alias("order"), key, "n")).alias("x"))
+    return best.select(F.coalesce(f"x.{key}", F.lit("None")).alias(key), F.col("x.n").alias("n"))
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -169,13 +183,16 @@ def numbered(df: DataFrame, key: str, order: str, name: str, chunk: int = 100_00
     before = F.sum("_n").over(Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
     own = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(order)) - 1
-    return c.withColumn(name, own).join(sizes, [key, "_chunk"]).withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_chunk", "_before")
+    sizes = sizes.withColumnsRenamed({key: "_key", "_chunk": "_at"})
+    both = c.withColumn(name, own).join(sizes, F.col(key).eqNullSafe(F.col("_key")) & F.col("_chunk").eqNullSafe(F.col("_at")))
+    return both.withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_chunk", "_before", "_key", "_at")
 
 
 def unique_slugs(posts: DataFrame, base: str = "base", order: str = "id") -> DataFrame:
     """Adds ``slug``: the base for the first post that has it, then base-1, base-2 and so on.
 
-    A suffix that would meet another post's natural base is skipped: a base's free suffixes are its numbers without the taken ones.
+    A suffix that would meet another post's natural base is skipped: a base's free suffixes are its numbers without the taken
+    ones. Posts whose base is null stay, with a null slug.
     """
     n = numbered(posts, base, order, "_nth")
     stem = F.regexp_extract(base, r"^(.*)-(\d+)$", 1)
@@ -185,4 +202,4 @@ def unique_slugs(posts: DataFrame, base: str = "base", order: str = "id") -> Dat
     out = n.join(taken, F.col(base) == F.col("_stem"), "left")
     step = lambda k, t: F.when(t <= k, k + 1).otherwise(k)
     k = F.when(F.col("_nth") == 0, 0).otherwise(F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_nth"), step))
-    return out.withColumn("slug", F.when(k == 0, F.col(base)).otherwise(F.concat_ws("-", base, k.cast("string")))).drop("_nth", "_stem", "_taken")
+    return out.withColumn("slug", F.when(k == 0, F.col(base)).otherwise(F.concat(base, F.lit("-"), k.cast("string")))).drop("_nth", "_stem", "_taken")

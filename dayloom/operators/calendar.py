@@ -90,15 +90,24 @@ def clipped(events: DataFrame) -> DataFrame:
     return events.withColumns({"s": F.when(on("start"), dates.minute_of_day(F.col("start"))).otherwise(0), "e": F.when(on("end"), dates.minute_of_day(F.col("end"))).otherwise(1440)})
 
 
+def clusters(timed: DataFrame) -> DataFrame:
+    """Adds ``cluster``: a new one begins where all earlier events of the owner's day have ended, so events of different ones never overlap."""
+    day = Window.partitionBy("user_id", "day").orderBy("s", "e", "id")
+    busy = F.max("e").over(day.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = timed.withColumn("_new", F.when(busy.isNull() | (F.col("s") >= busy), 1).otherwise(0))
+    return fresh.withColumn("cluster", F.sum("_new").over(day.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
 _SLOT = "struct<id:bigint,s:int,e:int,col:int>"
 
 
 def packed(events: DataFrame) -> DataFrame:
     """Columns for the timed events of each owner's day: the first column in which an event overlaps none.
 
-    Events are taken by start, the longer first, then by id. The fold is over one owner's events of one day.
+    Events are taken by start, the longer first, then by id. The fold is over one cluster of an owner's day, which starts
+    again at the first column.
     """
-    timed = clipped(touched_days(events.filter(~is_multi_day())))
+    timed = clusters(clipped(touched_days(events.filter(~is_multi_day()))))
     length = dates.minutes_between(F.col("start"), F.col("end"))
     queue = F.array_sort(F.collect_list(F.struct("s", (-length).alias("neg"), "id", "e")))
     none = F.array().cast(f"array<{_SLOT}>")
@@ -108,7 +117,7 @@ def packed(events: DataFrame) -> DataFrame:
         free = F.array_min(F.filter(F.sequence(F.lit(0), F.size(acc)), lambda k: ~taken(k)))
         return F.array_append(acc, F.struct(x["id"].alias("id"), x["s"].cast("int").alias("s"), x["e"].cast("int").alias("e"), free.cast("int").alias("col")))
 
-    groups = timed.groupBy("user_id", "day").agg(queue.alias("queue"))
+    groups = timed.groupBy("user_id", "day", "cluster").agg(queue.alias("queue"))
     return groups.select("user_id", "day", F.explode(F.aggregate("queue", none, place)).alias("x")).select("user_id", "day", "x.*")
 
 
@@ -123,9 +132,9 @@ def geometry(slots: DataFrame) -> DataFrame:
 
 def overlaps(events: DataFrame) -> DataFrame:
     """Pairs of one owner's timed events that overlap on a day (half-open): ``day``, ``a``, ``b``."""
-    x = clipped(touched_days(events.filter(~is_multi_day()))).select("user_id", "day", "id", "s", "e")
-    y = x.select(F.col("user_id"), F.col("day"), F.col("id").alias("b"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    return x.join(y, ["user_id", "day"]).filter("id < b and s < e2 and s2 < e").select("user_id", "day", F.col("id").alias("a"), "b")
+    x = clusters(clipped(touched_days(events.filter(~is_multi_day())))).select("user_id", "day", "cluster", "id", "s", "e")
+    y = x.select("user_id", "day", "cluster", F.col("id").alias("b"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    return x.join(y, ["user_id", "day", "cluster"]).filter("id < b and s < e2 and s2 < e").select("user_id", "day", F.col("id").alias("a"), "b")
 
 
 def all_day_bounds(events: DataFrame) -> DataFrame:

@@ -10,9 +10,12 @@ def insert(target: DataFrame, rows: DataFrame) -> DataFrame:
     return target.unionByName(rows)
 
 
-def insert_absent(target: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """Only rows whose key is new."""
-    return target.unionByName(rows.join(target.select(key), key, "left_anti"))
+def insert_absent(target: DataFrame, rows: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Only rows whose key is new; of several with one key the first by ``order`` (without it, by all columns)."""
+    by = [order] if order else [F.struct(*[F.col(c) for c in target.columns])]
+    new = rows.join(target.select(key), key, "left_anti")
+    first = new.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*by))).filter("_n = 1")
+    return target.unionByName(first.select(*target.columns))
 
 
 def upsert(target: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:

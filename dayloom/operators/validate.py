@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 CATEGORIES = ("need_to_do", "want_to_do", "reading_list")
 COLORS = ("blue", "orange", "violet", "rose", "emerald")
-UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
 
 def violations(rules: dict[str, Column]) -> Column:
@@ -23,7 +23,8 @@ def reminder_rules() -> dict[str, Column]:
     return {**required("title"), "energy_scale is from 1 to 10": F.col("energy_scale").between(1, 10), "category is known": F.col("category").isNull() | F.col("category").isin(*CATEGORIES)}
 
 
-def event_rules(colors=COLORS) -> dict[str, Column]:
+def event_rules(colors=COLORS, owner: str | None = None) -> dict[str, Column]:
+    """Rules of a calendar event; ``owner`` names a column that must hold a UUID."""
     start, end = F.col("start"), F.col("end")
     return {
         **required("id", "title"),
@@ -31,14 +32,19 @@ def event_rules(colors=COLORS) -> dict[str, Column]:
         "end is a time": end.isNotNull(),
         "end is not before start": end >= start,
         "color is known": F.col("color").isNull() | F.col("color").isin(*colors),
+        **({f"{owner} is a UUID": F.col(owner).cast("string").rlike(UUID)} if owner else {}),
     }
 
 
 def within_hours(lo: int = 0, hi: int = 24) -> dict[str, Column]:
+    """Both ends' hours within bounds; the default ones hold any time of day."""
     return {f"hours are from {lo} to {hi}": (F.hour("start") >= lo) & (F.hour("start") <= hi) & (F.hour("end") >= lo) & (F.hour("end") <= hi)}
 
 
-POST_FIELDS = ("title", "slug", "content", "excerpt", "tags", "featured_image", "meta_description", "author_id")
+def post_rules() -> dict[str, Column]:
+    """The eight fields that a post must have."""
+    some = {"at least one tag is required": F.size(F.coalesce(F.col("tags"), F.array().cast("array<string>"))) > 0}
+    return {**required("title", "slug", "excerpt", "meta_description", "published_at", "author_id"), **some, **required("featured_image")}
 
 
 def check(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

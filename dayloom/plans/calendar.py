@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dayloom.functions import arrays, dates
+from dayloom.functions import arrays, dates, text
 from dayloom.operators import calendar as C
 from dayloom.operators import validate
 from dayloom.sources import tables as T
@@ -111,7 +111,10 @@ def navigation(spark, d):
 def validate_events(spark, d):
     e = T.calendar_events(spark, d)
     bad = e.withColumn("end", F.when(F.col("id") % 19 == 0, F.expr("start - interval '1' hour")).when(F.col("id") % 23 != 0, F.col("end"))).withColumn("title", F.when(F.col("id") % 29 == 0, "  ").otherwise(F.col("title")))
-    return validate.check(bad, validate.event_rules()).select("id", F.array_join("violations", "; ").alias("violations"))
+    owner = F.concat(F.lit("0a1b2c3d-0000-4000-8000-0000000"), F.lpad(F.col("user_id").cast("string"), 5, "0"))
+    bad = bad.withColumn("owner", F.when(F.col("id") % 31 == 0, F.lit("nobody")).otherwise(owner))
+    rules = {**validate.event_rules(owner="owner"), **validate.within_hours(6, 22)}
+    return validate.check(bad, rules).select("id", F.array_join("violations", "; ").alias("violations"))
 
 
 def event_colors(spark, d):
@@ -128,6 +131,18 @@ def cdc_fold(spark, d):
     return cdc.fold(T.changes(spark, d))
 
 
+def times(spark, d):
+    """Clock text, ISO text and back, default ends and short ids of events."""
+    e = T.calendar_events(spark, d)
+    s = F.col("start")
+    at = dates.clock(F.date_format(s, "HH:mm"))
+    back = dates.from_iso(F.concat(F.date_format(s, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+    return e.select(
+        "id", at["hour"].alias("hour"), at["minute"].alias("minute"), dates.to_iso(s).alias("iso"), _stamp(back).alias("utc"),
+        _stamp(dates.default_end(s, F.when(F.col("id") % 2 == 0, F.col("end")))).alias("end"), text.short_id(F.lit("event"), F.col("id")).alias("short_id"),
+    )
+
+
 _E = lambda sql: with_views(sql, "calendar_events")
 _MULTI = "(all_day OR day(start) <> day(\"end\"))"
 _TOUCHED = """, t AS (SELECT *, CAST(unnest(generate_series(CAST(start AS DATE), CAST("end" AS DATE), INTERVAL 1 DAY)) AS DATE) AS day FROM calendar_events)"""
@@ -175,7 +190,12 @@ QUERIES = {
           {_D("d + 1")} AS day_next, {_D("d - 1")} AS day_back, {_D("d + 30")} AS agenda_next, {_D("d - 30")} AS agenda_back FROM g"""),
     "validate_events": (validate_events, _E("""
         SELECT id, array_to_string([x FOR x IN [CASE WHEN id % 29 = 0 THEN 'title is required' END, CASE WHEN id % 23 = 0 AND id % 19 <> 0 THEN 'end is a time' END,
-          CASE WHEN id % 19 = 0 OR id % 23 = 0 THEN 'end is not before start' END, CASE WHEN color = 'none' THEN 'color is known' END] IF x IS NOT NULL], '; ') AS violations FROM calendar_events""")),
+          CASE WHEN id % 19 = 0 OR id % 23 = 0 THEN 'end is not before start' END, CASE WHEN color = 'none' THEN 'color is known' END, CASE WHEN id % 31 = 0 THEN 'owner is a UUID' END,
+          CASE WHEN coalesce(hour(start) BETWEEN 6 AND 22 AND hour(CASE WHEN id % 19 = 0 THEN start - INTERVAL 1 HOUR WHEN id % 23 <> 0 THEN "end" END) BETWEEN 6 AND 22, false) THEN NULL ELSE 'hours are from 6 to 22' END] IF x IS NOT NULL], '; ') AS violations FROM calendar_events""")),
+    "times": (times, _E("""
+        SELECT id, hour(start)::INTEGER AS hour, minute(start)::INTEGER AS minute, strftime(start, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso, strftime(start - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS utc,
+          strftime(CASE WHEN id % 2 = 0 THEN "end" ELSE start + INTERVAL 30 MINUTE END, '%Y-%m-%d %H:%M:%S') AS "end",
+          lower(to_base(('0x' || substr(md5('event:' || id), 1, 11))::BIGINT, 36, 9)) AS short_id FROM calendar_events""")),
     "event_colors": (event_colors, _E("SELECT color, CASE color WHEN 'blue' THEN '#3b82f6' WHEN 'orange' THEN '#f97316' WHEN 'violet' THEN '#8b5cf6' END AS hex, count(*) AS n FROM calendar_events GROUP BY color")),
     "all_day_bounds": (all_day_bounds, _E("""SELECT id, strftime(CASE WHEN all_day THEN date_trunc('day', start) ELSE start END, '%Y-%m-%d %H:%M:%S.%g') AS start,
           strftime(CASE WHEN all_day THEN date_trunc('day', "end") + INTERVAL 1 DAY - INTERVAL 1 MILLISECOND ELSE "end" END, '%Y-%m-%d %H:%M:%S.%g') AS "end" FROM calendar_events""")),

@@ -115,7 +115,7 @@ def slugify(spark, d):
 
 
 def unique_slug(spark, d):
-    p = T.posts(spark, d).select("id", F.concat(F.array_join(F.slice("tags", 1, 1), ""), F.when(F.col("id") % 50 == 0, F.concat(F.lit("-"), F.pmod("id", F.lit(7)).cast("string"))).otherwise("")).alias("base"))
+    p = T.posts(spark, d).select("id", F.concat(F.when(F.col("id") % 41 != 0, F.lit("")), F.array_join(F.slice("tags", 1, 1), ""), F.when(F.col("id") % 50 == 0, F.concat(F.lit("-"), F.pmod("id", F.lit(7)).cast("string"))).otherwise("")).alias("base"))
     return A.unique_slugs(p).select("id", "slug")
 
 
@@ -173,7 +173,30 @@ def delete_rows(spark, d):
 
 def insert_rows(spark, d):
     p = _people(spark, d)
-    return dml.insert_absent(p.filter("id % 2 = 0"), p.filter("id % 3 = 0"))
+    again = p.filter("id % 9 = 0").withColumn("balance", F.col("balance") + 1)  # a second new row of an id
+    return dml.insert_absent(p.filter("id % 2 = 0"), p.filter("id % 3 = 0").unionByName(again), order="balance")
+
+
+def insert_plain(spark, d):
+    p = _people(spark, d)
+    return dml.insert(p.filter("id % 2 = 0"), p.filter("id % 3 = 0"))
+
+
+def delete_owned(spark, d):
+    """Rows listed with another owner's id stay."""
+    p = T.prompts(spark, d).select("id", "user_id")
+    listed = p.filter("id % 3 = 0").select("id", F.when(F.col("user_id") % 2 == 0, F.col("user_id")).otherwise(-1).alias("user_id"))
+    return dml.delete(p, listed, on=("id", "user_id"))
+
+
+def autosave_rows(spark, d):
+    """Drafts saved once, half of them again with a newer text, in batches that come in the wrong order."""
+    from dayloom.streaming import cdc
+
+    first = _people(spark, d).withColumn("seq", F.lit(2).cast("long"))
+    again = first.filter("id % 2 = 0").withColumns({"seq": F.lit(4).cast("long"), "name": F.concat("name", F.lit(" saved"))})
+    made = lambda x: x.withColumn("op", F.lit("INSERT")).unionByName(x.withColumns({"op": F.lit("UPDATE"), "seq": F.col("seq") + 1}))
+    return cdc.fold(cdc.apply(cdc.compact(made(again)), made(first))).drop("seq")
 
 
 def toggle_done(spark, d):
@@ -200,7 +223,10 @@ QUERIES = {
           CASE id % 3 WHEN 0 THEN 'Use the number ' || seed || '.' WHEN 2 THEN 'Write about ' || seed || '.' ELSE '' END AS clause,
           CASE id % 3 WHEN 0 THEN id END AS number FROM s""", "tags")),
     "quarter_slots": (quarter_slots, "SELECT (i // 4)::INTEGER AS hour, (i % 4 * 15)::INTEGER AS minute, printf('%02d:%02d', i // 4, i % 4 * 15) AS label FROM range(96) t(i)"),
-    "style_picks": (style_picks, None),
+    "style_picks": (style_picks, with_views("SELECT id, ['plain', 'formal', 'playful'][('0x' || substr(md5('style:' || id), 1, 8))::BIGINT % 3 + 1] AS style FROM prompts", "prompts")),
+    "insert_plain": (insert_plain, _P + "SELECT * FROM p WHERE id % 2 = 0 UNION ALL SELECT * FROM p WHERE id % 3 = 0"),
+    "delete_owned": (delete_owned, with_views("SELECT id, user_id FROM prompts WHERE NOT (id % 3 = 0 AND user_id % 2 = 0)", "prompts")),
+    "autosave_rows": (autosave_rows, _P + "SELECT id, name || CASE WHEN id % 2 = 0 THEN ' saved' ELSE '' END AS name, balance FROM p"),
     "bookmark_enrich": (bookmark_enrich, _B("""
         SELECT id, coalesce(c_name, 'Unknown') AS author_name, CASE WHEN p_partkey % 2 = 0 THEN 'preview/' || p_partkey ELSE 'm/' || p_partkey END AS media_url,
           coalesce(array_to_string(urls, ' '), '') AS urls, coalesce(array_to_string(hashtags, ' '), '') AS hashtags, domain AS context_domain
@@ -226,7 +252,7 @@ QUERIES = {
           UNION ALL SELECT page_id, 2, 'text', ' and ' FROM pages UNION ALL SELECT page_id, 3, 'url', url FROM pages)"""),
     "slugify": (slugify, with_views("SELECT id, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM posts", "posts")),
     "unique_slug": (unique_slug, r"""
-        WITH p AS (SELECT doc_id AS id, lang || CASE WHEN doc_id % 50 = 0 THEN '-' || (doc_id % 7) ELSE '' END AS base FROM documents),
+        WITH p AS (SELECT doc_id AS id, CASE WHEN doc_id % 41 <> 0 THEN lang || CASE WHEN doc_id % 50 = 0 THEN '-' || (doc_id % 7) ELSE '' END END AS base FROM documents),
         n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) - 1 AS nth FROM p),
         nat AS (SELECT DISTINCT regexp_extract(base, '^(.*)-(\d+)$', 1) AS stem, CAST(regexp_extract(base, '^(.*)-(\d+)$', 2) AS INTEGER) AS k FROM p WHERE regexp_matches(base, '^.*-[1-9]\d*$')),
         bases AS (SELECT base, max(nth) AS top FROM n GROUP BY 1),

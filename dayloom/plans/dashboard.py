@@ -12,6 +12,8 @@ from dayloom.sources.tables import STAMP, with_views
 
 AS_OF = "2024-01-20 12:00:00"
 QUOTE_DAY = "1995-03-15"
+OWNER = 7
+#: Old color names.
 PALETTE = {"c0": "blue", "c1": "orange", "c2": "violet"}
 HEX = {"blue": "#3b82f6", "orange": "#f97316", "violet": "#8b5cf6"}
 
@@ -71,9 +73,10 @@ def completed_list(spark, d):
 
 def palette(spark, d):
     r = T.reminders(spark, d)
-    name = arrays.lookup(PALETTE, F.col("color"), "blue")
-    strict = arrays.lookup(PALETTE, F.col("color"))
-    return r.groupBy("color").agg(F.count("*").alias("n")).select("color", name.alias("name"), arrays.lookup(HEX, strict).alias("hex"), "n")
+    color = F.when(F.col("id") % 5 == 0, "violet").when(F.col("id") % 7 == 0, "orange").otherwise(F.col("color"))
+    name = arrays.known_or_mapped(F.col("color"), list(HEX), PALETTE, "blue")
+    n = r.groupBy(color.alias("color")).agg(F.count("*").alias("n"))
+    return n.select("color", name.alias("name"), arrays.lookup(HEX, F.col("color")).alias("hex"), "n")
 
 
 def tag_arrays(spark, d):
@@ -97,7 +100,8 @@ def reminder_violations(spark, d):
 
 
 def status_summary(spark, d):
-    return A.status_summary(T.diagnostics(spark, d), by=("user_id",))
+    s = A.status_summary(T.diagnostics(spark, d), by=("user_id",))
+    return s.withColumn("says", A.severity_message(F.col("total"), F.col("n_warning"), F.col("n_error")))
 
 
 def latency_positive_only(spark, d):
@@ -105,7 +109,7 @@ def latency_positive_only(spark, d):
 
 
 def service_buckets(spark, d):
-    return A.bucketed(T.diagnostics(spark, d)).select("bucket", "place", "n", F.array_join("names", ", ").alias("names"))
+    return A.bucket_counts(T.diagnostics(spark, d)).select("bucket", "place", "n", F.array_join("names", ", ").alias("names"))
 
 
 def table_probe(spark, d):
@@ -129,9 +133,36 @@ def relative_time(spark, d):
     return T.reminders(spark, d).filter(F.col("created_at") <= now).select("id", dates.ago(F.col("created_at"), now).alias("ago"))
 
 
+def service_rows(spark, d):
+    """The first rows of the list by bucket."""
+    r = A.bucketed(T.diagnostics(spark, d)).orderBy("place", "id").limit(200)
+    from pyspark.sql import Window
+
+    return r.withColumn("nth", F.row_number().over(Window.orderBy("place", "id"))).select("nth", "bucket", "id", "name")  # 200 rows
+
+
+def owner_reminders(spark, d):
+    r = A.open_items(T.owned(spark, d, "reminders", OWNER))
+    return r.select("id", "is_pinned", F.coalesce(stamp("due_date"), F.lit("--")).alias("due"))
+
+
+def local_hours(spark, d):
+    return A.hour_histogram(T.reminders(spark, d), zone="+05:30")
+
+
+def tag_names(spark, d):
+    return T.tags(spark, d).groupBy("name").agg(F.min("id").alias("id")).orderBy("name").limit(50)
+
+
+def revenue_total(spark, d):
+    r = T.monthly_revenue(spark).agg(F.sum("total").alias("total"), F.max("total").alias("best"), F.count("*").alias("months"))
+    return r.withColumn("active", F.lit(T.users(spark).filter("status = 'active'").count()))
+
+
 _R = lambda sql: with_views(sql, "reminders")
 _DUE = "is_pinned DESC NULLS FIRST, due_date ASC NULLS LAST, id"
 _SUMMARY = """count(*) AS total, count(*) FILTER (WHERE status = 'success') AS n_success, count(*) FILTER (WHERE status = 'warning') AS n_warning, count(*) FILTER (WHERE status = 'error') AS n_error"""
+_BUCKET = "CASE WHEN name LIKE '%Supabase%' OR name LIKE '%Database%' THEN 'Database' WHEN name LIKE '%OpenAI%' THEN 'OpenAI' WHEN name LIKE '%Twitter%' THEN 'Social Media' ELSE 'External' END"
 _OVERALL = "CASE max(CASE status WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END) WHEN 3 THEN 'error' WHEN 2 THEN 'warning' ELSE 'success' END AS overall"
 
 QUERIES = {
@@ -145,7 +176,7 @@ QUERIES = {
         a AS (SELECT user_id, count(*) AS n, (sum(energy_scale) / count(*))::DOUBLE AS energy_avg, count(*) FILTER (WHERE energy_scale >= 7) AS n_high,
               count(*) FILTER (WHERE due_date < date_trunc('day', TIMESTAMP '{AS_OF}')) AS n_overdue FROM o GROUP BY user_id),
         t AS (SELECT user_id, tag, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, tag) AS k FROM (SELECT user_id, unnest(tags) AS tag FROM o) GROUP BY user_id, tag)
-        SELECT a.*, coalesce(tag, 'None') AS top_tag, CASE WHEN n_high > 0 OR n_overdue > 0 THEN 'Needs attention' ELSE 'On track' END AS label
+        SELECT a.*, coalesce(tag, 'None') AS top_tag, CASE WHEN n_high > 0 OR n_overdue > 0 THEN 'Morning' ELSE 'Afternoon' END AS label
         FROM a LEFT JOIN t ON a.user_id = t.user_id AND k = 1""")),
     "top_tags": (top_tags, _R("SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM reminders) GROUP BY tag ORDER BY n DESC, tag LIMIT 5")),
     "upcoming_reminders": (upcoming_reminders, _R(f"""
@@ -172,8 +203,9 @@ QUERIES = {
         SELECT user_id, nth::INTEGER AS nth, id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC NULLS FIRST, id) AS nth
           FROM reminders WHERE is_done) WHERE nth <= 3""")),
     "palette": (palette, _R("""
-        SELECT color, CASE color WHEN 'c0' THEN 'blue' WHEN 'c1' THEN 'orange' WHEN 'c2' THEN 'violet' ELSE 'blue' END AS name,
-          CASE color WHEN 'c0' THEN '#3b82f6' WHEN 'c1' THEN '#f97316' WHEN 'c2' THEN '#8b5cf6' END AS hex, count(*) AS n FROM reminders GROUP BY color""")),
+        , c AS (SELECT CASE WHEN id % 5 = 0 THEN 'violet' WHEN id % 7 = 0 THEN 'orange' ELSE color END AS color FROM reminders)
+        SELECT color, CASE WHEN color IN ('blue', 'orange', 'violet') THEN color WHEN color = 'c1' THEN 'orange' WHEN color = 'c2' THEN 'violet' ELSE 'blue' END AS name,
+          CASE color WHEN 'blue' THEN '#3b82f6' WHEN 'orange' THEN '#f97316' WHEN 'violet' THEN '#8b5cf6' END AS hex, count(*) AS n FROM c GROUP BY color""")),
     "tag_arrays": (tag_arrays, _R("""
         SELECT id, array_to_string(CASE WHEN list_contains(tags, 'click') THEN tags ELSE list_append(tags, 'click') END, '|') AS added,
           array_to_string(list_append(tags, 'click'), '|') AS appended, array_to_string([x FOR x IN tags IF x <> 'click'], '|') AS removed,
@@ -188,14 +220,25 @@ QUERIES = {
         SELECT id, array_to_string(v, '; ') AS violations, len(v)::INTEGER AS n FROM v""")),
     "status_summary": (status_summary, with_views(f"""
         SELECT user_id, {_SUMMARY}, coalesce(avg(latency), 0) AS latency_avg,
-          count(*) FILTER (WHERE status = 'error' AND (lower(message) LIKE '%not configured%' OR lower(message) LIKE '%key is missing%')) AS n_unset,
-          (100 * count(*) FILTER (WHERE status = 'success') / count(*))::DOUBLE AS success_pct, {_OVERALL} FROM diagnostics GROUP BY user_id""", "diagnostics")),
+          count(*) FILTER (WHERE status = 'error' AND (message LIKE '%not configured%' OR message LIKE '%credentials are not%')) AS n_unset,
+          (100 * count(*) FILTER (WHERE status = 'success') / count(*))::DOUBLE AS success_pct, {_OVERALL},
+          CASE WHEN count(*) FILTER (WHERE status = 'error') > 0 THEN count(*) FILTER (WHERE status = 'error') || ' of ' || count(*) || ' failed'
+            WHEN count(*) FILTER (WHERE status = 'warning') > 0 THEN count(*) FILTER (WHERE status = 'warning') || ' of ' || count(*) || ' with warnings' ELSE 'all working' END AS says FROM diagnostics GROUP BY user_id""", "diagnostics")),
     "latency_positive_only": (latency_positive_only, with_views(f"""
         SELECT name, count(*) AS total, coalesce(avg(latency) FILTER (latency > 0), 0) AS latency_avg, {_OVERALL} FROM diagnostics GROUP BY name""", "diagnostics")),
-    "service_buckets": (service_buckets, with_views("""
-        , b AS (SELECT name, CASE WHEN lower(name) LIKE '%database%' OR lower(name) LIKE '%storage%' THEN 'Database' WHEN lower(name) LIKE '%mail%' THEN 'Messages'
-              WHEN lower(name) LIKE '%search%' THEN 'Search' ELSE 'Other' END AS bucket FROM diagnostics)
-        SELECT bucket, list_position(['Database', 'Messages', 'Search', 'Other'], bucket)::INTEGER AS place, count(*) AS n, string_agg(DISTINCT name, ', ' ORDER BY name) AS names FROM b GROUP BY bucket""", "diagnostics")),
+    "service_buckets": (service_buckets, with_views(f"""
+        , b AS (SELECT name, {_BUCKET} AS bucket FROM diagnostics)
+        SELECT bucket, list_position(['Database', 'OpenAI', 'Social Media', 'External'], bucket)::INTEGER AS place, count(*) AS n, string_agg(DISTINCT name, ', ' ORDER BY name) AS names FROM b GROUP BY bucket""", "diagnostics")),
+    "service_rows": (service_rows, with_views(f"""
+        , b AS (SELECT id, name, {_BUCKET} AS bucket FROM diagnostics)
+        SELECT (row_number() OVER (ORDER BY list_position(['Database', 'OpenAI', 'Social Media', 'External'], bucket), id))::INTEGER AS nth, bucket, id, name FROM b ORDER BY nth LIMIT 200""", "diagnostics")),
+    "owner_reminders": (owner_reminders, _R(f"""
+        SELECT id, is_pinned, coalesce(strftime(due_date, '%Y-%m-%d %H:%M:%S'), '--') AS due FROM reminders WHERE user_id = {OWNER} AND is_open AND NOT is_done""")),
+    "local_hours": (local_hours, _R("""
+        , h AS (SELECT hour(created_at + INTERVAL 330 MINUTE) AS hour, count(*) AS n FROM reminders GROUP BY 1)
+        SELECT s.hour::INTEGER AS hour, coalesce(n, 0)::BIGINT AS n FROM range(24) s(hour) LEFT JOIN h ON h.hour = s.hour""")),
+    "tag_names": (tag_names, with_views("SELECT name, min(id) AS id FROM tags GROUP BY name ORDER BY name LIMIT 50", "tags")),
+    "revenue_total": (revenue_total, f"SELECT {sum(n for _, n in T.REVENUE)}::BIGINT AS total, {max(n for _, n in T.REVENUE)}::BIGINT AS best, {len(T.REVENUE)}::BIGINT AS months, 2::BIGINT AS active"),
     "table_probe": (table_probe, "SELECT * FROM (VALUES ('events', true), ('orders', true), ('no_such_table', false)) t(name, ok)"),
     "missing_settings": (missing_settings, "SELECT 'mail_key,search_key' AS missing, 'abc...hij' AS masked, '[redacted]' AS token, 'u' AS user"),
     "energy_bars": (energy_bars, _R("SELECT energy_scale, (energy_scale * 10)::INTEGER AS bar, greatest(least(energy_scale, 8), 2)::INTEGER AS clamped, count(*) AS n FROM reminders GROUP BY energy_scale")),

@@ -1,15 +1,7 @@
-"""Declared schemas of the library's relations; readers fail on a mismatch instead of guessing."""
+"""The declared schema of a page of bookmarks."""
 
 from __future__ import annotations
 
-REMINDERS = (
-    "id long, user_id long, title string, content string, tags array<string>, created_at timestamp_ntz, color string, energy_scale int, "
-    "is_done boolean, due_date timestamp_ntz, is_open boolean, is_pinned boolean, category string"
-)
-QUOTES = "id long, quote_text string, author string, theme string, scheduled_date date"
-CALENDAR_EVENTS = "id long, title string, description string, start timestamp_ntz, `end` timestamp_ntz, all_day boolean, color string, location string, user_id long"
-DIAGNOSTICS = "name string, status string, message string, latency double"
-TRANSACTIONS = "id long, user_id long, amount double, type string, day string"
 #: A page of bookmarks with its side-loaded authors and media.
 BOOKMARK_PAGE = """
 data array<struct<id: string, text: string, created_at: string, author_id: string, attachments: struct<media_keys: array<string>>,

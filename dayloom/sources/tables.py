@@ -22,10 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def user_rows(df: DataFrame, user_id) -> DataFrame:
-    """The rows of one owner."""
+    """The rows of one owner. There is no way to read without one: a missing owner is an error."""
+    if user_id is None:
+        raise ValueError("an owner is required")
     return df.filter(F.col("user_id") == user_id)
 
 
+def owned(spark: SparkSession, sf_dir: str, name: str, user_id) -> DataFrame:
+    """A relation of this module (by its function's name), read for one owner; the filter reaches the scan."""
+    return user_rows(globals()[name](spark, sf_dir), user_id)
+
+
 def files(spark: SparkSession, path: str, base_url: str, pattern: str = "*") -> DataFrame:
     """``name`` and public ``url`` of the files below a path; their content is not read."""
     listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path")
@@ -72,6 +79,26 @@ def bookmark_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return part("data"), part("includes.users"), part("includes.media")
 
 
+#: Literal relations, with invented values.
+USERS = [(1, "Ada", "Example", "ada@users.example", "passport", "active"), (2, "Bo", "Sample", "bo@users.example", "license", "inactive"), (3, "Cy", "Instance", "cy@users.example", "passport", "active")]
+REVENUE = [("Jan", 1200), ("Feb", 1500), ("Mar", 900), ("Apr", 2100), ("May", 1750), ("Jun", 1980), ("Jul", 2250), ("Aug", 2040), ("Sep", 1830), ("Oct", 1960), ("Nov", 2310), ("Dec", 2600)]
+
+
+def users(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(USERS, "id long, name string, surname string, email string, id_type string, status string")
+
+
+def monthly_revenue(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(REVENUE, "name string, total long")
+
+
+def sample_events(spark: SparkSession, first: str) -> DataFrame:
+    """Three events around a day, as a new calendar shows them."""
+    days = spark.createDataFrame([(1, "Planning", -1, 9, 60), (2, "Review", 0, 14, 30), (3, "Trip", 2, 0, 2880)], "id long, title string, day int, hour int, minutes int")
+    start = f"timestamp_ntz'{first} 00:00:00' + make_dt_interval(day, hour)"
+    return days.selectExpr("id", "title", f"{start} as start", f"{start} + make_dt_interval(0, 0, minutes) as end", "minutes >= 1440 as all_day")
+
+
 def quarters(spark: SparkSession) -> DataFrame:
     """The 96 starts of a quarter of an hour: ``hour``, ``minute``, ``label``."""
     q = spark.range(96).select((F.col("id") / 4).cast("int").alias("hour"), (F.col("id") % 4 * 15).cast("int").alias("minute"))
@@ -139,13 +166,16 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SERVICES = ("Database", "OpenAI API", "Twitter API", "mail database", "Supabase Storage", "Search API")
+
+
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     status = F.when(kind == "error", "error").when(kind == "signup", "warning").otherwise("success")
-    message = F.when((kind == "error") & (F.col("event_id") % 2 == 0), "Service Not Configured").when(kind == "error", "API key is missing").when(kind == "signup", "API key is missing")
+    message = F.when((kind == "error") & (F.col("event_id") % 3 == 0), "Service Not Configured").when((kind == "error") & (F.col("event_id") % 3 == 1), "service not configured").when(kind.isin("error", "signup"), "API credentials are not set")
     latency = F.when(F.col("event_id") % 6 == 0, F.lit(0.0)).when(F.col("event_id") % 5 == 0, F.lit(None)).otherwise(F.col("value"))
     return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"), "user_id", F.concat_ws(" ", kind, F.element_at(F.array(*map(F.lit, ("Database", "Mail API", "Storage", "Search API"))), (F.col("event_id") % 4 + 1).cast("int"))).alias("name"), status.alias("status"), message.alias("message"), latency.alias("latency")
+        F.col("event_id").alias("id"), "user_id", F.concat_ws(" ", kind, F.element_at(F.array(*map(F.lit, SERVICES)), (F.col("event_id") % len(SERVICES) + 1).cast("int"))).alias("name"), status.alias("status"), message.alias("message"), latency.alias("latency")
     )
 
 
@@ -199,9 +229,10 @@ SQL = {
     "prompt_tags": "SELECT DISTINCT l_orderkey AS prompt_id, l_partkey AS tag_id FROM lineitem WHERE l_orderkey % 3 <> 0",
     "tags": "SELECT p_partkey AS id, p_brand || ' ' || p_size AS name FROM part",
     "quotes": "SELECT o_orderkey AS id, 'quote ' || o_orderkey AS quote_text, o_orderpriority AS theme, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) END AS scheduled_date FROM orders",
-    "diagnostics": """SELECT event_id AS id, user_id, event_type || ' ' || ['Database', 'Mail API', 'Storage', 'Search API'][event_id % 4 + 1] AS name,
+    "diagnostics": """SELECT event_id AS id, user_id, event_type || ' ' || ['Database', 'OpenAI API', 'Twitter API', 'mail database', 'Supabase Storage', 'Search API'][event_id % 6 + 1] AS name,
       CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' ELSE 'success' END AS status,
-      CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'Service Not Configured' WHEN event_type IN ('error', 'signup') THEN 'API key is missing' END AS message,
+      CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'Service Not Configured' WHEN event_type = 'error' AND event_id % 3 = 1 THEN 'service not configured'
+        WHEN event_type IN ('error', 'signup') THEN 'API credentials are not set' END AS message,
       CASE WHEN event_id % 6 = 0 THEN 0.0 WHEN event_id % 5 = 0 THEN NULL ELSE value END AS latency FROM events""",
     "transactions": "SELECT o_orderkey AS id, o_custkey AS user_id, o_totalprice AS amount, CASE WHEN o_orderstatus = 'F' THEN 'credit' ELSE 'debit' END AS type, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders",
     "posts": r"SELECT doc_id AS id, array_to_string(string_split_regex(text, '\s+')[1:2], ' ') AS title, split_part(text, chr(10), 1) AS excerpt, [lang, source] AS tags, text AS content FROM documents",

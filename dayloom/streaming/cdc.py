@@ -4,6 +4,11 @@ Per key, in the order of ``seq``: INSERT makes a row only where there is none; U
 there is one; DELETE removes it. So what remains of a key is decided after its last DELETE: its first
 INSERT there makes the row, and the last UPDATE after that gives its values. This needs one shuffle
 by key and no per-key lists.
+
+Changes may come in any order over batches. The state is therefore not the rows but the changes that may
+still matter (``compact``): a key's last DELETE, the INSERTs after it (a late DELETE between two makes the
+second one count) and the last UPDATE after it (its INSERT may come late). Folding the state gives
+the rows that one fold over all changes would.
 """
 
 from __future__ import annotations
@@ -11,22 +16,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Parts of the state by key; a batch rewrites those that its keys fall in.
+PARTS = 16
+
+
+def _after_delete(changes: DataFrame) -> DataFrame:
+    deleted = F.max(F.when(F.col("op") == "DELETE", F.col("seq"))).over(Window.partitionBy("id"))
+    return changes.withColumn("_deleted", deleted)
+
 
 def fold(changes: DataFrame) -> DataFrame:
     """The rows that remain: ``id``, ``seq`` (of the change that gave the values), and the value columns."""
     values = [c for c in changes.columns if c not in ("id", "seq", "op")]
-    w = Window.partitionBy("id")
-    c = changes.withColumn("_deleted", F.max(F.when(F.col("op") == "DELETE", F.col("seq"))).over(w))
-    c = c.filter(F.col("_deleted").isNull() | (F.col("seq") > F.col("_deleted")))
-    c = c.withColumn("_made", F.min(F.when(F.col("op") == "INSERT", F.col("seq"))).over(w))
+    c = _after_delete(changes).filter(F.col("_deleted").isNull() | (F.col("seq") > F.col("_deleted")))
+    c = c.withColumn("_made", F.min(F.when(F.col("op") == "INSERT", F.col("seq"))).over(Window.partitionBy("id")))
     c = c.filter((F.col("seq") == F.col("_made")) | ((F.col("op") == "UPDATE") & (F.col("seq") > F.col("_made"))))
     last = c.groupBy("id").agg(F.max_by(F.struct("seq", *values), "seq").alias("row"))
     return last.select("id", "row.*")
 
 
+def compact(changes: DataFrame) -> DataFrame:
+    """The changes that may still matter; ``fold`` gives the same for them as for all."""
+    columns = changes.columns
+    updated = F.max(F.when(F.col("op") == "UPDATE", F.col("seq"))).over(Window.partitionBy("id"))
+    c = _after_delete(changes).withColumn("_updated", updated)
+    alive = F.col("_deleted").isNull() | (F.col("seq") > F.col("_deleted"))
+    c = c.filter(((F.col("op") == "DELETE") & (F.col("seq") == F.col("_deleted"))) | (alive & ((F.col("op") == "INSERT") | ((F.col("op") == "UPDATE") & (F.col("seq") == F.col("_updated"))))))
+    return c.select(*columns).dropDuplicates(["id", "seq", "op"])
+
+
 def apply(state: DataFrame, changes: DataFrame) -> DataFrame:
-    """The state after more changes; a state's row is the INSERT it came from."""
-    return fold(state.withColumn("op", F.lit("INSERT")).unionByName(changes))
+    """The state after more changes; ``fold`` of it gives the rows."""
+    return compact(state.unionByName(changes))
 
 
 def read_changes(spark: SparkSession, path: str, schema, files_per_trigger: int = 10, user_id=None) -> DataFrame:
@@ -35,15 +56,60 @@ def read_changes(spark: SparkSession, path: str, schema, files_per_trigger: int
     return stream if user_id is None else stream.filter(F.col("user_id") == user_id)
 
 
-def state_at(spark: SparkSession, path: str, version: int, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{path}/v{version}") if version >= 0 else spark.createDataFrame([], schema)
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The versions of each part, from the folders' names (a few for each of ``PARTS``)."""
+    root, fs = _folder(spark, path)
+    found: dict[int, list[int]] = {}
+    for part in fs.listStatus(root) if fs.exists(root) else ():
+        name = part.getPath().getName()
+        if name.startswith("part="):
+            inside = [v.getPath().getName() for v in fs.listStatus(part.getPath())]
+            found[int(name[5:])] = sorted(int(v[8:]) for v in inside if v.startswith("version="))
+    return found
+
+
+def state_at(spark: SparkSession, path: str, version: int, schema, parts=None) -> DataFrame:
+    """The state (changes that may still matter) after a batch; of each part the last version up to it."""
+    last = {p: max((v for v in vs if v <= version), default=None) for p, vs in _versions(spark, path).items() if parts is None or p in parts}
+    where = [f"{path}/part={p}/version={v}" for p, v in sorted(last.items()) if v is not None]
+    return spark.read.schema(schema).parquet(*where) if where else spark.createDataFrame([], schema)
 
 
 def start(changes: DataFrame, path: str, checkpoint: str, **trigger):
-    """Folds a stream into a state table at ``path``: version ``v<n>`` after batch n, so a batch that is retried writes the same."""
-    fields = changes.select("id", "seq", *[c for c in changes.columns if c not in ("id", "seq", "op")]).schema
+    """Folds a stream into a state at ``path``.
+
+    A batch reads and writes only the parts that its keys fall in, as a version of its own number, so a batch that is
+    retried writes the same. Of each part the last two versions stay.
+    """
+    schema = changes.schema
 
     def step(batch: DataFrame, n: int) -> None:
-        apply(state_at(batch.sparkSession, path, n - 1, fields), batch).write.mode("overwrite").parquet(f"{path}/v{n}")
+        spark = batch.sparkSession
+        part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
+        touched = [r["part"] for r in batch.select(part.alias("part")).distinct().collect()]  # at most PARTS
+        if not touched:
+            return
+        state = apply(state_at(spark, path, n - 1, schema, touched), batch)
+        parted = state.select("*", part.alias("part"), F.lit(n).alias("version"))
+        parted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "version").parquet(path)
+        for p, versions in _versions(spark, path).items():
+            for old in versions[:-2] if p in touched else ():
+                folder, fs = _folder(spark, f"{path}/part={p}/version={old}")
+                fs.delete(folder, True)
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def autosave(drafts: DataFrame, path: str, checkpoint: str, every: str = "30 seconds", **trigger):
+    """Upserts a stream of drafts (``id``, ``seq``, values) periodically: the last one of each id stays.
+
+    A draft is an INSERT and an UPDATE (with ``seq`` doubled, and doubled plus one), so it makes the row or replaces it.
+    """
+    made = drafts.withColumn("op", F.lit("INSERT")).withColumn("seq", F.col("seq") * 2)
+    saved = made.unionByName(made.withColumn("op", F.lit("UPDATE")).withColumn("seq", F.col("seq") + 1))
+    return start(saved, path, checkpoint, **(trigger or {"processingTime": every}))

@@ -182,8 +182,36 @@ def test_change_feed_batch_and_stream_agree(spark, tmp_path):
         spark.createDataFrame(rows[k * 50 : k * 50 + 50], schema).coalesce(1).write.mode("append").parquet(feed)
         q = cdc.start(cdc.read_changes(spark, feed, schema, 1), state, str(tmp_path / "cp"))
         q.awaitTermination()
-    fields = spark.createDataFrame([], "id long, seq long, value double").schema
-    assert as_dict(cdc.state_at(spark, state, 2, fields)) == want
+    assert as_dict(cdc.fold(cdc.state_at(spark, state, 2, schema))) == want
+
+
+def test_changes_in_any_order_over_batches(spark, tmp_path):
+    import random
+
+    rng, schema = random.Random(5), "id long, seq long, op string, user_id long, value double"
+    rows = [(rng.randrange(12), s, rng.choice(["INSERT", "UPDATE", "UPDATE", "DELETE"]), s % 2, float(s)) for s in range(160)]
+    rows += [(100, 10, "DELETE", 0, 0.0), (100, 7, "UPDATE", 0, 7.0), (101, 5, "INSERT", 0, 5.0), (101, 7, "UPDATE", 0, 7.0)]
+    want = sorted(map(tuple, cdc.fold(spark.createDataFrame([r for r in rows if r[3] == 0], schema)).collect()))
+    assert any(w[0] == 101 and w[1] == 7 for w in want) and len(want) > 3
+    rng.shuffle(rows)
+    rows = [r for r in rows if r[0] == 100 or r[2] == "UPDATE"][:20] + rows  # some come twice, and early
+    feed, state = str(tmp_path / "feed"), str(tmp_path / "state")
+    for k in range(0, len(rows), 40):
+        spark.createDataFrame(rows[k : k + 40], schema).coalesce(1).write.mode("append").parquet(feed)
+    cdc.start(cdc.read_changes(spark, feed, schema, 1, user_id=0), state, str(tmp_path / "cp")).awaitTermination()
+    fields = spark.createDataFrame([], schema).schema
+    assert sorted(map(tuple, cdc.fold(cdc.state_at(spark, state, 1 << 30, fields)).collect())) == want
+    assert all(len(v) <= 2 for v in cdc._versions(spark, state).values())
+
+
+def test_autosave_keeps_the_last_draft(spark, tmp_path):
+    feed, state, schema = str(tmp_path / "feed"), str(tmp_path / "state"), "id long, seq long, body string"
+    for rows in ([(1, 3, "new"), (2, 1, "only")], [(1, 1, "old")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
+    drafts = cdc.read_changes(spark, feed, schema, 1)
+    cdc.autosave(drafts, state, str(tmp_path / "cp"), availableNow=True).awaitTermination()
+    fields = spark.createDataFrame([], schema + ", op string").schema
+    assert sorted((r.id, r.body) for r in cdc.fold(cdc.state_at(spark, state, 9, fields)).collect()) == [(1, "new"), (2, "only")]
 
 
 def test_bookmark_pages_and_file_list(spark, tmp_path):
@@ -202,3 +230,37 @@ def test_random_pick_is_seeded(spark):
     first = [r.x for r in df.orderBy("id").collect()]
     assert first == [r.x for r in df.orderBy("id").collect()] and set(first) == {"a", "b"}
     assert one(spark, arrays.random_pick(F.array().cast("array<string>"), F.lit(1)))[0] is None
+
+
+def test_rows_with_null_keys_and_repeated_ids_stay(spark):
+    posts = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None), (5, "a-1")], "id long, base string")
+    assert {r.id: r.slug for r in A.unique_slugs(posts).collect()} == {1: "a", 2: None, 3: "a-2", 4: None, 5: "a-1"}
+    t = spark.createDataFrame([(1, "a", 1)], "id long, v string, n int")
+    new = spark.createDataFrame([(1, "x", 1), (2, "late", 5), (2, "early", 3)], t.schema)
+    assert sorted(map(tuple, dml.insert_absent(t, new, order="n").collect())) == [(1, "a", 1), (2, "early", 3)]
+    counts = spark.createDataFrame([("b", 3), ("a", 3), ("c", 1)], "tag string, n long")
+    assert tuple(A.arg_max(counts, "tag").first()) == ("a", 3) and tuple(A.arg_max(counts.limit(0), "tag").first()) == ("None", None)
+    assert sorted(map(tuple, dml.insert(t, new).collect())) == [(1, "a", 1), (1, "x", 1), (2, "early", 3), (2, "late", 5)]
+
+
+def test_post_and_event_rules(spark):
+    post = ("t", "s", "e", "m", "2024-01-01", "u", ["x"], "f")
+    df = spark.createDataFrame([post, ("t", "s", " ", None, None, "u", [], "")], "title string, slug string, excerpt string, meta_description string, published_at string, author_id string, tags array<string>, featured_image string")
+    good, bad = validate.split_valid(df, validate.post_rules())
+    assert good.count() == 1 and set(bad.first().violations) == {"excerpt is required", "meta_description is required", "published_at is required", "at least one tag is required", "featured_image is required"}
+    with pytest.raises(ValueError):
+        T.owned(spark, "/root/testdata/sf0.001", "reminders", None)
+
+
+def test_small_functions(spark):
+    from dayloom.functions import arrays, dates, text
+
+    assert one(spark, dates.clock(F.lit("07:45")))[0] == (7, 45) and one(spark, dates.clock(F.lit("9")))[0] == (9, 0)
+    assert str(one(spark, dates.from_iso(F.lit("2024-01-02T03:04:05+02:00")))[0]) == "2024-01-02 01:04:05"
+    assert str(one(spark, dates.from_iso(F.lit("2024-01-02T03:04:05.500Z")))[0]) == "2024-01-02 03:04:05.500000" and one(spark, dates.from_iso(F.lit("no")))[0] is None
+    ids = {r[0] for r in spark.range(500).select(text.short_id(F.lit("x"), F.col("id"))).collect()}
+    assert len(ids) == 500 and all(len(i) == 9 and i.isalnum() and i == i.lower() for i in ids)
+    assert one(spark, text.pretty_json(F.struct(F.lit(1).alias("a"))))[0].split() == ["{", '"a"', ":", "1", "}"]
+    got = one(spark, arrays.entries(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2))))[0]
+    assert [tuple(x) for x in got] == [("a", 2), ("b", 1)]
+    assert T.sample_events(spark, "2024-03-10").filter("all_day").count() == 1
