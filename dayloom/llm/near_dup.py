@@ -41,8 +41,8 @@ SIMILARITY = 75
 REST_BITS, MANTISSA_BITS = 57, 10
 #: Pairs whose estimate is this many standard errors below the threshold are dropped.
 SIGMAS = 5.0
-#: Members of a bucket that are compared with each other in one task.
-BLOCK = 1000
+#: Members of a bucket that are compared with each other in one task; rows and pairs that a task works on at once.
+BLOCK, GATHER, PAIRS = 256, 4096, 1 << 18
 #: Rounds in which each document verifies one more of its centres.
 ROUNDS = 2
 #: Hopeful pairs a member up to which a block's pairs are verified one by one.
@@ -249,36 +249,96 @@ def _rest_of(key: tuple, x: int, ids, own, root) -> np.ndarray:
     return y[ids[y] > ids[x]] if key[1] == key[2] else y
 
 
+def _pairs_of(begin: int, end: int, own: np.ndarray, i: int, j: int):
+    """Row numbers of the pairs that a block pair compares, a bounded number at a time."""
+    if i == j:
+        x = np.arange(begin, end)
+        step = max(1, PAIRS // len(x))
+        for at in range(0, len(x), step):
+            some = x[at : at + step]
+            left, right = np.repeat(some, end - begin), np.tile(x, len(some))
+            yield left[right > left], right[right > left]
+    else:
+        left, right = begin + np.flatnonzero(own[begin:end] == i), begin + np.flatnonzero(own[begin:end] == j)
+        step = max(1, PAIRS // max(1, len(right)))
+        for at in range(0, len(left), step):
+            some = left[at : at + step]
+            yield np.repeat(some, len(right)), np.tile(right, len(some))
+
+
+def _compared(t: pa.Table, similarity: int) -> pa.RecordBatch:
+    """The hopeful pairs of some whole block pairs, all worked on together."""
+    ids, root, n, own, band, i, j = (t.column(c).to_numpy() for c in ("doc_id", "root", "n_shingles", "own", "band", "i", "j"))
+    regs = np.frombuffer(flat(t.column("sig"))[0].tobytes(), np.uint16).reshape(-1, BUCKETS)
+    full = regs.copy()
+    for k in np.flatnonzero((regs == 0).any(axis=1)):
+        full[k] = densified(regs[k])
+    shared = full.view(np.uint64)
+    keys = signed(_band_keys(shared))
+    begin = np.flatnonzero((np.diff(band, prepend=~band[:1]) != 0) | (np.diff(i, prepend=-1) != 0) | (np.diff(j, prepend=-1) != 0))
+    ends = np.append(begin[1:], len(band))
+    group = np.repeat(np.arange(len(begin)), ends - begin)
+    xs, ys, held, found = [], [], 0, []
+
+    def flush():
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+        for at in range(0, len(x), 1 << 16):
+            u, v = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+            # a pair is looked at in its first common band only
+            first = (shared[u] == shared[v]).argmax(axis=1)
+            here = keys[u, first] == band[u]
+            u, v = u[here], v[here]
+            ok = hopeful(regs[u], regs[v], n[u], n[v], similarity)[0]
+            found.append((u[ok], v[ok]))
+
+    for g0, g1 in zip(begin.tolist(), ends.tolist(), strict=True):
+        for x, y in _pairs_of(g0, g1, own, int(i[g0]), int(j[g0])):
+            xs.append(x)
+            ys.append(y)
+            held += len(x)
+            if held >= PAIRS:
+                flush()
+                xs, ys, held = [], [], 0
+    if xs:
+        flush()
+    x, y = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    many = np.bincount(group[x], minlength=len(begin))
+    dense = (many > DENSE * (ends - begin))[group[x]]
+    members = np.unique(np.concatenate([x[dense], y[dense]]))
+    x, y = x[~dense], y[~dense]
+    rows = np.concatenate([x, members])
+    b = pa.array(np.concatenate([ids[y], np.zeros(len(members), np.int64)]), pa.int64(), mask=np.arange(len(rows)) >= len(x))
+    return pa.RecordBatch.from_arrays([pa.array(band[rows]), pa.array(i[rows]), pa.array(j[rows]), pa.array(ids[rows]), b], ["band", "i", "j", "a", "b"])
+
+
 def _across(blocks: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
     """Hopeful pairs (``a``, ``b``) of different components in a block pair.
 
     A block pair with more than ``DENSE`` of them a member gives instead, with ``b`` null, the members that
-    have any: their sets are brought together.
+    have any: their sets are brought together. A task streams its block pairs, and works on some thousand rows at once.
     """
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, BUCKETS)
-        ids, root, n, own = (pdf[c].to_numpy() for c in ("doc_id", "root", "n_shingles", "own"))
-        shared = np.stack([densified(r) for r in sig]).view(np.uint64)
-        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x in np.flatnonzero(own == key[1]):
-            y = _rest_of(key, x, ids, own, root)
-            if len(y):
-                # a pair is looked at in its first common band only
-                first = (shared[y] == shared[x]).argmax(axis=1)
-                y = y[signed(_band_keys(shared[x]))[first] == key[0]]
-            if len(y):
-                y = y[hopeful(np.broadcast_to(sig[x], (len(y), BUCKETS)), sig[y], np.broadcast_to(n[x], len(y)), n[y], similarity)[0]]
-                a_out.append(np.full(len(y), ids[x]))
-                b_out.append(ids[y])
-        a, b = np.concatenate(a_out), pd.Series(np.concatenate(b_out), dtype="Int64")
-        if len(a) > DENSE * len(pdf):
-            a = np.unique(np.concatenate([a, b.to_numpy(np.int64)]))
-            b = pd.Series([pd.NA] * len(a), dtype="Int64")
-        return pd.DataFrame({"band": key[0], "i": key[1], "j": key[2], "a": a, "b": b})
-
-    m = blocks.join(nodes.select("doc_id", "sig", "n_shingles"), "doc_id")
-    return m.groupBy("band", "i", "j").applyInPandas(run, "band long, i int, j int, a long, b long")
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.num_rows >= GATHER:
+                k = [held.column(c).to_numpy() for c in ("band", "i", "j")]
+                cut = int(np.flatnonzero(np.any([c != c[-1] for c in k], axis=0)).max(initial=-1)) + 1
+                if cut:
+                    yield _compared(held.slice(0, cut), similarity)
+                    held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield _compared(held, similarity)
+
+    m = blocks.join(nodes.select("doc_id", "sig", "n_shingles"), "doc_id").select("band", "i", "j", "own", "doc_id", "root", "sig", "n_shingles")
+    parts = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a number of partitions that stays: the work grows with pairs, not with bytes
+    dealt = m.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return dealt.mapInArrow(run, "band long, i int, j int, a long, b long")
 
 
 def _dense_links(dense: DataFrame, blocks: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:

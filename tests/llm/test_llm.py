@@ -118,6 +118,22 @@ def test_near_duplicates_without_ids(spark):
     assert kept == {3: 1, 4: 2, None: 3}
 
 
+def test_a_bucket_of_many_unlike_documents(spark, monkeypatch):
+    # more members than a block holds, which share most registers but not enough shingles
+    rng, rows = np.random.default_rng(2), []
+    common = [f"common{i}" for i in range(120)]
+    for k in range(330):
+        own = [f"own{k // 2}x{i}" for i in range(int(rng.integers(20, 60)))]
+        rows.append((k, " ".join(common + own + [f"last{k}"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_dup, "BLOCK", 100)
+    monkeypatch.setattr(near_dup, "GATHER", 64)
+    monkeypatch.setattr(near_dup, "PAIRS", 500)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df).collect()}
+    want = brute_near(rows)
+    assert got == want and 10 < len({c for _, c in want.values()}) < 330
+
+
 def test_near_duplicates_of_nothing(odd):
     assert near_dup.near_duplicates(odd.limit(0)).count() == 0
 
