@@ -82,9 +82,12 @@ def occurrences(words: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     at = ["id", "doc_id", "text_hash", "start"]
     first = lists(index, tests).filter("start >= 0").select(*at).distinct()
     both = join_on(first, lists(index, tests, "2").select(*at), at, "left_semi")
-    both = spread(stash(both, "starts"), tests.select("id", "item_id", "phrase"), ["id"], SPLIT)
+    both = stash(spread(both, tests.select("id", "item_id", "phrase"), ["id"], SPLIT), "starts")
     fits = F.slice("words", F.col("start") + 1, F.size("phrase")) == F.col("phrase")
-    placed = join_on(both, words.select("doc_id", "text_hash", "words"), ["doc_id", "text_hash"]).filter(fits)
+    # only documents with a start are read again; their words move as one string each
+    own = ["doc_id", "text_hash"]
+    some = join_on(words.select(*own, F.array_join("words", " ").alias("line")), both.select(*own).distinct(), own, "left_semi")
+    placed = join_on(both, some.select(*own, F.split("line", " ").alias("words")), own).filter(fits)
     return placed.select("doc_id", "text_hash", "item_id", "start", (F.col("start") + F.size("phrase")).alias("end"))
 
 
