@@ -386,13 +386,13 @@ def _linked(docs: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
     classes = stash(rows.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "id", "th", "sig")).alias("x")).select("f1", "f2", "n_shingles", "x.*"), "classes")
     same = rows.filter("n_shingles > 0").select(F.col("doc_id").alias("a"), "f1", "f2", "n_shingles").join(classes.select("f1", "f2", "n_shingles", F.col("doc_id").alias("b")), ["f1", "f2", "n_shingles"]).select("a", "b")
     nodes = classes.select("doc_id", "n_shingles", "sig")
-    named = classes.select("doc_id", "id", "th")
-    texts = stash(join_on(docs, named, ["id", "th"]).dropDuplicates(["doc_id"]).select("doc_id", "text"), "texts")
-    release(spark)
     bands = stash(_bands(nodes), "bands")
     sizes = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     shared = stash(bands.join(sizes, "band"), "shared")
     discard(bands)
+    # only texts that share a bucket may be read again
+    named = stash(classes.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "id", "th"), "named")
+    texts = stash(join_on(docs, named, ["id", "th"]).dropDuplicates(["doc_id"]).select("doc_id", "text"), "texts")
     release(spark)
     # a bucket's centre is the member with most company in all its buckets
     company = shared.groupBy("doc_id").agg(F.sum("n").alias("company"))
