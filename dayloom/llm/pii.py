@@ -174,10 +174,14 @@ def disclosing(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, level: f
     most = F.pow(F.col("widest"), F.lit(alpha)) * F.pow(F.lit(float(n)), F.lit(1 - alpha))
     some = near.join(widest, "text_hash").join(least, "term").filter(F.col("least") <= most + 1e-9 * most)
     pairs = stash(some.select("text_hash", "term", "least").join(groups, "text_hash").groupBy(*_GROUP, "term", "least").agg(F.count("*").alias("n_te")).filter(_telling(n, "least", alpha, level)).drop("least"), "pairs")
-    # different texts are counted by their hashes, and only for terms that still may tell, so no text moves
-    open_ = stash(pairs.select("term").distinct(), "terms")
+    # texts without copies are counted in the tasks that read them, of the others one row each
+    copied = stash(found.groupBy("text_hash").agg(F.count("*").alias("rows")).filter("rows > 1").select("text_hash"), "copied")
     text = F.col("text").cast("string")
-    counted = _terms(docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))).join(open_, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    alone = _terms(texts.join(copied, "text_hash", "left_anti"))
+    once = _terms(texts.join(copied, "text_hash", "left_semi").dropDuplicates(["text_hash"]))
+    counts = [some.groupBy("term").agg(F.count("*").alias("n")) for some in (alone, once)]
+    counted = counts[0].unionByName(counts[1]).groupBy("term").agg(F.sum("n").alias("n_t"))
     telling = pairs.join(counted, "term").filter(_telling(n, "n_t", alpha, level))
     share = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.lit(float(n)) / F.col("n_e"))
     telling = telling.select(*_GROUP, "term", share.alias("share"))
