@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of ours where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, a folder of this machine, if Spark runs on it alone."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file:///tmp/checkpoints/dayloom"
         os.makedirs(where[7:], exist_ok=True)
     return where.rstrip("/")
