@@ -18,6 +18,7 @@ An empty table makes empty files. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -54,6 +55,16 @@ def _lone(text: str) -> bool:
     return b"pp" not in kinds and b"pq" not in kinds and b"qp" not in kinds
 
 
+# fixed values: the settings of a tokenizer for which the short way of ``_ids_of`` holds
+_SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
+
+
 class _Words(dict):
     """The ids of words, as bytes; up to ``CACHE_WORDS`` stay, which the frequent words reach first."""
 
@@ -62,6 +73,8 @@ class _Words(dict):
 
         self.tok, self.code = Tokenizer.from_file(path), code
         self.tokenize = self.tok.model.tokenize
+        settings = json.loads(self.tok.to_str())
+        self.short = all(settings.get(k) == v for k, v in _SETTINGS.items())
         self.added = tuple(t.content.lower() for t in self.tok.get_added_tokens_decoder().values())
         # the characters that stand for the bytes of a text in byte-level vocabularies
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -86,7 +99,8 @@ def _ids_of(path: str, end_id: int, code: str = "I"):
 
     A pre-token of this tokenizer never crosses white space, nor the place between a letter and a lone
     comma or full stop, so texts are lower-cased and split there, and a worker remembers the ids of words.
-    A text in which these steps might not agree with the tokenizer's is encoded as it stands.
+    A text in which these steps might not agree with the tokenizer's is encoded as it stands, and so are all texts for
+    a tokenizer with other settings.
     """
     if (path, code) not in _tokenizers:
         _tokenizers[path, code] = _Words(path, code)
@@ -94,7 +108,7 @@ def _ids_of(path: str, end_id: int, code: str = "I"):
     end, get = array(code, [end_id]).tobytes(), words.__getitem__
 
     def one(text: str) -> bytes:
-        if any(c in text for c in _ODD) or not unicodedata.is_normalized("NFC", text):
+        if not words.short or any(c in text for c in _ODD) or not unicodedata.is_normalized("NFC", text):
             return words.ids(text)
         raw, text = text, text.lower()
         if any(a in text for a in words.added):  # the library looks for added tokens before it lower-cases

@@ -22,3 +22,25 @@ def test_added_tokens_are_looked_for_in_the_raw_text(spark):
         want = [*tok.encode(t, add_special_tokens=False).ids, 1]
         assert got[i] == (start, want)
         start += len(want)
+
+
+def test_another_tokenizer_is_asked_for_every_text(tmp_path):
+    import json
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert token_files._Words(path, "I").short
+    with open(path) as f:
+        other = json.load(f)
+    other["normalizer"] = None  # keeps capitals
+    changed = str(tmp_path / "other.json")
+    with open(changed, "w") as f:
+        json.dump(other, f)
+    texts = ["Some Words, in CAPITALS.", "plain words"]
+    tok = Tokenizer.from_file(changed)
+    got = [np.frombuffer(x, "<u4").tolist() for x in token_files._ids_of(changed, 1)(texts)]
+    assert got == [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert not token_files._Words(changed, "I").short
