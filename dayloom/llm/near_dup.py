@@ -204,14 +204,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _settled(cur: DataFrame) -> bool:
+    """Whether the edges (from larger to smaller nodes) are stars: one parent a node, and none for a parent."""
+    ends = cur.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(cur.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """``node`` and ``root`` (the smallest node it is connected with) of every node of ``edges`` (``a``, ``b``).
+    """``node`` and ``root`` (the smallest node it is connected with) of every node of ``edges`` (``a``, ``b``) that isn't a root.
 
-    Alternating large and small stars; each round is a written table.
+    Alternating large and small stars, until only stars are left; each step is a written table.
     """
     cur = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = cur.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
     for _ in range(most):
+        if _settled(cur):
+            break
         for large in (True, False):
             sym = cur.union(cur.select("b", "a")) if large else cur
             low = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -221,18 +228,25 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
             nxt = stash(hung.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
             discard(cur)
             cur = nxt
-        new = cur.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if new == mark:
-            break
-        mark = new
     else:
         raise RuntimeError("components did not settle")
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    roots = components(links)
-    return stash(nodes.select("doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root")), "roots")
+def _sides(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``pairs`` (``a``, ``b``) of different components, with ``root_a`` and ``root_b``."""
+    side = lambda k: labels.withColumnsRenamed({"doc_id": k, "root": f"root_{k}"})
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter("root_a <> root_b")
+
+
+def _hung(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` with the components joined that ``edges`` (of roots) connect; a frequent root is left to AQE's skew join."""
+    return labels.join(components(edges).withColumnsRenamed({"root": "low", "node": "root"}), "root", "left").withColumn("root", F.coalesce("low", "root")).drop("low")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after ``links``: only the graph of the components so far is walked."""
+    return stash(_hung(labels, _sides(links, labels).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select("doc_id", "root"), "roots")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -376,15 +390,14 @@ def _dense_links(dense: DataFrame, blocks: DataFrame, texts: DataFrame, similari
     return m.groupBy("band", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def _linked(docs: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
-    """``node``, ``id``, ``th`` (the text's hash) and ``n_shingles`` of each row, and the links between rows (``a``, ``b``)."""
+def _placed(docs: DataFrame, similarity: int) -> DataFrame:
+    """``node``, ``id``, ``th`` (the text's hash), ``n_shingles`` and ``root`` (a node of the row's component) of each row."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     # a node a row: the number is written with the row, so it stays
     rows = stash(_sketch(docs).withColumn("doc_id", F.monotonically_increasing_id()), "sketches")
     classes = stash(rows.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "id", "th", "sig")).alias("x")).select("f1", "f2", "n_shingles", "x.*"), "classes")
-    same = rows.filter("n_shingles > 0").select(F.col("doc_id").alias("a"), "f1", "f2", "n_shingles").join(classes.select("f1", "f2", "n_shingles", F.col("doc_id").alias("b")), ["f1", "f2", "n_shingles"]).select("a", "b")
     nodes = classes.select("doc_id", "n_shingles", "sig")
     bands = stash(_bands(nodes), "bands")
     sizes = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
@@ -400,46 +413,37 @@ def _linked(docs: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
     stars = shared.join(centres, "band").filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     hope = stash(_survivors(stars, nodes, similarity), "hope")
     release(spark)
-    links, labels = None, nodes.select("doc_id", F.col("doc_id").alias("root"))
+    labels = nodes.select("doc_id", F.col("doc_id").alias("root"))
     for _ in range(ROUNDS):
         # of its centres in other components each document verifies the most similar one
-        side = lambda k: labels.withColumnsRenamed({"doc_id": k, "root": f"root_{k}"})
-        apart = hope.join(side("a"), "a").join(side("b"), "b").filter("root_a <> root_b")
-        one = stash(apart.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b"), "one")
+        one = stash(_sides(hope, labels).groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b"), "one")
         if one.isEmpty():
             break
-        found = stash(_verified(one, texts, similarity), "links")
-        links = found if links is None else links.union(found)
-        labels = _labelled(nodes, links)
+        labels = _merged(labels, stash(_verified(one, texts, similarity), "links"))
         hope = hope.join(one, ["a", "b"], "left_anti")
         release(spark)
-    if links is None:
-        links = stash(nodes.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0), "links")
     blocks = stash(_blocks(shared.join(labels, "doc_id")), "blocks")
     found = stash(_across(blocks, nodes, similarity), "across")
     release(spark)
-    links = links.union(_verified(found.filter("b is not null").select("a", "b"), texts, similarity))
+    links = _verified(found.filter("b is not null").select("a", "b"), texts, similarity)
     dense = found.filter("b is null")
     if not dense.isEmpty():
         links = links.union(_dense_links(dense, blocks, texts, similarity))
-    links = stash(links, "links")
+    labels = _merged(labels, stash(links, "links"))
     release(spark)
-    # equal sets hang on their class
-    return rows.select(F.col("doc_id").alias("node"), "id", "th", "n_shingles"), links.union(same.filter("a <> b"))
-
-
-def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with ``root``, the component's smallest node."""
-    return rows.join(components(links).select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # equal sets hang on their class; a row without shingles stays alone
+    rooted = classes.select("f1", "f2", "n_shingles", "doc_id").join(labels, "doc_id").drop("doc_id")
+    placed = rows.join(rooted, ["f1", "f2", "n_shingles"], "left")
+    return stash(placed.select(F.col("doc_id").alias("node"), "id", "th", "n_shingles", F.coalesce("root", "doc_id").alias("root")), "placed")
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
-    rows, links = _linked(docs, similarity)
+    rows = _placed(docs, similarity)
     # rows that repeat an id are one document
-    first = rows.filter("id is not null").groupBy("id").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    again = rows.join(first, "id").select(F.col("node").alias("a"), "b").filter("a <> b")
-    placed = stash(_rooted(rows, links.union(again)), "placed")
+    first = rows.filter("id is not null").groupBy("id").agg(F.min("root").alias("b"), F.max("root").alias("last")).filter("b <> last").drop("last")
+    again = rows.join(first, "id").select(F.col("root").alias("a"), "b")
+    placed = stash(_hung(rows, again), "joined")
     least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     out = placed.join(least, "root")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -450,9 +454,8 @@ def kept_documents(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
     Here different texts under one id are documents of their own, and so are those without an id.
     """
-    rows, links = _linked(docs, similarity)
     order = F.struct(F.col("id").isNull().alias("last"), "id", "node", "th")
-    best = _rooted(rows, links).groupBy("root").agg(F.min(order).alias("x"))
+    best = _placed(docs, similarity).groupBy("root").agg(F.min(order).alias("x"))
     return best.select(F.col("x.id").alias("doc_id"), F.col("x.th").alias("text_hash")).distinct()
 
 

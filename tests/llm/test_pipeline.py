@@ -1,5 +1,6 @@
 """Each stage of the pipeline against a brute-force version of its decision."""
 
+import random
 import re
 from collections import Counter
 
@@ -62,3 +63,16 @@ def test_rows_without_ids_and_texts_under_one_id(spark):
             assert Counter((r.doc_id, r.text) for r in got) == Counter({x: 1 for x in want if x[0] != 8})
     tokens = cp.tokens(spark, docs, SF)
     assert Counter(r.doc_id for r in tokens.collect()) == Counter(r.doc_id for r in got)
+
+
+def test_components(spark):
+    """Chains, stars and random graphs: every node that isn't a root hangs on the smallest node of its component."""
+    rng = random.Random(5)
+    graphs = [[], [(1, 1)], [(i, i + 1) for i in range(40)], [(50, i) for i in range(30)], [(rng.randrange(90), rng.randrange(90)) for _ in range(60)]]
+    for edges in graphs:
+        root = {v: v for e in edges for v in e}
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        got = near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert sorted((r.node, r.root) for r in got) == sorted((v, r) for v, r in root.items() if v != r)
