@@ -8,6 +8,7 @@ import pytest
 
 cp = pytest.importorskip("corpus_pipeline")
 
+from dayloom.llm import near_dup
 from dayloom.llm.common import stash
 from test_llm import SF, brute_hits, brute_near, texts
 
