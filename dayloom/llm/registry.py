@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dayloom.llm import decontaminate, langid, line_dedup, mixing, near_dup, nearest, pii, substring_dedup, token_files, url_filter
+from dayloom.llm import decontaminate, importance, langid, line_dedup, mixing, near_dup, nearest, pii, substring_dedup, token_files, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_langid": langid.op8,
         "op9_token_files": token_files.op9,
         "op10_line_dedup": line_dedup.op10,
+        "op11_importance": importance.op11,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filter": url_filter.ORACLE,
         "op6_mixing": mixing.ORACLE,
         "op7_decontaminate": decontaminate.ORACLE,
+        "op11_importance": importance.ORACLE,
     }
