@@ -1,6 +1,6 @@
 """Importance resampling: draw the documents whose n-grams are likely under a target text.
 
-A document's features are its runs of 1 to ``MOST_WORDS`` words, hashed into ``BUCKETS`` buckets by CRC. A bucket's gain
+A document's features are its words and pairs of neighbouring words, hashed into ``BUCKETS`` buckets by CRC. A bucket's gain
 is the log ratio of its smoothed share in the target to that in the corpus, in thousandths; a document's weight is the
 mean gain of its features, and Gumbel noise from a seeded hash of its id makes the highest scores a weighted
 draw without replacement.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from dayloom.llm.common import discard, flat, pieces, stash, table
 
-BUCKETS, MOST_WORDS, LEAST_WORDS, PERCENT, SEED = 10_000, 2, 20, 25, 7
+BUCKETS, LEAST_WORDS, PERCENT, SEED = 10_000, 20, 25, 7
 PIECE = 1 << 20
 
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -43,15 +43,17 @@ FROM (SELECT doc, piece, goes_on, unnest(list) AS word, generate_subscripts(list
       FROM (SELECT doc, piece, goes_on, string_split_regex(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{_NOT_WORD}') AS list FROM texts))
 WHERE word <> ''
 """
-#: The bucket of each feature: of single words once a different word, of runs of words as they come.
+#: The bucket of each feature: of single words once a different word, of pairs as they come.
 _FEATURES = """
 CREATE OR REPLACE TEMP TABLE features AS
 WITH known AS (SELECT word, bucket(word) AS bucket FROM (SELECT DISTINCT word FROM words))
 SELECT doc, bucket, true AS single FROM words JOIN known USING (word) WHERE NOT (goes_on AND pos = 1)
 """
-_RUNS = """
+_PAIRS = """
 INSERT INTO features
-SELECT doc, bucket(run), false FROM (SELECT doc, {run} AS run FROM words WINDOW w AS (PARTITION BY doc, piece ORDER BY pos)) WHERE run IS NOT NULL
+SELECT doc, bucket(pair), false
+FROM (SELECT doc, word || ' ' || lead(word) OVER (PARTITION BY doc, piece ORDER BY pos) AS pair FROM words)
+WHERE pair IS NOT NULL
 """
 
 
@@ -69,8 +71,8 @@ def _engine():
     return con
 
 
-def _cut(raw: bytes) -> list[bytes]:
-    """A long text in pieces that end between words; from the second on each begins with the last word before it."""
+def _cut(raw: bytes) -> list[tuple[bytes, bool]]:
+    """A long text in pieces that end between words; one that isn't the first begins with the last word before it, if there is any (then True)."""
     b = np.frombuffer(raw, np.uint8)
     low = b | 0x20
     word = ((b >= 48) & (b <= 57)) | ((low >= 97) & (low <= 122)) | (b >= 128)
@@ -82,7 +84,8 @@ def _cut(raw: bytes) -> list[bytes]:
         k = np.searchsorted(gaps, at + PIECE)
         end = int(gaps[k]) if k < len(gaps) else len(b)
         last = np.searchsorted(ends, at, side="right") - 1
-        out.append((raw[starts[last] : ends[last]] + b" " if at and last >= 0 else b"") + raw[at:end])
+        carry = raw[starts[last] : ends[last]] + b" " if at and last >= 0 else b""
+        out.append((carry + raw[at:end], bool(carry)))
         at = end
     return out
 
@@ -96,8 +99,8 @@ def _texts(part: pa.RecordBatch) -> pa.Table:
         docs, cut = np.arange(len(size)), np.zeros(len(size), np.int32)
         return pa.table({"doc": docs, "piece": cut, "text": col.cast(pa.string()).fill_null(""), "goes_on": np.zeros(len(size), bool)})
     found = _cut(buf.tobytes())
-    word = np.array([i > 0 and not raw.startswith(b" ") for i, raw in enumerate(found)])
-    return pa.table({"doc": np.zeros(len(found), np.int64), "piece": np.arange(len(found), dtype=np.int32), "text": pa.array(found, pa.binary()).cast(pa.string()), "goes_on": word})
+    raw, goes_on = zip(*found, strict=True)
+    return pa.table({"doc": np.zeros(len(found), np.int64), "piece": np.arange(len(found), dtype=np.int32), "text": pa.array(raw, pa.binary()).cast(pa.string()), "goes_on": goes_on})
 
 
 _SPILLED = "doc_id long, n_words long, n_features long, buckets binary, counts array<long>"
@@ -116,9 +119,7 @@ def _count(batches):
                 con.register("texts", texts.slice(at, 1 if n == 1 else texts.num_rows))
                 con.execute(_WORDS)
                 con.execute(_FEATURES)
-                for k in range(1, MOST_WORDS):
-                    run = " || ' ' || ".join(["word", *(f"lead(word, {i}) OVER w" for i in range(1, k + 1))])
-                    con.execute(_RUNS.format(run=run))
+                con.execute(_PAIRS)
                 some = con.execute("SELECT bucket, count(*) AS n FROM features GROUP BY bucket").fetchnumpy()
                 counts[some["bucket"]] += some["n"]
                 each = con.sql("SELECT doc, count(*) FILTER (single) AS n, list(bucket) AS buckets FROM features GROUP BY doc").to_arrow_table().combine_chunks()
