@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dayloom.llm import decontaminate, hard_negatives, importance, langid, line_dedup, mixing, near_dup, nearest, pii, substring_dedup, token_files, url_filter
+from dayloom.llm import decontaminate, hard_negatives, importance, langid, line_dedup, mixing, near_dup, nearest, pii, secret_scan, substring_dedup, token_files, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_token_files": token_files.op9,
         "op10_line_dedup": line_dedup.op10,
         "op11_importance": importance.op11,
+        "op12_secrets": secret_scan.op12,
         "op13_hard_negatives": hard_negatives.op13,
     }
 
