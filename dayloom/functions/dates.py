@@ -106,9 +106,38 @@ def default_end(start, end=None, minutes: int = 30) -> Column:
     return later if end is None else F.coalesce(end, later)
 
 
+def to_local(x, zone: str) -> Column:
+    """What a zone's clocks show at a moment in UTC (both without a zone)."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), x.cast("timestamp_ntz"))
+
+
+def to_utc(x, zone: str) -> Column:
+    """The moment in UTC at which a zone's clocks show a time. A time that they show twice is the first of them; one that they skip is as long after the gap's start."""
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), x.cast("timestamp_ntz"))
+
+
 def local_hour(x, zone: str) -> Column:
     """The hour of a moment in UTC (without a zone) where the zone's clocks stand."""
-    return F.hour(F.convert_timezone(F.lit("UTC"), F.lit(zone), x.cast("timestamp_ntz")))
+    return F.hour(to_local(x, zone))
+
+
+def local_day(x, zone: str) -> Column:
+    return F.to_date(to_local(x, zone))
+
+
+def local_day_start(day, zone: str) -> Column:
+    """The moment in UTC at which a zone's day begins (where midnight is skipped, the first time after it)."""
+    return to_utc(F.to_date(day), zone)
+
+
+def local_day_hours(day, zone: str) -> Column:
+    """How long a zone's day is: 24 hours, fewer or more where the clocks change in it."""
+    return F.timestamp_diff("MINUTE", local_day_start(day, zone), local_day_start(F.date_add(F.to_date(day), 1), zone)) / F.lit(60.0)
+
+
+def is_second_hour(x, zone: str) -> Column:
+    """Whether a zone's clocks show a moment's time for the second time, after they were put back."""
+    return to_utc(to_local(x, zone), zone) < x.cast("timestamp_ntz")
 
 
 def to_iso(x) -> Column:

@@ -63,6 +63,24 @@ def preview(text, most: int = 1000) -> Column:
     return F.substring(text, 1, most)
 
 
+def utf16_length(text) -> Column:
+    """The length in UTF-16 units, as browsers count: two for a character beyond the basic plane."""
+    return F.floor(F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
+def utf16_left(text, most: int) -> Column:
+    """The first characters of a text that take no more than ``most`` UTF-16 units; no character is cut in two."""
+    units = F.encode(text, "UTF-16BE")
+    half = F.hex(F.substring(units, 2 * most - 1, 1)).between("D8", "DB")  # the last unit begins a pair
+    cut = F.decode(F.substring(units, F.lit(1), F.when(half, 2 * most - 2).otherwise(2 * most)), "UTF-16BE") if most > 0 else F.when(text.isNotNull(), "")
+    return F.when(utf16_length(text) <= most, text).otherwise(cut)
+
+
+def utf16_remaining(text, most: int) -> Column:
+    """How many UTF-16 units a field of ``most`` still takes (below 0: too long); a null is empty."""
+    return most - F.coalesce(utf16_length(text), F.lit(0))
+
+
 def is_web_url(url) -> Column:
     return F.coalesce(url.rlike("^https?://"), F.lit(False))
 

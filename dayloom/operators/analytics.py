@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dayloom.functions import dates
 from dayloom.functions.numbers import mean_or_zero
+from dayloom.session import scratch
 
 GOOD, BAD = ("great", "good", "happy"), ("bad", "sad", "tired")
 
@@ -203,3 +204,30 @@ def unique_slugs(posts: DataFrame, base: str = "base", order: str = "id") -> Dat
     step = lambda k, t: F.when(t <= k, k + 1).otherwise(k)
     k = F.when(F.col("_nth") == 0, 0).otherwise(F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_nth"), step))
     return out.withColumn("slug", F.when(k == 0, F.col(base)).otherwise(F.concat(base, F.lit("-"), k.cast("string")))).drop("_nth", "_stem", "_taken")
+
+
+def linked_order(links: DataFrame, key: str = "token", after: str = "next_token") -> DataFrame:
+    """Rows that name the next one's key: adds ``chain``, the key of the first row that leads to a row, and ``nth`` from 1.
+
+    A row that no other names begins a chain; so does each row whose predecessor is missing. Pointers are doubled: a round joins what each row
+    knows of those before it, and a chain of n rows takes log2(n) rounds, each a written table. Keys are unique, null keys and rings of rows are left out.
+    """
+    spark = links.sparkSession
+    rows = links.filter(F.col(key).isNotNull())
+    named = rows.select(F.col(after).alias("_to"), F.col(key).alias("_from")).filter("_to is not null")
+    # of each row the farthest known one before it, how far that is, and whether it is a chain's first
+    known = rows.select(F.col(key).alias("_key")).join(named, F.col("_key") == F.col("_to"), "left")
+    known = known.select("_key", F.coalesce("_from", "_key").alias("_far"), F.when(F.col("_from").isNull(), 0).otherwise(1).cast("long").alias("_steps"), F.col("_from").isNull().alias("_first"))
+    total = None
+    while True:
+        path = scratch(spark, "links")
+        known.write.parquet(path)
+        known = spark.read.schema(known.schema).parquet(path)
+        done, reach = known.agg(F.count_if("_first"), F.max("_steps")).first()  # one row
+        if done == total or reach is None:  # no row came to its first one in this round: what is left are rings
+            break
+        total = done
+        back = known.select(F.col("_key").alias("_k"), F.col("_far").alias("_f"), F.col("_steps").alias("_s"), F.col("_first").alias("_b"))
+        known = known.join(back, F.col("_far") == F.col("_k"), "left").select("_key", F.coalesce("_f", "_far").alias("_far"), (F.col("_steps") + F.coalesce("_s", F.lit(0))).alias("_steps"), F.coalesce(F.col("_first") | F.col("_b"), F.col("_first")).alias("_first"))
+    placed = known.filter("_first").select(F.col("_key").alias(key), F.col("_far").alias("chain"), (F.col("_steps") + 1).alias("nth"))
+    return rows.join(placed, key)

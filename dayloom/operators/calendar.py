@@ -98,27 +98,41 @@ def clusters(timed: DataFrame) -> DataFrame:
     return fresh.withColumn("cluster", F.sum("_new").over(day.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-_SLOT = "struct<id:bigint,s:int,e:int,col:int>"
+_OPEN = "struct<s:int,e:int,col:int>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def packed(events: DataFrame) -> DataFrame:
     """Columns for the timed events of each owner's day: the first column in which an event overlaps none.
 
-    Events are taken by start, the longer first, then by id. The fold is over one cluster of an owner's day, which starts
-    again at the first column.
+    Events are taken by start, the longer first, then by id. The fold sweeps one cluster of an owner's day at a time (each starts
+    again at the first column) and remembers only what is still open at an event's start: starts never fall, so
+    what has ended overlaps no later event. An event that begins later than another's end and before another's start (no length, or an end
+    before its start) takes only those columns whose open events began before its own end.
     """
     timed = clusters(clipped(touched_days(events.filter(~is_multi_day()))))
     length = dates.minutes_between(F.col("start"), F.col("end"))
     queue = F.array_sort(F.collect_list(F.struct("s", (-length).alias("neg"), "id", "e")))
-    none = F.array().cast(f"array<{_SLOT}>")
+    begin = F.struct(F.array().cast(f"array<{_OPEN}>").alias("open"), F.array().cast("array<int>").alias("cols"))
 
     def place(acc, x):
-        taken = lambda k: F.exists(acc, lambda y: (y["col"] == k) & (x["s"] < y["e"]) & (y["s"] < x["e"]))
-        free = F.array_min(F.filter(F.sequence(F.lit(0), F.size(acc)), lambda k: ~taken(k)))
-        return F.array_append(acc, F.struct(x["id"].alias("id"), x["s"].cast("int").alias("s"), x["e"].cast("int").alias("e"), free.cast("int").alias("col")))
+        s, e = x["s"].cast("int"), x["e"].cast("int")
+
+        def with_open(open_):
+            taken = F.transform(F.filter(open_, lambda y: y["s"] < e), lambda y: y["col"])
+            free = lambda t: F.array_min(F.array_except(F.sequence(F.lit(0), F.size(t)), t))
+            put = lambda col: F.struct(F.array_append(open_, F.struct(s.alias("s"), e.alias("e"), col.alias("col"))).alias("open"), F.array_append(acc["cols"], col).alias("cols"))
+            return _let(_let(taken, free), put)
+
+        return _let(F.filter(acc["open"], lambda y: y["e"] > s), with_open)
 
     groups = timed.groupBy("user_id", "day", "cluster").agg(queue.alias("queue"))
-    return groups.select("user_id", "day", F.explode(F.aggregate("queue", none, place)).alias("x")).select("user_id", "day", "x.*")
+    placed = groups.select("user_id", "day", F.explode(F.arrays_zip("queue", F.aggregate("queue", begin, place, lambda acc: acc["cols"]).alias("col"))).alias("x"))
+    return placed.select("user_id", "day", F.col("x.queue.id").alias("id"), F.col("x.queue.s").cast("int").alias("s"), F.col("x.queue.e").cast("int").alias("e"), F.col("x.col").alias("col"))
 
 
 def geometry(slots: DataFrame) -> DataFrame:
@@ -142,3 +156,14 @@ def all_day_bounds(events: DataFrame) -> DataFrame:
     whole = F.coalesce(F.col("all_day"), F.lit(False))
     last = F.to_date("end").cast("timestamp_ntz") + F.expr("interval '1' day - interval '0.001' second")
     return events.withColumns({"start": F.when(whole, F.to_date("start").cast("timestamp_ntz")).otherwise(F.col("start")), "end": F.when(whole, last).otherwise(F.col("end"))})
+
+
+def touched_local_days(events: DataFrame, zone: str) -> DataFrame:
+    """Adds ``day`` and ``minutes``: a row per day of a zone that an event (moments in UTC) touches, with the minutes that it takes of it.
+
+    A day is from its first moment to the next day's, 23 or 25 hours where the clocks change.
+    """
+    local = touched_days(events.withColumns({"_start": F.col("start"), "_end": F.col("end"), "start": dates.to_local(F.col("start"), zone), "end": dates.to_local(F.col("end"), zone)}))
+    a, b = F.greatest("_start", dates.local_day_start(F.col("day"), zone)), F.least("_end", dates.local_day_start(F.date_add("day", 1), zone))
+    minutes = F.greatest(F.lit(0).cast("long"), dates.minutes_between(a, b))
+    return local.withColumns({"minutes": minutes, "start": F.col("_start"), "end": F.col("_end")}).drop("_start", "_end")

@@ -31,10 +31,12 @@ def update(target: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
 
 
 def update_strict(target: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """``update``, failing where a row has no partner."""
-    if not rows.join(target.select(key), key, "left_anti").isEmpty():
-        raise LookupError("a row to update is not there")
-    return update(target, rows, key)
+    """``update``, failing where a row has no partner: when the query runs, in its one join, and whatever columns of it are read."""
+    r = rows.select(F.col(key).alias("_k"), F.struct(*[c for c in target.columns]).alias("_new"), F.lit(True).alias("_asked"))
+    both = target.withColumn("_held", F.lit(True)).join(r, F.col(key) == F.col("_k"), "full")
+    now = F.struct(*[F.when(F.col("_asked"), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in target.columns])
+    missing = F.raise_error(F.concat(F.lit("a row to update is not there: "), F.coalesce(F.col("_k").cast("string"), F.lit("null"))))
+    return both.select(F.inline(F.when(F.col("_held").isNull(), missing).otherwise(F.array(now))))
 
 
 def toggle_done(reminders: DataFrame, ids: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _all() -> dict:
-    from dayloom.plans import calendar, content, dashboard
+    from dayloom.plans import calendar, content, dashboard, stored
 
-    return {**dashboard.QUERIES, **content.QUERIES, **calendar.QUERIES}
+    return {**dashboard.QUERIES, **content.QUERIES, **calendar.QUERIES, **stored.QUERIES}
 
 
 def queries() -> dict:

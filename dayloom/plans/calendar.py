@@ -167,7 +167,15 @@ QUERIES = {
     "week_slots": (week_slots, f"""SELECT {_D('day')} AS day, h::INTEGER AS hour, q::INTEGER AS quarter FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-14', DATE '2024-01-20', INTERVAL 1 DAY)) AS DATE) AS day), range(24) a(h), range(4) b(q)"""),
     "day_split": (day_split, _E(f"{_TOUCHED} SELECT {_D('day')} AS day, CASE WHEN {_MULTI} THEN 'all-day' ELSE 'timed' END AS lane, count(*) AS n FROM t GROUP BY 1, 2")),
     "starting_order": (starting_order, _E(f"""SELECT user_id, {_D('start')} AS day, id, row_number() OVER (PARTITION BY user_id, CAST(start AS DATE) ORDER BY {_MULTI} DESC, start, id)::INTEGER AS nth, {_MULTI} AS multi FROM calendar_events""")),
-    "column_packing": (column_packing, None),
+    "column_packing": (column_packing, _E(f"""{_TOUCHED}, x AS (SELECT user_id, day, id, CASE WHEN CAST(start AS DATE) = day THEN hour(start) * 60 + minute(start) ELSE 0 END::INTEGER AS s,
+          CASE WHEN CAST("end" AS DATE) = day THEN hour("end") * 60 + minute("end") ELSE 1440 END::INTEGER AS e, date_sub('minute', start, "end") AS length FROM t WHERE NOT {_MULTI}),
+        q AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY s, length DESC, id) AS nth FROM x),
+        p AS (SELECT user_id, day, nth, id, s, e, 0 AS col, [{{'s': s, 'e': e, 'col': 0}}] AS placed FROM q WHERE nth = 1
+          UNION ALL
+          SELECT q.user_id, q.day, q.nth, q.id, q.s, q.e, f.col, list_append(placed, {{'s': q.s, 'e': q.e, 'col': f.col}}) FROM p JOIN q ON q.user_id = p.user_id AND q.day = p.day AND q.nth = p.nth + 1,
+            LATERAL (SELECT list_min(list_filter(range(0, len(placed) + 1), lambda k: len(list_filter(placed, lambda y: y.col = k AND q.s < y.e AND y.s < q.e)) = 0))::INTEGER AS col) f)
+        SELECT user_id, {_D('day')} AS day, id, s, e, col, s / 60.0::DOUBLE * 64 AS top, (e - s) / 60.0::DOUBLE * 64 AS height, CASE WHEN col = 0 THEN 0 ELSE col * 0.1::DOUBLE END AS "left",
+          CASE WHEN col = 0 THEN 1 ELSE 0.9 END::DOUBLE AS width, col + 10 AS z FROM p""").replace("WITH ", "WITH RECURSIVE ", 1)),
     "day_overlaps": (day_overlaps, _E(f"""{_TOUCHED}, x AS (SELECT user_id, day, id, CASE WHEN CAST(start AS DATE) = day THEN hour(start) * 60 + minute(start) ELSE 0 END AS s,
           CASE WHEN CAST("end" AS DATE) = day THEN hour("end") * 60 + minute("end") ELSE 1440 END AS e FROM t WHERE NOT {_MULTI})
         SELECT a.user_id, {_D('a.day')} AS day, a.id AS a, b.id AS b FROM x a JOIN x b ON a.user_id = b.user_id AND a.day = b.day AND a.id < b.id AND a.s < b.e AND b.s < a.e""")),

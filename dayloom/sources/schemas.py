@@ -1,4 +1,4 @@
-"""The declared schema of a page of bookmarks."""
+"""The declared schemas of JSON sources."""
 
 from __future__ import annotations
 
@@ -11,3 +11,6 @@ data array<struct<id: string, text: string, created_at: string, author_id: strin
 includes struct<users: array<struct<id: string, username: string, name: string>>,
                 media: array<struct<media_key: string, type: string, url: string, preview_image_url: string>>>
 """
+
+#: The same page as it was answered: the token it was asked with, the next page's, and an error's status and text in place of data.
+ANSWERED_PAGE = f"token string, status int, detail string, meta struct<result_count: int, next_token: string>, {BOOKMARK_PAGE.strip()}"

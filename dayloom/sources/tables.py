@@ -6,10 +6,13 @@ time zone, so that no result depends on the session's.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.sources.schemas import BOOKMARK_PAGE
+from dayloom.sources.schemas import ANSWERED_PAGE, BOOKMARK_PAGE
 
 DAY = "yyyy-MM-dd"
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -33,11 +36,22 @@ def owned(spark: SparkSession, sf_dir: str, name: str, user_id) -> DataFrame:
     return user_rows(globals()[name](spark, sf_dir), user_id)
 
 
+def listing(spark: SparkSession, path: str, base_url: str, pattern: str = "*") -> DataFrame:
+    """``name``, public ``url``, ``size`` and time of change of the files below a path, from the store's listing: their content is not read.
+
+    ``name`` is the path below the given one; its parts are escaped in the url. Files without content aren't listed.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    root = path.rstrip("/").rsplit("/", 1)[-1]
+    name = F.substring_index(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), f"/{root}/", -1)
+    named = listed.select(name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("changed"))
+    safe = F.array_join(F.transform(F.split("name", "/"), lambda x: F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))), "/")
+    return named.select("name", F.concat(F.lit(base_url.rstrip("/") + "/"), safe).alias("url"), "size", "changed")
+
+
 def files(spark: SparkSession, path: str, base_url: str, pattern: str = "*") -> DataFrame:
-    """``name`` and public ``url`` of the files below a path; their content is not read."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path")
-    name = F.element_at(F.split("path", "/"), -1)
-    return listed.select(name.alias("name"), F.concat(F.lit(base_url.rstrip("/") + "/"), name).alias("url"))
+    """``name`` and public ``url`` of the files below a path."""
+    return listing(spark, path, base_url, pattern).select("name", "url")
 
 
 def exists(df: DataFrame) -> bool:
@@ -45,30 +59,39 @@ def exists(df: DataFrame) -> bool:
     return not df.limit(1).isEmpty()
 
 
+def _counted(df: DataFrame, least: int, most: int, message: str) -> DataFrame:
+    """``df``, failing when the query runs unless it has from ``least`` to ``most`` rows: two rows at most come together, and the input is read once."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    both = df.limit(most + 1).agg(F.collect_list(row).alias("rows"))
+    n = F.size("rows")
+    return both.select(F.inline(F.when(n.between(least, most), F.col("rows")).otherwise(F.raise_error(F.concat(F.lit(message + ": "), n.cast("string"), F.lit(" rows or more"))))))
+
+
 def exactly_one(df: DataFrame) -> DataFrame:
-    """``df`` if it has one row; otherwise LookupError."""
-    n = df.limit(2).count()
-    if n != 1:
-        raise LookupError(f"{'no' if n == 0 else 'more than one'} row where one is due")
-    return df
+    """``df`` if it has one row; otherwise the query fails."""
+    return _counted(df, 1, 1, "not the one row that is due")
 
 
 def at_most_one(df: DataFrame) -> DataFrame:
-    """``df`` if it has no more than one row; otherwise LookupError."""
-    if df.limit(2).count() > 1:
-        raise LookupError("more than one row where one at most is due")
-    return df
+    """``df`` if it has no more than one row; otherwise the query fails."""
+    return _counted(df, 0, 1, "more than the one row that may be there")
+
 
+def probe(spark: SparkSession, sf_dir: str, names, at_once: int = 8) -> DataFrame:
+    """``name``, ``ok``, ``message``: whether each table can be read; errors are collected, not raised.
 
-def probe(spark: SparkSession, sf_dir: str, names) -> DataFrame:
-    """``name``, ``ok``, ``message``: whether each table can be read; errors are collected, not raised."""
-    rows = []
-    for n in names:
+    The probes' jobs run at the same time, ``at_once`` of them; the rows are in the order of ``names``.
+    """
+
+    def one(name):
         try:
-            exists(table(spark, sf_dir, n))
-            rows.append((n, True, None))
+            exists(table(spark, sf_dir, name))
+            return name, True, None
         except Exception as e:  # an unreadable table is a result here
-            rows.append((n, False, type(e).__name__))
+            return name, False, type(e).__name__
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(inheritable_thread_target(spark)(one), names))
     return spark.createDataFrame(rows, "name string, ok boolean, message string")
 
 
@@ -79,6 +102,20 @@ def bookmark_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return part("data"), part("includes.users"), part("includes.media")
 
 
+def answered_pages(spark: SparkSession, path: str, whole_files: bool = False) -> tuple[DataFrame, DataFrame]:
+    """JSON pages (one a line, or one a file) as they were answered, and the rejects with their ``reason`` and the ``raw`` text.
+
+    A page is rejected if it is no JSON of the declared schema (``malformed``) or an error's answer (``status`` and its number). One without data is a page.
+    """
+    raw = spark.read.text(path, wholetext=whole_files).withColumnRenamed("value", "raw").filter(F.trim("raw") != "")
+    page = F.from_json("raw", ANSWERED_PAGE + ", _malformed string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
+    read = raw.select("raw", page.alias("page")).select("raw", "page.*")
+    failed = F.coalesce(F.col("status") >= 400, F.lit(False))
+    reason = F.when(F.col("_malformed").isNotNull(), "malformed").when(failed, F.concat(F.lit("status "), F.col("status").cast("string")))
+    judged = read.withColumn("reason", reason)
+    return judged.filter("reason is null").drop("raw", "reason", "_malformed"), judged.filter("reason is not null").select("reason", "detail", "raw")
+
+
 #: Literal relations, with invented values.
 USERS = [(1, "Ada", "Example", "ada@users.example", "passport", "active"), (2, "Bo", "Sample", "bo@users.example", "license", "inactive"), (3, "Cy", "Instance", "cy@users.example", "passport", "active")]
 REVENUE = [("Jan", 1200), ("Feb", 1500), ("Mar", 900), ("Apr", 2100), ("May", 1750), ("Jun", 1980), ("Jul", 2250), ("Aug", 2040), ("Sep", 1830), ("Oct", 1960), ("Nov", 2310), ("Dec", 2600)]
@@ -209,10 +246,21 @@ def bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A change feed: events as inserts, updates and deletes of rows keyed by user and type."""
+def owner_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change feed with its owners: events as inserts, updates and deletes of rows keyed by user and type."""
     op = F.element_at(F.array(*map(F.lit, ("INSERT", "UPDATE", "UPDATE", "INSERT", "DELETE"))), (F.col("event_id") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select(F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("id"), F.col("event_id").alias("seq"), op.alias("op"), F.col("value"))
+    return table(spark, sf_dir, "events").select(F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("id"), F.col("event_id").alias("seq"), op.alias("op"), "user_id", "value")
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return owner_changes(spark, sf_dir).drop("user_id")
+
+
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals all through the years, in UTC: an order's day at some minute, up to three hours long."""
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    start = F.expr("o_orderdate + make_dt_interval(0, 0, cast(o_orderkey * 37 % 1440 as int))")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), start.alias("start"), F.expr("o_orderdate + make_dt_interval(0, 0, cast(o_orderkey * 37 % 1440 + o_orderkey % 181 as int))").alias("end"), F.lit(False).alias("all_day"))
 
 
 #: The views in SQL.
@@ -241,6 +289,8 @@ SQL = {
       CASE WHEN o_orderkey % 4 <> 0 THEN [CAST(x.p AS VARCHAR) FOR x IN lines] END AS media_keys,
       CASE WHEN o_orderkey % 3 <> 0 THEN ['https://example.com/p/' || x.p FOR x IN lines] END AS urls, [x.h FOR x IN lines] AS hashtags,
       CASE WHEN o_orderpriority <> '3-MEDIUM' THEN o_orderpriority END AS domain FROM orders LEFT JOIN lines ON o_orderkey = l_orderkey""",
+    "visits": "SELECT o_orderkey AS id, o_custkey AS user_id, o_orderdate + to_minutes(o_orderkey * 37 % 1440) AS start, o_orderdate + to_minutes(o_orderkey * 37 % 1440 + o_orderkey % 181) AS \"end\" FROM orders",
+    "owner_changes": "SELECT user_id || '-' || event_type AS id, event_id AS seq, ['INSERT', 'UPDATE', 'UPDATE', 'INSERT', 'DELETE'][event_id % 5 + 1] AS op, user_id, value FROM events",
     "changes": "SELECT user_id || '-' || event_type AS id, event_id AS seq, ['INSERT', 'UPDATE', 'UPDATE', 'INSERT', 'DELETE'][event_id % 5 + 1] AS op, value FROM events",
 }
 

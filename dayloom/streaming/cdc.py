@@ -9,6 +9,12 @@ Changes may come in any order over batches. The state is therefore not the rows
 still matter (``compact``): a key's last DELETE, the INSERTs after it (a late DELETE between two makes the
 second one count) and the last UPDATE after it (its INSERT may come late). Folding the state gives
 the rows that one fold over all changes would.
+
+With a ``lag`` the state forgets: once a change of number s has been seen, changes up to s - lag count as all known. What comes later than that is
+left out, and the state drops the tombstones up to there, the updates that no insert came before, and all inserts but the first. So a live row
+takes two changes at most, a removed one none, whatever its history; and the rows stay those of one fold as long as nothing
+comes later than the lag. The state is a stored table by key (``sources.keyed``): a batch rewrites the buckets of its keys, and those in which something is due
+to be forgotten; the number of buckets follows the state's size.
 """
 
 from __future__ import annotations
@@ -16,8 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Parts of the state by key; a batch rewrites those that its keys fall in.
-PARTS = 16
+from dayloom.sources.keyed import ROWS_PER_BUCKET, KeyedTable
 
 
 def _after_delete(changes: DataFrame) -> DataFrame:
@@ -35,19 +40,31 @@ def fold(changes: DataFrame) -> DataFrame:
     return last.select("id", "row.*")
 
 
-def compact(changes: DataFrame) -> DataFrame:
-    """The changes that may still matter; ``fold`` gives the same for them as for all."""
-    columns = changes.columns
-    updated = F.max(F.when(F.col("op") == "UPDATE", F.col("seq"))).over(Window.partitionBy("id"))
-    c = _after_delete(changes).withColumn("_updated", updated)
-    alive = F.col("_deleted").isNull() | (F.col("seq") > F.col("_deleted"))
-    c = c.filter(((F.col("op") == "DELETE") & (F.col("seq") == F.col("_deleted"))) | (alive & ((F.col("op") == "INSERT") | ((F.col("op") == "UPDATE") & (F.col("seq") == F.col("_updated"))))))
-    return c.select(*columns).dropDuplicates(["id", "seq", "op"])
-
+def compact(changes: DataFrame, final: int | None = None) -> DataFrame:
+    """The changes that may still matter; ``fold`` gives the same for them as for all.
 
-def apply(state: DataFrame, changes: DataFrame) -> DataFrame:
+    ``final``: no more changes come up to this number. Adds ``_due``, the number that ``final`` must reach for the change to go, null if it stays
+    anyway.
+    """
+    columns = [c for c in changes.columns if c != "_due"]
+    by = Window.partitionBy("id")
+    op, seq = F.col("op"), F.col("seq")
+    last = lambda kind: F.max(F.when(op == kind, seq)).over(by)
+    c = changes.select(*columns).withColumns({"_deleted": last("DELETE"), "_updated": last("UPDATE")})
+    c = c.filter(F.col("_deleted").isNull() | (seq >= F.col("_deleted")))
+    c = c.withColumn("_made", F.min(F.when((op == "INSERT") & (F.col("_deleted").isNull() | (seq > F.col("_deleted"))), seq)).over(by))
+    dead = (op != "DELETE") & (seq == F.col("_deleted"))
+    c = c.filter(~F.coalesce(dead, F.lit(False)) & ((op != "UPDATE") | (seq == F.col("_updated"))))
+    stays = ((op == "INSERT") & (seq == F.col("_made"))) | ((op == "UPDATE") & (seq > F.col("_made")))
+    c = c.withColumn("_due", F.when(~F.coalesce(stays, F.lit(False)), seq))
+    if final is not None:
+        c = c.filter(F.col("_due").isNull() | (F.col("_due") > final))
+    return c.select(*columns, "_due").dropDuplicates(["id", "seq", "op"])
+
+
+def apply(state: DataFrame, changes: DataFrame, final: int | None = None) -> DataFrame:
     """The state after more changes; ``fold`` of it gives the rows."""
-    return compact(state.unionByName(changes))
+    return compact(state.drop("_due").unionByName(changes), final)
 
 
 def read_changes(spark: SparkSession, path: str, schema, files_per_trigger: int = 10, user_id=None) -> DataFrame:
@@ -56,51 +73,45 @@ def read_changes(spark: SparkSession, path: str, schema, files_per_trigger: int
     return stream if user_id is None else stream.filter(F.col("user_id") == user_id)
 
 
-def _folder(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
-    """The versions of each part, from the folders' names (a few for each of ``PARTS``)."""
-    root, fs = _folder(spark, path)
-    found: dict[int, list[int]] = {}
-    for part in fs.listStatus(root) if fs.exists(root) else ():
-        name = part.getPath().getName()
-        if name.startswith("part="):
-            inside = [v.getPath().getName() for v in fs.listStatus(part.getPath())]
-            found[int(name[5:])] = sorted(int(v[8:]) for v in inside if v.startswith("version="))
-    return found
+def state(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The changes that may still matter, after all batches or as of a version of the table."""
+    return KeyedTable(spark, path).read(number)
 
 
-def state_at(spark: SparkSession, path: str, version: int, schema, parts=None) -> DataFrame:
-    """The state (changes that may still matter) after a batch; of each part the last version up to it."""
-    last = {p: max((v for v in vs if v <= version), default=None) for p, vs in _versions(spark, path).items() if parts is None or p in parts}
-    where = [f"{path}/part={p}/version={v}" for p, v in sorted(last.items()) if v is not None]
-    return spark.read.schema(schema).parquet(*where) if where else spark.createDataFrame([], schema)
+def rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a state."""
+    return fold(state(spark, path).drop("_due"))
 
 
-def start(changes: DataFrame, path: str, checkpoint: str, **trigger):
-    """Folds a stream into a state at ``path``.
+def start(changes: DataFrame, path: str, checkpoint: str, lag: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET, **trigger):
+    """Folds a stream into a state at ``path``; each batch is a version of it.
 
-    A batch reads and writes only the parts that its keys fall in, as a version of its own number, so a batch that is
-    retried writes the same. Of each part the last two versions stay.
+    A version notes the batch that made it, so a batch that is retried after it was written does nothing. The last two versions stay.
     """
-    schema = changes.schema
+    empty = changes.schema
 
     def step(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
-        touched = [r["part"] for r in batch.select(part.alias("part")).distinct().collect()]  # at most PARTS
-        if not touched:
+        table = KeyedTable(spark, path, rows_per_bucket=rows_per_bucket)
+        if table.latest() is None:
+            KeyedTable.create(compact(spark.createDataFrame([], empty)), path, rows_per_bucket=rows_per_bucket)
+        notes = table.latest().notes
+        if notes.get("batch", -1) >= n:
             return
-        state = apply(state_at(spark, path, n - 1, schema, touched), batch)
-        parted = state.select("*", part.alias("part"), F.lit(n).alias("version"))
-        parted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "version").parquet(path)
-        for p, versions in _versions(spark, path).items():
-            for old in versions[:-2] if p in touched else ():
-                folder, fs = _folder(spark, f"{path}/part={p}/version={old}")
-                fs.delete(folder, True)
+        batch = batch.persist()
+        try:
+            final, seen = notes.get("final"), batch.agg(F.max("seq")).first()[0]  # one row
+            if seen is None:
+                return
+            on_time = batch if final is None else batch.filter(F.col("seq") > final)
+            late = 0 if final is None else batch.filter(F.col("seq") <= final).count()
+            if lag is not None:
+                final = max(seen - lag, seen - lag if final is None else final)
+            due = [int(b) for b, (_, _, mark) in table.latest().parts.items() if final is not None and mark is not None and mark <= final]
+            table.rewrite(on_time, lambda old: apply(old, on_time, final), due, F.min("_due"), batch=n, final=final, late=notes.get("late", 0) + late)
+        finally:
+            batch.unpersist()
+        table.vacuum()
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -11,6 +11,7 @@ from dayloom.operators import analytics as A
 from dayloom.operators import calendar as C
 from dayloom.operators import dml, validate
 from dayloom.sources import tables as T
+from dayloom.sources.keyed import KeyedTable
 from dayloom.streaming import cdc
 
 
@@ -109,10 +110,10 @@ def test_dml(spark):
     assert as_dict(dml.update(t, new)) == {1: "a", 2: "c"}
     assert as_dict(dml.insert_absent(t, new)) == {1: "a", 2: "b", 3: "d"}
     assert as_dict(dml.delete(t, new)) == {1: "a"}
-    with pytest.raises(LookupError):
-        dml.update_strict(t, new)
-    with pytest.raises(LookupError):
-        T.exactly_one(t)
+    with pytest.raises(Exception, match="a row to update is not there: 3"):
+        dml.update_strict(t, new).count()
+    with pytest.raises(Exception, match="the one row that is due"):
+        T.exactly_one(t).count()
     assert T.at_most_one(t.filter("id = 1")).count() == 1
 
 
@@ -182,7 +183,7 @@ def test_change_feed_batch_and_stream_agree(spark, tmp_path):
         spark.createDataFrame(rows[k * 50 : k * 50 + 50], schema).coalesce(1).write.mode("append").parquet(feed)
         q = cdc.start(cdc.read_changes(spark, feed, schema, 1), state, str(tmp_path / "cp"))
         q.awaitTermination()
-    assert as_dict(cdc.fold(cdc.state_at(spark, state, 2, schema))) == want
+    assert as_dict(cdc.rows(spark, state)) == want
 
 
 def test_changes_in_any_order_over_batches(spark, tmp_path):
@@ -199,9 +200,8 @@ def test_changes_in_any_order_over_batches(spark, tmp_path):
     for k in range(0, len(rows), 40):
         spark.createDataFrame(rows[k : k + 40], schema).coalesce(1).write.mode("append").parquet(feed)
     cdc.start(cdc.read_changes(spark, feed, schema, 1, user_id=0), state, str(tmp_path / "cp")).awaitTermination()
-    fields = spark.createDataFrame([], schema).schema
-    assert sorted(map(tuple, cdc.fold(cdc.state_at(spark, state, 1 << 30, fields)).collect())) == want
-    assert all(len(v) <= 2 for v in cdc._versions(spark, state).values())
+    assert sorted(map(tuple, cdc.rows(spark, state).collect())) == want
+    assert len(KeyedTable(spark, state).versions()) == 2
 
 
 def test_autosave_keeps_the_last_draft(spark, tmp_path):
@@ -210,8 +210,7 @@ def test_autosave_keeps_the_last_draft(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
     drafts = cdc.read_changes(spark, feed, schema, 1)
     cdc.autosave(drafts, state, str(tmp_path / "cp"), availableNow=True).awaitTermination()
-    fields = spark.createDataFrame([], schema + ", op string").schema
-    assert sorted((r.id, r.body) for r in cdc.fold(cdc.state_at(spark, state, 9, fields)).collect()) == [(1, "new"), (2, "only")]
+    assert sorted((r.id, r.body) for r in cdc.rows(spark, state).collect()) == [(1, "new"), (2, "only")]
 
 
 def test_bookmark_pages_and_file_list(spark, tmp_path):
