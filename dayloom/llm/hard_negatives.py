@@ -114,7 +114,7 @@ def inverted(classes: DataFrame, dim: int) -> tuple[DataFrame, Lists]:
         shard, room = shard + pieces - 1, room - row.n
     where = classes.sparkSession.createDataFrame([(row.list, i, f, s) for i, (row, f, s) in enumerate(zip(filled, first, shards, strict=True))], "list int, at int, first long, shards long")
     items = placed.join(F.broadcast(where), "list").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vid"), F.col("shards")))
-    index = Lists(centres[[row.list for row in filled]].reshape(-1, dim), np.array([row.far for row in filled]), np.array(first, np.int64), np.array(shards, np.int64))
+    index = Lists(centres[np.array([row.list for row in filled], np.int64)], np.array([row.far for row in filled]), np.array(first, np.int64), np.array(shards, np.int64))
     return items.select("shard", F.col("at").alias("list"), "vid", "label", "v"), index
 
 
