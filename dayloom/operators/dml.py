@@ -55,10 +55,14 @@ def delete(target: DataFrame, keys: DataFrame, on=("id",)) -> DataFrame:
 def get_or_create(members: DataFrame, names: DataFrame, on=("name", "user_id")) -> DataFrame:
     """The dimension with the missing members added, all at once; ids go on from the largest, in the order of a hash.
 
-    The new members are numbered in 256 chunks of the hash's range, whose counts are summed: no task sees them all.
+    A null is a name like any other: it is created once. The new members are numbered in 256 chunks of the hash's range, whose counts are summed: no task sees them all.
     """
     hashed = F.md5(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in on]))
-    new = names.select(*on).distinct().join(members, list(on), "left_anti").withColumn("_h", hashed).withColumn("_chunk", F.substring("_h", 1, 2))
+    held = members.select(*[F.col(c).alias(f"_{c}") for c in on])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    new = names.select(*on).distinct().join(held, same, "left_anti").withColumn("_h", hashed).withColumn("_chunk", F.substring("_h", 1, 2))
     before = F.sum("_n").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))  # 256 rows at most
     chunks = new.groupBy("_chunk").agg(F.count("*").alias("_n")).select("_chunk", F.coalesce(before, F.lit(0)).alias("_before"))
     top = members.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))

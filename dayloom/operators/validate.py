@@ -60,3 +60,9 @@ def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Dat
 def missing_settings(settings: dict[str, str | None]) -> Column:
     """The names of unset settings."""
     return F.array_compact(F.array(*[F.lit(None if v else k).cast("string") for k, v in settings.items()]))
+
+
+def unset(settings, names) -> Column:
+    """Of a map of settings, the names that are missing, null or blank, in the order asked."""
+    value = lambda n: F.btrim(F.coalesce(F.try_element_at(settings, F.lit(n)), F.lit("")))
+    return F.array_compact(F.array(*[F.when(value(n) == "", F.lit(n)) for n in names]))

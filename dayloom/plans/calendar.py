@@ -108,6 +108,27 @@ def navigation(spark, d):
     return days.select(_day().alias("day"), _day(dates.week_start(F.col("day"))).alias("week_first"), _day(dates.week_end(F.col("day"))).alias("week_last"), *cols)
 
 
+def week_load(spark, d):
+    """The quarters of an hour of a week, each with the timed events that begin in it."""
+    grid = C.week_grid(spark, TODAY)
+    e = T.calendar_events(spark, d).filter(~C.is_multi_day())
+    n = e.groupBy(F.to_date("start").alias("day"), F.hour("start").alias("hour"), F.floor(F.minute("start") / 15).cast("int").alias("quarter")).agg(F.count("*").alias("n"))
+    return grid.join(n, ["day", "hour", "quarter"], "left").select(_day().alias("day"), "hour", "quarter", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def day_navigation(spark, d):
+    """From each day with events to the next and the last period of each view."""
+    days = C.starting(T.calendar_events(spark, d)).groupBy("day").agg(F.count("*").alias("n"))
+    cols = [_day(dates.navigate(F.col("day"), v, k)).alias(f"{v}_{'next' if k > 0 else 'back'}") for v in ("month", "week", "day", "agenda") for k in (1, -1)]
+    return days.select(_day().alias("day"), "n", _day(dates.week_start(F.col("day"))).alias("week_first"), _day(dates.week_end(F.col("day"))).alias("week_last"), *cols)
+
+
+def quarter_load(spark, d):
+    """The 96 quarters of an hour of a day, each with the events that begin in it on any day."""
+    n = T.calendar_events(spark, d).groupBy(F.hour("start").alias("hour"), dates.floor_15(F.col("start")).alias("minute")).agg(F.count("*").alias("n"))
+    return T.quarters(spark).join(n, ["hour", "minute"], "left").select("hour", "minute", "label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def validate_events(spark, d):
     e = T.calendar_events(spark, d)
     bad = e.withColumn("end", F.when(F.col("id") % 19 == 0, F.expr("start - interval '1' hour")).when(F.col("id") % 23 != 0, F.col("end"))).withColumn("title", F.when(F.col("id") % 29 == 0, "  ").otherwise(F.col("title")))
@@ -196,6 +217,17 @@ QUERIES = {
         SELECT {_D('d')} AS day, {_D("d - CAST(dayofweek(d) AS INTEGER)")} AS week_first, {_D("d - CAST(dayofweek(d) AS INTEGER) + 6")} AS week_last,
           {_D("d + INTERVAL 1 MONTH")} AS month_next, {_D("d - INTERVAL 1 MONTH")} AS month_back, {_D("d + 7")} AS week_next, {_D("d - 7")} AS week_back,
           {_D("d + 1")} AS day_next, {_D("d - 1")} AS day_back, {_D("d + 30")} AS agenda_next, {_D("d - 30")} AS agenda_back FROM g"""),
+    "week_load": (week_load, _E(f"""
+        , g AS (SELECT CAST(unnest(generate_series(DATE '2024-01-14', DATE '2024-01-20', INTERVAL 1 DAY)) AS DATE) AS day), h AS (SELECT day, h::INTEGER AS hour, q::INTEGER AS quarter FROM g, range(24) a(h), range(4) b(q))
+        SELECT {_D('day')} AS day, hour, quarter, (SELECT count(*) FROM calendar_events WHERE NOT {_MULTI} AND CAST(start AS DATE) = day AND hour(start) = hour AND minute(start) // 15 = quarter) AS n FROM h""")),
+    "day_navigation": (day_navigation, _E(f"""
+        , g AS (SELECT CAST(start AS DATE) AS d, count(*) AS n FROM calendar_events GROUP BY 1)
+        SELECT {_D('d')} AS day, n, {_D("d - CAST(dayofweek(d) AS INTEGER)")} AS week_first, {_D("d - CAST(dayofweek(d) AS INTEGER) + 6")} AS week_last,
+          {_D("d + INTERVAL 1 MONTH")} AS month_next, {_D("d - INTERVAL 1 MONTH")} AS month_back, {_D("d + 7")} AS week_next, {_D("d - 7")} AS week_back,
+          {_D("d + 1")} AS day_next, {_D("d - 1")} AS day_back, {_D("d + 30")} AS agenda_next, {_D("d - 30")} AS agenda_back FROM g""")),
+    "quarter_load": (quarter_load, _E("""
+        , n AS (SELECT hour(start) AS h, minute(start) // 15 * 15 AS m, count(*) AS n FROM calendar_events GROUP BY 1, 2)
+        SELECT (i // 4)::INTEGER AS hour, (i % 4 * 15)::INTEGER AS minute, printf('%02d:%02d', i // 4, i % 4 * 15) AS label, coalesce(n, 0)::BIGINT AS n FROM range(96) t(i) LEFT JOIN n ON h = i // 4 AND m = i % 4 * 15""")),
     "validate_events": (validate_events, _E("""
         SELECT id, array_to_string([x FOR x IN [CASE WHEN id % 29 = 0 THEN 'title is required' END, CASE WHEN id % 23 = 0 AND id % 19 <> 0 THEN 'end is a time' END,
           CASE WHEN id % 19 = 0 OR id % 23 = 0 THEN 'end is not before start' END, CASE WHEN color = 'none' THEN 'color is known' END, CASE WHEN id % 31 = 0 THEN 'owner is a UUID' END,

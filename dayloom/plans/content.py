@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dayloom.functions import arrays, numbers, text
 from dayloom.operators import analytics as A
-from dayloom.operators import dml
+from dayloom.operators import dml, validate
 from dayloom.sources import tables as T
 from dayloom.sources.tables import with_views
 
@@ -135,6 +135,18 @@ def post_defaults(spark, d):
     return p.select("id", text.or_default(blank, "No excerpt available").alias("excerpt"), F.length("excerpt").cast("int").alias("n"), arrays.first_or(F.col("tags"), "Uncategorized").alias("tag"))
 
 
+def post_rejects(spark, d):
+    """Posts without one of the eight fields that they must have, and what they lack; those that pass are counted as such."""
+    p = T.posts(spark, d).withColumn("slug", text.slug(F.col("title")))
+    i = F.col("id")
+    p = p.withColumns({
+        "meta_description": F.when(i % 6 != 0, F.lit("m")), "published_at": F.when(i % 10 != 0, F.lit("2024-01-01")), "author_id": F.when(i % 14 == 0, F.lit("  ")).otherwise(F.lit("u")),
+        "tags": F.when(i % 15 == 0, F.array().cast("array<string>")).when(i % 21 != 0, F.col("tags")), "featured_image": F.when(i % 22 == 0, F.lit("")).otherwise(F.lit("f")), "excerpt": F.lit("e"), "title": F.when(i % 26 != 0, F.lit("t")), "slug": F.lit("s"),
+    })
+    good, bad = validate.split_valid(p, validate.post_rules())
+    return bad.select("id", F.array_join("violations", "; ").alias("violations")).unionByName(good.select("id", F.lit("").alias("violations")))
+
+
 def signed_transactions(spark, d):
     t = T.transactions(spark, d)
     return t.select("id", "user_id", numbers.signed_amount(F.col("type"), F.col("amount")).alias("amount"), F.concat(F.when(F.col("type") == "credit", "+").otherwise("-"), F.lit("$"), F.format_string("%.2f", "amount")).alias("shown"))
@@ -266,6 +278,9 @@ QUERIES = {
           translate(rtrim(base64(unhex(sha256(p_type))), '='), '+/', '-_') AS sha, base64(p_type::BLOB) AS b64, contains(p_type, 'STEEL') AS steel, starts_with(p_type, 'STANDARD') AS standard FROM part"""),
     "post_defaults": (post_defaults, with_views("""
         SELECT id, CASE WHEN id % 5 = 0 OR id % 7 = 0 OR excerpt = '' OR excerpt IS NULL THEN 'No excerpt available' ELSE excerpt END AS excerpt, length(excerpt)::INTEGER AS n, coalesce(tags[1], 'Uncategorized') AS tag FROM posts""", "posts")),
+    "post_rejects": (post_rejects, """
+        SELECT doc_id AS id, concat_ws('; ', CASE WHEN doc_id % 26 = 0 THEN 'title is required' END, CASE WHEN doc_id % 6 = 0 THEN 'meta_description is required' END, CASE WHEN doc_id % 10 = 0 THEN 'published_at is required' END,
+          CASE WHEN doc_id % 14 = 0 THEN 'author_id is required' END, CASE WHEN doc_id % 15 = 0 OR doc_id % 21 = 0 THEN 'at least one tag is required' END, CASE WHEN doc_id % 22 = 0 THEN 'featured_image is required' END) AS violations FROM documents"""),
     "signed_transactions": (signed_transactions, with_views("SELECT id, user_id, CASE WHEN type = 'credit' THEN amount ELSE -amount END AS amount, CASE WHEN type = 'credit' THEN '+' ELSE '-' END || '$' || printf('%.2f', amount) AS shown FROM transactions", "transactions")),
     "owner_balance": (owner_balance, with_views("SELECT user_id, count(*) AS n, CAST(sum(CASE WHEN type = 'credit' THEN CAST(round(amount * 100) AS BIGINT) ELSE -CAST(round(amount * 100) AS BIGINT) END) AS BIGINT) AS cents FROM transactions GROUP BY 1", "transactions")),
     "user_or_first": (user_or_first, "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey = 5 UNION ALL (SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 1)"),

@@ -159,6 +159,73 @@ def revenue_total(spark, d):
     return r.withColumn("active", F.lit(T.users(spark).filter("status = 'active'").count()))
 
 
+# --- an owner's pages, and relations of fixed values beside the tables ----------------------------
+
+
+def owner_dashboard(spark, d):
+    """An owner's dashboard in one row: every relation is read for that owner only."""
+    me = T.Owner(spark, d, OWNER)
+    r = me.reminders
+    todo = A.todo_snapshot(r, AS_OF).drop("user_id").withColumnRenamed("label", "focus")
+    first = A.top(A.open_items(r), A.due_order(), 1).select(F.col("id").alias("first_due"))
+    balance = F.sum(F.round(numbers.signed_amount(F.col("type"), F.col("amount")) * 100).cast("long")).alias("cents")
+    parts = [A.needs_vs_wants(r).drop("user_id"), first, me.prompts.agg(F.count("*").alias("prompts")), me.calendar_events.agg(F.count("*").alias("events")), me.transactions.agg(balance)]
+    row = lambda df: df.withColumn("_one", F.lit(1))
+    out = row(todo)
+    for part in parts:  # a row each
+        out = out.join(row(part), "_one", "left")
+    return out.drop("_one")
+
+
+def fixed_amounts(spark, d):
+    """Line totals in fixed decimals, as text."""
+    li = T.table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax")
+    total = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    return li.select("l_orderkey", "l_linenumber", numbers.fixed(total, 2).alias("total"), numbers.fixed(-total / 7, 1).alias("part"))
+
+
+def type_maps(spark, d):
+    """Counts by type of each user as a map, its entries by key, and back from JSON."""
+    n = T.table(spark, d, "events", "user_id", "event_type").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    m = n.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("m"))  # a row a type
+    each = F.array_join(F.transform(arrays.entries(F.col("m")), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
+    back = F.from_json(F.to_json("m"), "map<string,long>")
+    return m.select("user_id", each.alias("entries"), F.aggregate(F.map_values(back), F.lit(0).cast("long"), lambda a, b: a + b).alias("total"), F.array_max(F.map_values("m")).alias("most"))
+
+
+def json_forms(spark, d):
+    """Properties parsed with a declared schema, printed again, short and indented; what is no JSON gives nulls."""
+    e = T.table(spark, d, "events", "event_id", "props").withColumn("raw", F.when(F.col("event_id") % 9 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")))
+    x = F.from_json("raw", "k long")
+    return e.select("event_id", x["k"].alias("k"), F.when(x["k"].isNotNull(), F.to_json(x)).alias("short"), F.when(x["k"].isNotNull(), text.pretty_json(x)).alias("long"))
+
+
+def account_users(spark, d):
+    """The listed users with what their accounts hold: fixed rows joined to the table, for the owners asked only."""
+    users = T.users(spark).filter(F.col("id").isin(1, 3))
+    t = T.transactions(spark, d).join(F.broadcast(users.select("id").withColumnRenamed("id", "user_id")), "user_id", "left_semi")  # two rows
+    n = t.groupBy("user_id").agg(F.count("*").alias("n"))
+    return users.join(n, F.col("id") == F.col("user_id"), "left").select("id", F.concat_ws(" ", "name", "surname").alias("name"), "status", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def revenue_months(spark, d):
+    """The planned revenue of each month beside the orders' of all years."""
+    plan = T.monthly_revenue(spark)
+    o = T.table(spark, d, "orders", "o_orderdate", "o_totalprice").groupBy(F.date_format("o_orderdate", "MMM").alias("name"))
+    got = o.agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"), F.count("*").alias("orders"))
+    return plan.join(got, "name", "left").select("name", "total", F.coalesce("cents", F.lit(0)).cast("long").alias("cents"), F.coalesce("orders", F.lit(0)).cast("long").alias("orders"))
+
+
+def service_settings(spark, d):
+    """Settings of services from the suppliers' rows: which are unset, and how they may be shown."""
+    s = T.table(spark, d, "supplier", "s_suppkey", "s_name", "s_acctbal")
+    k = F.col("s_suppkey")
+    key = F.when(k % 3 != 0, F.concat(F.lit("key-"), F.col("s_name")))
+    both = s.withColumn("m", F.create_map(F.lit("url"), F.when(k % 4 == 0, F.lit("  ")).otherwise(F.lit("https://mail.example")), F.lit("mail_key"), key, F.lit("token"), F.md5("s_name")))
+    shown = text.redact(F.col("m"), ["token"])
+    return both.select(k.alias("id"), F.array_join(validate.unset(F.col("m"), ["mail_key", "url", "search_key"]), ",").alias("unset"), text.mask_secret(F.lit("mail_key"), key).alias("masked"), text.mask_secret(F.lit("url"), F.col("s_name")).alias("plain"), F.try_element_at(shown, F.lit("token")).alias("token"))
+
+
 _R = lambda sql: with_views(sql, "reminders")
 _DUE = "is_pinned DESC NULLS FIRST, due_date ASC NULLS LAST, id"
 _SUMMARY = """count(*) AS total, count(*) FILTER (WHERE status = 'success') AS n_success, count(*) FILTER (WHERE status = 'warning') AS n_warning, count(*) FILTER (WHERE status = 'error') AS n_error"""
@@ -241,6 +308,30 @@ QUERIES = {
     "revenue_total": (revenue_total, f"SELECT {sum(n for _, n in T.REVENUE)}::BIGINT AS total, {max(n for _, n in T.REVENUE)}::BIGINT AS best, {len(T.REVENUE)}::BIGINT AS months, 2::BIGINT AS active"),
     "table_probe": (table_probe, "SELECT * FROM (VALUES ('events', true), ('orders', true), ('no_such_table', false)) t(name, ok)"),
     "missing_settings": (missing_settings, "SELECT 'mail_key,search_key' AS missing, 'abc...hij' AS masked, '[redacted]' AS token, 'u' AS user"),
+    "owner_dashboard": (owner_dashboard, with_views(f"""
+        , r AS (SELECT * FROM reminders WHERE user_id = {OWNER}), o AS (SELECT * FROM r WHERE is_open AND NOT is_done),
+        a AS (SELECT count(*) AS n, (sum(energy_scale) / count(*))::DOUBLE AS energy_avg, count(*) FILTER (WHERE energy_scale >= 7) AS n_high, count(*) FILTER (WHERE due_date < date_trunc('day', TIMESTAMP '{AS_OF}')) AS n_overdue FROM o),
+        w AS (SELECT coalesce(sum(energy_scale) FILTER (category = 'need_to_do') / count(*) FILTER (category = 'need_to_do'), 0)::DOUBLE AS need_avg,
+          coalesce(sum(energy_scale) FILTER (category = 'want_to_do') / count(*) FILTER (category = 'want_to_do'), 0)::DOUBLE AS want_avg FROM r)
+        SELECT a.*, (SELECT tag FROM (SELECT unnest(tags) AS tag FROM o) GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 1) AS top_tag, CASE WHEN n_high > 0 OR n_overdue > 0 THEN 'Morning' ELSE 'Afternoon' END AS focus,
+          w.*, CASE WHEN need_avg > want_avg THEN 'Needs First' ELSE 'Wants First' END AS label, (SELECT id FROM o ORDER BY {_DUE} LIMIT 1) AS first_due,
+          (SELECT count(*) FROM orders WHERE o_custkey = {OWNER}) AS prompts, (SELECT count(*) FROM events WHERE user_id = {OWNER}) AS events,
+          (SELECT CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END * CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) FROM orders WHERE o_custkey = {OWNER}) AS cents FROM a, w""", "reminders")),
+    "fixed_amounts": (fixed_amounts, """
+        SELECT l_orderkey, l_linenumber, printf('%.2f', l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS total, printf('%.1f', -(l_extendedprice * (1 - l_discount) * (1 + l_tax)) / 7) AS part FROM lineitem"""),
+    "type_maps": (type_maps, """
+        SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS entries, sum(n)::BIGINT AS total, max(n) AS most FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id"""),
+    "json_forms": (json_forms, """
+        WITH e AS (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) END AS k FROM events)
+        SELECT event_id, k, '{"k":' || k || '}' AS short, '{' || chr(10) || '  "k" : ' || k || chr(10) || '}' AS long FROM e"""),
+    "account_users": (account_users, f"""
+        SELECT id, name, status, (SELECT count(*) FROM orders WHERE o_custkey = id) AS n FROM (VALUES {", ".join(f"({u[0]}::BIGINT, '{u[1]} {u[2]}', '{u[5]}')" for u in T.USERS if u[0] in (1, 3))}) u(id, name, status)"""),
+    "revenue_months": (revenue_months, f"""
+        SELECT name, total::BIGINT AS total, coalesce(sum(CAST(round(o_totalprice * 100) AS BIGINT)), 0)::BIGINT AS cents, count(o_orderkey) AS orders
+        FROM (VALUES {", ".join(f"('{n}', {v})" for n, v in T.REVENUE)}) p(name, total) LEFT JOIN orders ON strftime(o_orderdate, '%b') = name GROUP BY name, total"""),
+    "service_settings": (service_settings, """
+        SELECT s_suppkey AS id, concat_ws(',', CASE WHEN s_suppkey % 3 = 0 THEN 'mail_key' END, CASE WHEN s_suppkey % 4 = 0 THEN 'url' END, 'search_key') AS unset,
+          CASE WHEN s_suppkey % 3 <> 0 THEN 'key...' || right(s_name, 3) END AS masked, s_name AS plain, '[redacted]' AS token FROM supplier"""),
     "energy_bars": (energy_bars, _R("SELECT energy_scale, (energy_scale * 10)::INTEGER AS bar, greatest(least(energy_scale, 8), 2)::INTEGER AS clamped, count(*) AS n FROM reminders GROUP BY energy_scale")),
     "relative_time": (relative_time, _R(f"""
         , m AS (SELECT id, date_sub('minute', created_at, TIMESTAMP '{AS_OF}') AS mi, date_sub('hour', created_at, TIMESTAMP '{AS_OF}') AS h,

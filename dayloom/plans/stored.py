@@ -44,6 +44,27 @@ def owner_feed(spark, d):
     return _streamed(spark, T.owner_changes(spark, d), OWNER).select("id", "seq", "value", "user_id")
 
 
+def feed_list(spark, d):
+    """The head of each client's list, newest insert first, as the feed leaves it."""
+    return cdc.newest(T.owner_changes(spark, d), 50).select(F.col("nth").cast("int").alias("nth"), "id", "seq", "value")
+
+
+def live_totals(spark, d):
+    """What a live page shows after each batch of an owner's feed: rows, their values' sum and the last change, worked out again from the state."""
+    changes = T.owner_changes(spark, d).filter(F.col("user_id") == OWNER).withColumn("cents", F.round(F.col("value") * 100).cast("long")).drop("value")
+    feed, state, checkpoint, out = (scratch(spark, name) for name in ("feed", "state", "stream", "totals"))
+    place = F.floor(F.col("seq") * 4 / (changes.agg(F.max("seq")).first()[0] + 1)).cast("int")  # one row
+    for k in range(4):
+        changes.filter(place == k).coalesce(1).write.mode("append").parquet(feed)
+
+    def total(rows, n):
+        sums = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("cents"), F.lit(0)).alias("cents"), F.max("seq").alias("last"))
+        sums.withColumn("batch", F.lit(n)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+
+    cdc.start(cdc.read_changes(spark, feed, changes.schema, 1, OWNER), state, checkpoint, after=total).awaitTermination()
+    return spark.read.parquet(out).select(F.col("batch").cast("int").alias("batch"), "n", "cents", "last")
+
+
 # --- stored tables -----------------------------------------------------------------------------
 
 
@@ -188,6 +209,18 @@ _PAGES = f"""
 QUERIES = {
     "feed_stream": (feed_stream, with_views(_FOLD.format(more="", where=""), "owner_changes")),
     "owner_feed": (owner_feed, with_views(_FOLD.format(more=", any_value(user_id) AS user_id", where=f" AND user_id = {OWNER}"), "owner_changes")),
+    "feed_list": (feed_list, with_views("""
+        , a AS (SELECT *, max(seq) FILTER (op = 'DELETE') OVER (PARTITION BY id) AS deleted FROM owner_changes),
+        b AS (SELECT *, min(seq) FILTER (op = 'INSERT') OVER (PARTITION BY id) AS made FROM a WHERE deleted IS NULL OR seq > deleted),
+        l AS (SELECT id, max(seq) AS seq, arg_max(value, seq) AS value, any_value(made) AS made FROM b WHERE seq = made OR (op = 'UPDATE' AND seq > made) GROUP BY id)
+        SELECT row_number() OVER (ORDER BY made DESC, id)::INTEGER AS nth, id, seq, value FROM l ORDER BY nth LIMIT 50""", "owner_changes")),
+    "live_totals": (live_totals, with_views(f"""
+        , m AS (SELECT id, seq, op, CAST(round(value * 100) AS BIGINT) AS cents, floor(seq * 4 / (max(seq) OVER () + 1))::INTEGER AS place FROM owner_changes WHERE user_id = {OWNER}),
+        k AS (SELECT m.*, batch FROM m, (SELECT DISTINCT place AS batch FROM m) WHERE place <= batch),
+        a AS (SELECT *, max(seq) FILTER (op = 'DELETE') OVER (PARTITION BY batch, id) AS deleted FROM k),
+        b AS (SELECT *, min(seq) FILTER (op = 'INSERT') OVER (PARTITION BY batch, id) AS made FROM a WHERE deleted IS NULL OR seq > deleted),
+        l AS (SELECT batch, id, max(seq) AS seq, arg_max(cents, seq) AS cents FROM b WHERE seq = made OR (op = 'UPDATE' AND seq > made) GROUP BY batch, id)
+        SELECT k.batch::INTEGER AS batch, count(l.id) AS n, coalesce(sum(l.cents), 0)::BIGINT AS cents, max(l.seq) AS last FROM (SELECT DISTINCT batch FROM k) k LEFT JOIN l USING (batch) GROUP BY k.batch""", "owner_changes")),
     "stored_changes": (stored_changes, with_views("""
         , a AS (SELECT id, user_id, CASE WHEN id % 7 <> 3 AND (id % 10 = 9 OR id % 50 = 0) THEN 'saved ' || title ELSE title END AS title, CASE WHEN id % 7 = 3 THEN 10 ELSE energy_scale END AS energy_scale, is_done FROM reminders),
         b AS (SELECT a.id, a.user_id, CASE WHEN a.id % 11 = 5 AND a.id % 2 = 0 THEN r.title ELSE a.title END AS title,

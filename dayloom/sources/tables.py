@@ -36,6 +36,20 @@ def owned(spark: SparkSession, sf_dir: str, name: str, user_id) -> DataFrame:
     return user_rows(globals()[name](spark, sf_dir), user_id)
 
 
+class Owner:
+    """All reads of one owner: a relation of this module by name, never another owner's rows; the filter reaches the scan."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, user_id):
+        if user_id is None:
+            raise ValueError("an owner is required")
+        self.spark, self.sf_dir, self.user_id = spark, sf_dir, user_id
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in ("reminders", "calendar_events", "prompts", "transactions", "diagnostics", "owner_changes", "visits"):
+            raise AttributeError(name)
+        return owned(self.spark, self.sf_dir, name, self.user_id)
+
+
 def listing(spark: SparkSession, path: str, base_url: str, pattern: str = "*") -> DataFrame:
     """``name``, public ``url``, ``size`` and time of change of the files below a path, from the store's listing: their content is not read.
 

@@ -19,6 +19,8 @@ to be forgotten; the number of buckets follows the state's size.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,14 +32,21 @@ def _after_delete(changes: DataFrame) -> DataFrame:
     return changes.withColumn("_deleted", deleted)
 
 
-def fold(changes: DataFrame) -> DataFrame:
-    """The rows that remain: ``id``, ``seq`` (of the change that gave the values), and the value columns."""
+def fold(changes: DataFrame, made: bool = False) -> DataFrame:
+    """The rows that remain: ``id``, ``seq`` (of the change that gave the values), and the value columns; with ``made`` also the number of the insert."""
     values = [c for c in changes.columns if c not in ("id", "seq", "op")]
     c = _after_delete(changes).filter(F.col("_deleted").isNull() | (F.col("seq") > F.col("_deleted")))
     c = c.withColumn("_made", F.min(F.when(F.col("op") == "INSERT", F.col("seq"))).over(Window.partitionBy("id")))
     c = c.filter((F.col("seq") == F.col("_made")) | ((F.col("op") == "UPDATE") & (F.col("seq") > F.col("_made"))))
-    last = c.groupBy("id").agg(F.max_by(F.struct("seq", *values), "seq").alias("row"))
-    return last.select("id", "row.*")
+    last = c.groupBy("id").agg(F.max_by(F.struct("seq", *values), "seq").alias("row"), F.min("_made").alias("made"))
+    return last.select("id", "row.*", *(["made"] if made else []))
+
+
+def newest(changes: DataFrame, n: int) -> DataFrame:
+    """The head of the list that a client shows, ``nth`` from 1: an insert goes before all rows that are there, an update leaves a row where it is."""
+    head = fold(changes, made=True).orderBy(F.col("made").desc(), "id").limit(n)
+    nth = F.row_number().over(Window.orderBy(F.col("made").desc(), "id"))  # n rows
+    return head.withColumn("nth", nth).drop("made")
 
 
 def compact(changes: DataFrame, final: int | None = None) -> DataFrame:
@@ -83,10 +92,10 @@ def rows(spark: SparkSession, path: str) -> DataFrame:
     return fold(state(spark, path).drop("_due"))
 
 
-def start(changes: DataFrame, path: str, checkpoint: str, lag: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET, **trigger):
+def start(changes: DataFrame, path: str, checkpoint: str, lag: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET, after: Callable[[DataFrame, int], None] | None = None, **trigger):
     """Folds a stream into a state at ``path``; each batch is a version of it.
 
-    A version notes the batch that made it, so a batch that is retried after it was written does nothing. The last two versions stay.
+    ``after`` is called with the rows as they are then, and the batch's number: what is derived from them is worked out again. A version notes the batch that made it, so a batch that is retried after it was written does nothing. The last two versions stay.
     """
     empty = changes.schema
 
@@ -96,22 +105,26 @@ def start(changes: DataFrame, path: str, checkpoint: str, lag: int | None = None
         if table.latest() is None:
             KeyedTable.create(compact(spark.createDataFrame([], empty)), path, rows_per_bucket=rows_per_bucket)
         notes = table.latest().notes
-        if notes.get("batch", -1) >= n:
-            return
+        if notes.get("batch", -1) < n and take(table, notes, batch, n):
+            table.vacuum()
+        if after is not None:
+            after(rows(spark, path), n)
+
+    def take(table: KeyedTable, notes: dict, batch: DataFrame, n: int) -> bool:
         batch = batch.persist()
         try:
             final, seen = notes.get("final"), batch.agg(F.max("seq")).first()[0]  # one row
             if seen is None:
-                return
+                return False
             on_time = batch if final is None else batch.filter(F.col("seq") > final)
             late = 0 if final is None else batch.filter(F.col("seq") <= final).count()
             if lag is not None:
                 final = max(seen - lag, seen - lag if final is None else final)
             due = [int(b) for b, (_, _, mark) in table.latest().parts.items() if final is not None and mark is not None and mark <= final]
             table.rewrite(on_time, lambda old: apply(old, on_time, final), due, F.min("_due"), batch=n, final=final, late=notes.get("late", 0) + late)
+            return True
         finally:
             batch.unpersist()
-        table.vacuum()
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

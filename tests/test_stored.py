@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dayloom.functions import dates, text
 from dayloom.operators import analytics as A
 from dayloom.operators import calendar as C
-from dayloom.operators import dml
+from dayloom.operators import dml, validate
 from dayloom.sources import tables as T
 from dayloom.sources.keyed import BUCKET, KeyedTable
 from dayloom.streaming import cdc, ticks
@@ -359,3 +359,58 @@ def test_utf16(spark):
                 continue
             want = max((t[:k] for k in range(len(t) + 1) if units(t[:k]) <= most), key=len)
             assert n == units(t) and cut == want and left == most - units(t), (t, most)
+
+
+# --- owners, names, settings, lists --------------------------------------------------------------
+
+
+def test_an_owner_reads_own_rows_only(spark):
+    d = "/root/testdata/sf0.001"
+    me = T.Owner(spark, d, 7)
+    for name in ("reminders", "calendar_events", "prompts", "transactions", "diagnostics", "owner_changes", "visits"):
+        df = getattr(me, name)
+        assert {r[0] for r in df.select("user_id").distinct().collect()} <= {7}
+        assert "PushedFilters: [" in (plan := df._jdf.queryExecution().executedPlan().toString()) and ",7)" in plan
+    with pytest.raises(ValueError):
+        T.Owner(spark, d, None)
+    with pytest.raises(AttributeError):
+        _ = me.customers
+
+
+def test_null_names_are_created_once(spark):
+    schema = "id long, name string, user_id long"
+    held = spark.createDataFrame([(5, "a", 1)], schema)
+    asked = spark.createDataFrame([(0, "a", 1), (0, None, 1), (0, None, 1), (0, "b", None)], schema)
+    first = dml.get_or_create(held, asked)
+    assert sorted((r.name or "", r.user_id or 0) for r in first.collect()) == [("", 1), ("a", 1), ("b", 0)] and first.select("id").distinct().count() == 3
+    assert _rows(dml.get_or_create(first, asked)) == _rows(first)
+
+
+def test_unset_settings(spark):
+    df = spark.createDataFrame([({"a": "x", "b": " ", "c": None},), ({},), (None,)], "m map<string,string>")
+    assert [r[0] for r in df.select(validate.unset(F.col("m"), ["c", "a", "b", "d"])).collect()] == [["c", "b", "d"], ["c", "a", "b", "d"], ["c", "a", "b", "d"]]
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_the_list_of_a_client(spark, seed):
+    rng, shown = random.Random(seed), []
+    rows = [(rng.randrange(8), s, rng.choice(["INSERT", "UPDATE", "DELETE"]), float(s)) for s in range(120)]
+    for i, s, op, v in rows:
+        at = next((k for k, x in enumerate(shown) if x[0] == i), None)
+        if op == "INSERT" and at is None:
+            shown.insert(0, (i, s, v))
+        elif op == "UPDATE" and at is not None:
+            shown[at] = (i, s, v)
+        elif op == "DELETE" and at is not None:
+            shown.pop(at)
+    rng.shuffle(rows)
+    got = cdc.newest(spark.createDataFrame(rows, "id long, seq long, op string, value double"), 4).orderBy("nth").collect()
+    assert [(r.id, r.seq, r.value) for r in got] == shown[:4] and [r.nth for r in got] == list(range(1, len(shown[:4]) + 1))
+
+
+def test_what_follows_the_feed(spark, tmp_path):
+    """A derived view is worked out from the rows after each batch, again for a batch that is repeated."""
+    schema, seen = "id long, seq long, op string, value double", []
+    rows = [(1, 1, "INSERT", 1.0), (2, 2, "INSERT", 2.0), (1, 3, "DELETE", 0.0), (2, 4, "UPDATE", 5.0)]
+    _stream(spark, tmp_path, rows, schema, [2, 2], after=lambda df, n: seen.append((n, sorted(r.value for r in df.collect()))))
+    assert seen == [(0, [1.0, 2.0]), (1, [5.0])]
