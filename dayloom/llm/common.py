@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import math
 import os
 import uuid
 
@@ -184,3 +185,22 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
     return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
+
+
+#: Bits of a bitmap of keys, at most (8 MB).
+MOST_BITS = 1 << 26
+
+
+def sifted(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``many`` whose keys ``few`` may hold: all those that it holds, and about one in 32 of the others; so that a join with ``few`` moves little else.
+
+    By a bitmap of the keys' hashes, null like any value. It is broadcast, and bounded: with more than ``MOST_BITS / 32`` keys it lets more through, in the end all.
+    """
+    bits = min(MOST_BITS, 1 << max(15, math.ceil(math.log2(32 * max(1, few.count())))))
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    marks = few.select(place.alias("_place")).groupBy(F.shiftright("_place", 15).alias("_part")).agg(F.bitmap_construct_agg(F.col("_place").bitwiseAND(32767)).alias("_bits"))
+    both = many.withColumn("_place", place).join(F.broadcast(marks), F.shiftright("_place", 15) == F.col("_part"))
+    at = F.col("_place").bitwiseAND(32767).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = both.withColumns({"_byte": byte, "_bit": at.bitwiseAND(7)}).filter("shiftright(_byte, _bit) % 2 = 1")
+    return hit.select(*many.columns)

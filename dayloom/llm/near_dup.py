@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import SHINGLE_C, discard, flat, join_on, mix, pieces, release, signed, stash, table, word_hashes
+from dayloom.llm.common import SHINGLE_C, discard, flat, join_on, mix, pieces, release, sifted, signed, stash, table, word_hashes
 
 WORDS, BUCKETS, BAND_ROWS = 5, 128, 4
 #: Similarity in hundredths.
@@ -405,7 +405,7 @@ def _placed(docs: DataFrame, similarity: int) -> DataFrame:
     discard(bands)
     # only texts that share a bucket may be read again
     named = stash(classes.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "id", "th"), "named")
-    texts = stash(join_on(docs, named, ["id", "th"]).dropDuplicates(["doc_id"]).select("doc_id", "text"), "texts")
+    texts = stash(join_on(sifted(docs, named, ["id", "th"]), named, ["id", "th"]).dropDuplicates(["doc_id"]).select("doc_id", "text"), "texts")
     release(spark)
     # a bucket's centre is the member with most company in all its buckets
     company = shared.groupBy("doc_id").agg(F.sum("n").alias("company"))
