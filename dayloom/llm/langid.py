@@ -5,16 +5,17 @@ against it from left to right: the longest match with any substring of the sampl
 the next phrase begins after it. The language that needs the fewest phrases per character wins.
 
 Every label is a language, and every letter of any sample a symbol of its own. The samples are bounded:
-whole labelled rows, in the order of a hash of their id, until a language has ``SAMPLE_CHARS`` characters
+whole labelled rows, different in text, in the order of a hash of id and text, until a language has ``SAMPLE_CHARS`` characters
 (less where there are more languages than ``ALL_CHARS`` allows at that size, ``LEAST_CHARS`` at least); rows
-longer than that are taken only where a language has no other. So the model grows with the number of
+longer than that are taken only where a language has no other. Of a language with very many rows a share of the hashes is looked at, and all
+rows if that share gives less than is wanted (many copies, say). So the model grows with the number of
 labels only. The samples are broadcast, and a worker builds the automata from them once.
 
 Every text is parsed whole. A long one is parsed in stretches side by side; each stretch's parse goes on into
 the next until both begin a phrase at the same place, from where they agree, so the count is that of one
 unbroken parse.
 
-Letters are lower-cased; all else becomes one space. Null text, or text without letters: ``und`` with
+Letters are lower-cased one by one (to the first letter, where that gives several); all else becomes one space. Null text, or text without letters: ``und`` with
 score 0. The score is ``second / (first + second)`` of the two smallest phrase counts (1 with one
 language). Ties go to the language with more labelled documents. Rows with a null label, or without letters, teach
 nothing; without any labelled text all is ``und``. Repeated rows are judged alike; an empty table gives an empty
@@ -40,7 +41,7 @@ STRETCH = 1024
 
 
 def _letters(text: str) -> str:
-    return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+    return " ".join("".join(c.lower()[0] if c.isalpha() else " " for c in text).split())
 
 
 def automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -125,15 +126,15 @@ def _teaching(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
 
 
-def samples(docs: DataFrame, counts: dict[str, int], chars: int) -> DataFrame:
+def samples(docs: DataFrame, counts: dict[str, int], chars: int, shares: bool = True) -> DataFrame:
     """``lang`` and ``sample``: text of each language of ``counts`` (its number of documents), of about ``chars``.
 
-    Documents are taken whole, by a hash of their id, the lowest first. Only hashes low enough to let about
-    ``NEED * MARGIN`` documents of a language through are looked at, and a task keeps no more than a language may need.
+    Documents are taken whole, by a hash of id and text, the lowest first. With ``shares`` only hashes low enough to let about
+    ``NEED * MARGIN`` documents of a language through are looked at. A task keeps no more than a language may need.
     """
-    chance = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("sample"))
-    few = [(lang, NEED * MARGIN / n) for lang, n in counts.items() if n > NEED * MARGIN]
-    marked = _teaching(docs).withColumn("chance", chance)
+    chance = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text", F.lit("sample"))
+    few = [(lang, NEED * MARGIN / n) for lang, n in counts.items() if shares and n > NEED * MARGIN]
+    marked = _teaching(docs).filter(F.col("lang").isin(*counts)).withColumn("chance", chance)
     if few:
         share = F.try_element_at(F.create_map(*[F.lit(x) for pair in few for x in pair]), F.col("lang"))
         marked = marked.filter(F.col("chance").cast("double") / 2.0**64 + 0.5 <= F.coalesce(share, F.lit(2.0)))
@@ -145,13 +146,14 @@ def samples(docs: DataFrame, counts: dict[str, int], chars: int) -> DataFrame:
         for b in batches:
             pdf = b.to_pandas()
             kept = pdf if kept is None else pd.concat([kept, pdf])
-            kept = kept.sort_values(["over", "chance", "text"]).groupby("lang", sort=False).head(NEED)
+            kept = kept.sort_values(["over", "chance", "text"]).drop_duplicates(["lang", "text"]).groupby("lang", sort=False).head(NEED)
             size = kept["text"].str.len()
             kept = kept[size.groupby(kept["lang"]).cumsum() - size < chars]
         if kept is not None:
             yield pa.RecordBatch.from_pandas(kept, preserve_index=False)
 
     short = marked.mapInArrow(first, "lang string, over int, chance long, text string")
+    short = short.groupBy("lang", "text").agg(F.min(F.struct("over", "chance")).alias("x")).select("lang", "x.*", "text")
     by = Window.partitionBy("lang").orderBy("over", "chance", "text")
     before = F.sum(F.length("text")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     short = short.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < chars)
@@ -250,7 +252,11 @@ def learn(docs: DataFrame) -> list[tuple[str, str]]:
     if not counts:
         return []
     chars = max(LEAST_CHARS, min(SAMPLE_CHARS, ALL_CHARS // len(counts)))
-    got = {r["lang"]: _letters(r["sample"]) for r in samples(docs, counts, chars).collect()}  # bounded, see above
+    got = {r["lang"]: r["sample"] for r in samples(docs, counts, chars).collect()}  # bounded, see above
+    short = {n: c for n, c in counts.items() if c > NEED * MARGIN and len(got.get(n, "")) < chars}
+    if short:
+        got |= {r["lang"]: r["sample"] for r in samples(docs, short, chars, shares=False).collect()}  # as bounded
+    got = {n: _letters(text) for n, text in got.items()}
     return [(n, got[n]) for n in counts if got.get(n)]
 
 

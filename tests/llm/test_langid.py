@@ -81,3 +81,26 @@ def test_ties_go_to_the_language_with_more_rows(spark):
     rows = [(1, "same words", "b"), (2, "same words", "a"), (3, "same words", "b")]
     sample = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert [r.lang_pred for r in langid.predict(spark.createDataFrame([(9, "same")], "doc_id long, text string"), sample).collect()] == ["b"]
+
+
+def test_no_language_is_lost(spark):
+    """Very many rows of a label without ids, copies of few texts, or under one id: the label still has its sample."""
+    rng = random.Random(9)
+    words = {name: writer(rng, [chr(c) for c in points]) for name, points in (("xx", range(97, 110)), ("yy", range(110, 123)), ("en", range(0x430, 0x450)))}
+    texts = {name: [w(5) for _ in range(3)] for name, w in words.items()}
+    many = [(None, texts["xx"][k % 3], "xx") for k in range(60_000)] + [(7, texts["yy"][0], "yy") for _ in range(20_000)]
+    rows = many + [(1000 + k, words["en"](30), "en") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    sample = dict(langid.learn(df))
+    assert set(sample) == {"xx", "yy", "en"} and all(t in sample["xx"] for t in texts["xx"])
+    asked = spark.createDataFrame([(1, texts["xx"][1]), (2, texts["yy"][0]), (3, words["en"](20))], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(asked, list(sample.items())).collect()} == {1: "xx", 2: "yy", 3: "en"}
+
+
+def test_letters_that_lower_to_several(spark):
+    """A letter is one symbol in samples and in texts, whatever its case gives."""
+    text = "İzmir İstanbul ΣΑΣ ŞİŞLİ"
+    assert langid._letters(text) == "izmir istanbul σασ şişli"
+    sample = [("tr", langid._letters(text)), ("zz", langid._letters("qqq www"))]
+    (row,) = langid.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), sample).collect()
+    assert row.lang_pred == "tr" and row.score > 0.9
