@@ -170,16 +170,17 @@ def dedupe(docs: DataFrame, whole_runs: bool = False) -> DataFrame:
     """``docs`` with ``text`` reduced, and ``n_lines``, ``n_chunks``, ``n_removed_chunks``, ``n_removed_lines`` (which replace columns of these names)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.drop(*COUNTS)
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64(text), "text": text})
+    # the row is nested, so that its columns may have any names
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = keyed.select(F.col("__id").alias("id"), F.col("__th").alias("th"), "text").mapInArrow(_chunk_rows, _ROW)
+    rows = keyed.select("id", "th", "text").mapInArrow(_chunk_rows, _ROW)
     gone = rows.repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2", "id", "th", "number").mapInArrow(_later, "id long, th long, number int")
     if whole_runs:
-        pairs = keyed.select(F.col("__id").alias("id"), F.col("__th").alias("th"), "text").mapInArrow(_pair_rows, _PAIR).repartition(n, "k1", "k2")
+        pairs = keyed.select("id", "th", "text").mapInArrow(_pair_rows, _PAIR).repartition(n, "k1", "k2")
         gone = gone.union(pairs.sortWithinPartitions("k1", "k2", "id", "th", "number").mapInArrow(_later_pairs, "id long, th long, number int"))
-    gone = gone.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("number").alias("__gone"))
+    gone = gone.groupBy("id", "th").agg(F.collect_set("number").alias("gone"))
     own = docs.columns
-    both = keyed.join(gone, ["__id", "__th"], "left").select(*own, "__gone")
+    both = keyed.join(gone, ["id", "th"], "left").select("text", "row", "gone")
 
     def run(batches):
         for whole in batches:
@@ -189,7 +190,7 @@ def dedupe(docs: DataFrame, whole_runs: bool = False) -> DataFrame:
                 raw = buf.tobytes()
                 begin = np.searchsorted(doc, np.arange(b.num_rows + 1))
                 texts, table_ = [], []
-                for i, gone_ in enumerate(b.column("__gone").to_pylist()):
+                for i, gone_ in enumerate(b.column("gone").to_pylist()):
                     s = slice(begin[i], begin[i + 1])
                     out = {k for k in gone_ or () if k >= 0}
                     size = lines[s]
@@ -204,11 +205,11 @@ def dedupe(docs: DataFrame, whole_runs: bool = False) -> DataFrame:
                     kept = np.add.reduceat(stays.astype(np.int64), np.cumsum(size) - size)
                     texts.append(text.decode())
                     table_.append((total, len(size), int((kept == 0).sum()), total - int(stays.sum())))
-                cols = [pa.array(texts, b.schema.field("text").type) if c == "text" else b.column(c) for c in own]
+                cols = [pa.array(texts, b.schema.field("text").type) if c == "text" else x for c, x in zip(own, b.column("row").flatten(), strict=True)]
                 cols += [pa.array([r[k] for r in table_], pa.int64()) for k in range(4)]
                 yield pa.RecordBatch.from_arrays(cols, [*own, *COUNTS])
 
-    schema = both.select(*own, *[F.lit(0).cast("long").alias(c) for c in COUNTS]).schema
+    schema = docs.withColumn("text", text).select(*own, *[F.lit(0).cast("long").alias(c) for c in COUNTS]).schema
     return both.mapInArrow(run, schema)
 
 

@@ -37,3 +37,15 @@ def test_lines_of_whole_runs(spark, odd, small):
     assert by[None, "u\nv\nw"].n_removed_lines == 0 and by[200, rows[0][1]].text == "" and by[202, "u"].text == "u"
     assert by[201, "u\nv"].text == "" and by[201, "v\nw\nx"].text == "x"
     assert all(by[i, t].text == f"own {i}\nend {i}" for i, t in rows[40:120])
+
+
+def test_columns_of_any_name_stay(spark):
+    same = "one line of text\nand another line\nand a third line of it\nand a fourth"
+    rows = [(1, same, 77, "a", 5), (2, same, 78, "b", 6), (2, same, 79, "c", 7), (None, None, 80, "d", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id int, __th string, __gone int")
+    df = df.selectExpr("*", "__id as id", "__th as th", "__gone as row", "doc_id as number", "__id as gone")
+    out = line_dedup.dedupe(df, whole_runs=True)
+    assert out.columns[: len(df.columns)] == df.columns
+    got = sorted((tuple(r[c] for c in df.columns if c != "text") for r in out.collect()), key=repr)
+    assert got == sorted((tuple(r[c] for c in df.columns if c != "text") for r in df.collect()), key=repr)
+    assert {r.text for r in out.filter("doc_id = 2").collect()} != {same}
