@@ -3,9 +3,13 @@
 Each of ``TREES`` trees gives a vector a string of ``BITS`` signs of random projections. A tree is the
 sorted array of these strings: the vectors that share a prefix with a query lie side by side in it, so
 descending to the longest match is a binary search. All trees ascend together, a bit at a time, until the
-stretches that share the query's prefix hold ``want(n)`` vectors in all trees together (a vector counts once
+stretches that share the query's prefix hold enough vectors in all trees together (a vector counts once
 a tree). Only these candidates are scored.
 
+How many are enough is measured: for ``PROBES`` queries the true nearest are found by a scan, and how deep they lie with the query in any tree tells
+what share of them an ascent would reach. The number begins at ``want(n)`` and grows until that share is ``RECALL``; so high dimensions and vectors without structure get more
+candidates than clustered ones.
+
 As Spark jobs: a tree is cut by its strings' first bits into groups of about ``GROUP`` strings, and a group is
 the sorted array of one task. In the first pass the queries meet their group of each tree and count the
 matches at each depth; the counts are summed over the trees, and a query takes the deepest level that holds
@@ -18,8 +22,8 @@ share the first bits are cut into blocks of a bounded size, which each of their
 Equal vectors are one entry of the forest, with their ``k + 1`` smallest ids (no more can be in an answer, as ties
 go to the smaller id), and equal queries are asked once; so a vector that a third of all rows hold costs no more than any other.
 
-Vectors without much structure need many candidates for high recall; ``want`` is the knob. It grows as the number of vectors
-to the power of 0.8, so the share of the table that is scored falls as the table grows.
+``want`` grows as the number of vectors to the power of 0.8, so the share of the table that is scored falls as the table grows. The queries that visit one block are dealt to
+chunks of about ``CHUNK``, each with a copy of the block.
 
 Vectors that are null, zero, or hold nulls or non-finite components take no part. Vectors of different
 lengths are not compared. Rows that repeat an id are one vector, the smallest of them. Rows with a null id are
@@ -44,6 +48,8 @@ TREES, BITS = 48, 32
 GROUP, BLOCK_NUMBERS = 4096, 1 << 20
 #: Candidates that a tree's group hands on, and those that are scored from the original vectors.
 KEEP, ROUGH = 12, 24
+#: Queries whose true nearest are looked for, the share of those that an ascent must reach, and queries of a block in one task.
+PROBES, RECALL, CHUNK = 64, 0.95, 4096
 
 
 def want(n: int) -> int:
@@ -141,8 +147,8 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.select("vid", "v").mapInArrow(run, "vid long, dim int, tree int, key long, unit binary")
 
 
-def _depths(classes: DataFrame, asked: DataFrame, groups: DataFrame, bits: int, enough: int) -> DataFrame:
-    """``vid`` and ``depth``: the deepest level at which the trees hold enough matches of a query."""
+def _totals(classes: DataFrame, asked: DataFrame, groups: DataFrame, bits: int) -> DataFrame:
+    """``vid`` and ``total``: a query's matches in all trees at each level from ``bits`` on."""
     levels = list(range(bits, BITS + 1))
 
     def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -155,8 +161,12 @@ def _depths(classes: DataFrame, asked: DataFrame, groups: DataFrame, bits: int,
         return pd.DataFrame({"vid": right["vid"], "found": pd.Series(list(found), index=right.index, dtype=object)})
 
     own = asked.select("vid", "dim", "tree", "key", F.shiftright("key", BITS - bits).alias("prefix"))
-    met = _sub(_packed(classes, bits, False), groups).groupBy(*_GROUP, "sub").cogroup(_everywhere(own, groups).groupBy(*_GROUP, "sub")).applyInPandas(count, "vid long, found array<long>")
-    total = stash(met.groupBy("vid").agg(F.array(*[F.sum(F.get("found", F.lit(i))) for i in range(len(levels))]).alias("total")), "total")
+    met = _met(_packed(classes, bits, False), own, groups, count, "vid long, found array<long>")
+    return stash(met.groupBy("vid").agg(F.array(*[F.sum(F.get("found", F.lit(i))) for i in range(len(levels))]).alias("total")), "total")
+
+
+def _depths(total: DataFrame, asked: DataFrame, groups: DataFrame, bits: int, enough: int) -> DataFrame:
+    """``vid`` and ``depth``: the deepest level at which the trees hold enough matches of a query."""
     deep = F.array_max(F.transform("total", lambda t, i: F.when(t >= enough, i + bits)))
     found = total.select("vid", deep.alias("depth"))
     if not bits:
@@ -172,15 +182,59 @@ def _depths(classes: DataFrame, asked: DataFrame, groups: DataFrame, bits: int,
     return found.filter("depth is not null").unionByName(high)
 
 
-def _sub(packed: DataFrame, groups: DataFrame) -> DataFrame:
-    """The bundles with ``sub``, their block of a large group."""
-    large = groups.filter("blocks > 1").select(*_GROUP, "blocks")
-    return packed.join(large, _GROUP, "left").withColumn("sub", F.pmod(F.xxhash64("mix"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks", "mix")
+def _met(packed: DataFrame, asked: DataFrame, groups: DataFrame, work, form: str) -> DataFrame:
+    """``work`` on each block of a group (large groups have several) and each chunk of the queries that visit it; queries of groups without vectors go."""
+    visits = asked.groupBy(*_GROUP).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    deal = groups.select(*_GROUP, "blocks").join(visits, _GROUP, "left").na.fill(1, ["chunks"])
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    large = deal.filter("blocks > 1 or chunks > 1")
+    left = packed.join(large, _GROUP, "left").na.fill(1, ["blocks", "chunks"])
+    left = left.withColumn("sub", F.pmod(F.xxhash64("mix"), F.col("blocks")).cast("int")).withColumn("chunk", every("chunks")).drop("blocks", "chunks", "mix")
+    right = asked.join(deal, _GROUP).withColumn("sub", every("blocks")).withColumn("chunk", F.pmod(F.xxhash64("vid"), F.col("chunks")).cast("int")).drop("blocks", "chunks")
+    return left.groupBy(*_GROUP, "sub", "chunk").cogroup(right.groupBy(*_GROUP, "sub", "chunk")).applyInPandas(work, form)
 
 
-def _everywhere(asked: DataFrame, groups: DataFrame) -> DataFrame:
-    """The queries of a group, once for each of its blocks; queries of groups without vectors go."""
-    return asked.join(groups.select(*_GROUP, "blocks"), _GROUP).withColumn("sub", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).drop("blocks")
+def _truly_nearest(classes: DataFrame, probes: list, k: int) -> DataFrame:
+    """``vid``, ``other`` and the other's ``v``: by a scan, the nearest of a few queries (rows of ``vid`` and ``v``)."""
+    by: dict[int, list] = {}
+    for p in probes:
+        by.setdefault(len(p.v), []).append(p)
+    asked = {dim: (np.array([p.vid for p in ps]), units(pa.array([p.v for p in ps], pa.list_(pa.float64())))) for dim, ps in by.items()}
+
+    def run(batches):
+        for whole in batches:
+            for dim, b in _by_length(whole):
+                if dim in asked:
+                    vid, unit = asked[dim]
+                    ids, score = b.column("vid").to_numpy(), unit @ units(b.column("v")).T
+                    score[vid[:, None] == ids[None, :]] = -2
+                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    at, rows = pa.array(best.reshape(-1)), np.repeat(np.arange(len(vid)), best.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(vid[rows]), b.column("vid").take(at), b.column("v").take(at), pa.array(np.take_along_axis(score, best, 1).reshape(-1).astype(np.float64))], ["vid", "other", "v", "score"])
+
+    found = classes.select("vid", "v").mapInArrow(run, "vid long, other long, v array<double>, score double").filter("score > -2")
+    nth = F.row_number().over(Window.partitionBy("vid").orderBy(F.col("score").desc(), "other"))
+    return found.withColumn("nth", nth).filter(F.col("nth") <= k).select("vid", "other", "v")
+
+
+def enough_for(classes: DataFrame, asks: DataFrame, total: DataFrame, bits: int, n: int, k: int) -> int:
+    """How many candidates (counted once a tree) let ``RECALL`` of the probes' nearest be reached: ``want(n)``, or more."""
+    probes = classes.join(asks.select("vid").distinct(), "vid", "left_semi").select("vid", "v").orderBy(F.xxhash64("vid", F.lit("probe")), "vid").limit(PROBES).collect()  # PROBES rows
+    near = _truly_nearest(classes, probes, k).collect() if probes else []  # k rows each
+    own = {p.vid: strings(units(pa.array([p.v], pa.list_(pa.float64()))))[0] for p in probes}
+    asked = [r.vid for r in near]
+    counts = {r.vid: np.array(r.total) for r in total.filter(F.col("vid").isin(list(own))).collect()} if probes else {}
+    reach = []  # the matches at the deepest level at which a tree holds both: fewer than that, and the ascent goes on to there
+    for r, vid in zip(near, asked, strict=True):
+        other = strings(units(pa.array([r.v], pa.list_(pa.float64()))))[0]
+        depth = max(BITS - int(x).bit_length() for x in own[vid] ^ other)
+        held = counts.get(vid)
+        below = held[depth + 1 - bits] if held is not None and bits <= depth + 1 <= BITS else 0
+        reach.append(n * TREES if depth + 1 < bits else int(below) + 1)
+    if not reach:
+        return want(n)
+    reach.sort()
+    return max(want(n), min(n * TREES, reach[min(len(reach) - 1, math.ceil(RECALL * len(reach)) - 1)]))
 
 
 def _scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -222,24 +276,33 @@ def candidates(vectors: DataFrame, is_query, k: int = 5) -> tuple[DataFrame, Dat
     most = F.greatest(F.lit(1024), F.lit(BLOCK_NUMBERS) / F.col("dim"))
     groups = _packed(classes, bits, False).groupBy(*_GROUP).agg(F.sum("n").alias("n")).withColumn("blocks", F.ceil(F.col("n") / most).cast("int"))
     groups = stash(groups, "groups")
-    depths = stash(_depths(classes, asked, groups, bits, want(n)), "depths")
+    total = _totals(classes, asked, groups, bits)
+    depths = stash(_depths(total, asked, groups, bits, enough_for(classes, asks, total, bits, n, k)), "depths")
     placed = asked.join(depths, "vid")
     low = F.expr(f"shiftright(key, {BITS - bits})")
     first = F.when(F.col("depth") >= bits, low).otherwise(F.expr(f"shiftleft(shiftright(key, {BITS} - depth), {bits} - depth)"))
     last = F.when(F.col("depth") >= bits, low).otherwise(first + F.expr(f"shiftleft(1L, {bits} - depth)") - 1)
     placed = placed.withColumn("prefix", F.explode(F.sequence(first, last)))
-    met = _sub(_packed(classes, bits, True), groups).groupBy(*_GROUP, "sub").cogroup(_everywhere(placed, groups).groupBy(*_GROUP, "sub"))
-    found = met.applyInPandas(_scored, "vid long, other long, rough float").groupBy("vid", "other").agg(F.max("rough").alias("rough"))
+    met = _met(_packed(classes, bits, True), placed, groups, _scored, "vid long, other long, rough float")
+    found = met.groupBy("vid", "other").agg(F.max("rough").alias("rough"))
     found = found.withColumn("nth", F.row_number().over(Window.partitionBy("vid").orderBy(F.col("rough").desc(), "other"))).filter(F.col("nth") <= ROUGH)
     out = stash(found.select("vid", "other"), "rough")
-    for df in (base, groups, depths):
+    for df in (base, groups, total, depths):
         discard(df)
     return classes, asks, out
 
 
+def _moderate(v) -> F.Column:
+    """A vector whose squares neither overflow nor vanish: as it is, or (exactly) times a power of two where its largest component is far from 1."""
+    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    power = F.pow(F.lit(2.0), F.least(F.lit(1000.0), F.greatest(F.lit(-1000.0), -F.floor(F.log2(top)).cast("double"))))
+    return F.when(top.between(1e-100, 1e100), v).otherwise(F.zip_with(v, F.array_repeat(power, F.size(v)), lambda x, p: x * p))
+
+
 def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: each query's nearest found by cosine."""
     classes, asks, found = candidates(vectors, is_query, k)
+    classes = classes.withColumn("v", _moderate(F.col("v")))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     pairs = found.join(classes.select(F.col("vid").alias("other"), F.col("v").alias("w"), "ids"), "other").join(classes.select("vid", "v"), "vid")
     pairs = pairs.select("vid", "ids", (dot("v", "w") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("w", "w")))).alias("score"))

@@ -59,7 +59,7 @@ def test_depths_are_those_of_the_forest(spark, monkeypatch):
 
     def depths(*a):
         out = real(*a)
-        kept.append((out.collect(), a[3]))
+        kept.append((out.collect(), a[3], a[4]))
         return out
 
     monkeypatch.setattr(nearest, "_depths", depths)
@@ -75,11 +75,11 @@ def test_depths_are_those_of_the_forest(spark, monkeypatch):
     for i, (vid, _) in enumerate(rows):
         if vid % 50 == 0:
             counts = [((key >> (nearest.BITS - d)) == (key[i] >> (nearest.BITS - d))).sum() for d in range(nearest.BITS + 1)]
-            deepest = max((d for d, c in enumerate(counts) if c >= nearest.want(len(rows))), default=0)
+            deepest = max((d for d, c in enumerate(counts) if c >= kept[0][2]), default=0)
             assert got[vid] == deepest
             share.append(((key >> (nearest.BITS - deepest)) == (key[i] >> (nearest.BITS - deepest))).any(axis=1).mean())
     print("share of candidates", np.mean(share))
-    assert np.mean(share) < 0.75
+    assert np.mean(share) < 0.85 and kept[0][2] >= nearest.want(len(rows))
 
 
 def test_odd_vectors(spark):
@@ -100,3 +100,51 @@ def test_a_vector_that_many_rows_hold(spark):
     exact = brute(rows)
     assert {q: v for q, v in got.items() if q % 3 == 0} == {q: v for q, v in exact.items() if q % 3 == 0}
     assert [v for _, v in got[150]] == [0, 3, 6, 9, 12] and [v for _, v in got[0]] == [3, 6, 9, 12, 15]
+
+
+def test_tiny_and_huge_components(spark):
+    """Vectors far from 1 in size take part with their true cosine, whatever their squares do."""
+    rows = [(0, [1e-170, 0.0, 1e-171]), (1, [1e200, 0.0, 1e199]), (2, [1.0, 0.0, 0.1]), (3, [0.0, 1e-320, 0.0]), (4, [1e308, 1e308, 1e308]), (50, [3e250, 3e249, 0.0]), (100, [5e-324, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): (r.rank, r.score) for r in nearest.search(df, IS_QUERY).collect()}
+    scaled = {i: np.array(v) / max(map(abs, v)) for i, v in rows}
+    assert {q for q, _ in got} == {0, 50, 100}
+    for q in (0, 50, 100):
+        a = scaled[q]
+        want = {j: float(a @ b / np.sqrt((a @ a) * (b @ b))) for j, b in scaled.items() if j != q}
+        for j, (rank, score) in ((j, x) for (k, j), x in got.items() if k == q):
+            assert abs(score - want[j]) < 1e-12
+            assert 1 + sum(w > want[j] + 1e-12 for w in want.values()) <= rank <= sum(w >= want[j] - 1e-12 for w in want.values())
+    assert got[(0, 1)][1] == pytest.approx(1.0) and got[(0, 2)][1] == pytest.approx(1.0)
+
+
+def test_recall_in_many_dimensions(spark, monkeypatch):
+    """The number of candidates follows measured recall: vectors without structure in 384 dimensions need nearly all, clustered ones few."""
+    rng = np.random.default_rng(2)
+    enough = []
+    real = nearest.enough_for
+    monkeypatch.setattr(nearest, "enough_for", lambda *a: enough.append(real(*a)) or enough[-1])
+    plain = rng.standard_normal((3000, 384)).round(3)
+    clustered = (rng.standard_normal((60, 384))[rng.integers(60, size=3000)] + 0.3 * rng.standard_normal((3000, 384))).round(3)
+    for v in (plain, clustered):
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+        got = answers(df)
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        hits = []
+        for q, found in got.items():
+            score = unit @ unit[q]
+            score[q] = -2
+            hits.append(len(set(np.argsort(-score)[:5].tolist()) & {i for _, i in found}) / 5)
+        print("recall", np.mean(hits), "enough", enough[-1])
+        assert np.mean(hits) >= 0.9
+    assert enough[0] > enough[1] == nearest.want(3000)
+
+
+def test_many_queries_of_one_prefix(spark, monkeypatch):
+    """A cluster whose vectors share all bits, queries in it by the hundred: dealt to chunks, each exact."""
+    monkeypatch.setattr(nearest, "CHUNK", 20)
+    rng = np.random.default_rng(3)
+    rows = [(i, (np.array([1.0, 1.0, 1.0]) + 1e-7 * rng.standard_normal(3)).tolist()) for i in range(1500)] + [(10_001 + i, rng.standard_normal(3).tolist()) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.query_id for r in nearest.search(df, "vec_id % 5 = 0").collect()}
+    assert got == {i for i, _ in rows if i % 5 == 0}
