@@ -318,7 +318,9 @@ QUERIES = {
           (SELECT count(*) FROM orders WHERE o_custkey = {OWNER}) AS prompts, (SELECT count(*) FROM events WHERE user_id = {OWNER}) AS events,
           (SELECT CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END * CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) FROM orders WHERE o_custkey = {OWNER}) AS cents FROM a, w""", "reminders")),
     "fixed_amounts": (fixed_amounts, """
-        SELECT l_orderkey, l_linenumber, printf('%.2f', l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS total, printf('%.1f', -(l_extendedprice * (1 - l_discount) * (1 + l_tax)) / 7) AS part FROM lineitem"""),
+        WITH t AS (SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS x FROM lineitem),
+        d AS (SELECT l_orderkey, l_linenumber, CAST(printf('%.20f', x) AS DECIMAL(38, 20)) AS x, CAST(printf('%.20f', -x / 7) AS DECIMAL(38, 20)) AS y FROM t)
+        SELECT l_orderkey, l_linenumber, CAST(round(x, 2) AS DECIMAL(38, 2))::VARCHAR AS total, CAST(round(y, 1) AS DECIMAL(38, 1))::VARCHAR AS part FROM d"""),
     "type_maps": (type_maps, """
         SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS entries, sum(n)::BIGINT AS total, max(n) AS most FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id"""),
     "json_forms": (json_forms, """
