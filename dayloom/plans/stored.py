@@ -26,13 +26,14 @@ PAGE = 100
 # --- the change feed, live ---------------------------------------------------------------------
 
 
-def _streamed(spark, changes, user_id=None, files: int = 8, slack: int = 200):
-    """The rows of a feed that comes as files, two a batch, in which changes stand up to ``slack`` numbers too late or too early."""
+def _streamed(spark, changes, user_id=None, slices: int = 8, slack: int = 200):
+    """The rows of a feed that comes in slices of two files, two slices a batch, in which changes stand up to ``slack`` numbers too late."""
     feed, state, checkpoint = (scratch(spark, name) for name in ("feed", "state", "stream"))
     top = changes.agg(F.max("seq")).first()[0] or 0  # one row
-    place = F.floor((F.col("seq") + F.pmod(F.xxhash64("seq"), F.lit(slack))) * files / (top + slack + 1)).cast("int")
-    changes.repartitionByRange(files, place).write.parquet(feed)
-    cdc.start(cdc.read_changes(spark, feed, changes.schema, 2, user_id), state, checkpoint, lag=2 * top // files + 2 * slack + 2).awaitTermination()
+    place = F.floor((F.col("seq") + F.pmod(F.xxhash64("seq"), F.lit(slack))) * slices / (top + slack + 1)).cast("int")
+    for k in range(slices):  # one after the other: a stream takes files by their time
+        changes.filter(place == k).repartition(2, "seq").write.mode("append").parquet(feed)
+    cdc.start(cdc.read_changes(spark, feed, changes.schema, 4, user_id), state, checkpoint, lag=3 * top // slices + 2 * slack).awaitTermination()
     return cdc.rows(spark, state)
 
 
@@ -216,11 +217,11 @@ QUERIES = {
         SELECT row_number() OVER (ORDER BY made DESC, id)::INTEGER AS nth, id, seq, value FROM l ORDER BY nth LIMIT 50""", "owner_changes")),
     "live_totals": (live_totals, with_views(f"""
         , m AS (SELECT id, seq, op, CAST(round(value * 100) AS BIGINT) AS cents, floor(seq * 4 / (max(seq) OVER () + 1))::INTEGER AS place FROM owner_changes WHERE user_id = {OWNER}),
-        k AS (SELECT m.*, batch FROM m, (SELECT DISTINCT place AS batch FROM m) WHERE place <= batch),
+        k AS (SELECT m.*, batch FROM m JOIN range(4) b(batch) ON place <= batch),
         a AS (SELECT *, max(seq) FILTER (op = 'DELETE') OVER (PARTITION BY batch, id) AS deleted FROM k),
         b AS (SELECT *, min(seq) FILTER (op = 'INSERT') OVER (PARTITION BY batch, id) AS made FROM a WHERE deleted IS NULL OR seq > deleted),
         l AS (SELECT batch, id, max(seq) AS seq, arg_max(cents, seq) AS cents FROM b WHERE seq = made OR (op = 'UPDATE' AND seq > made) GROUP BY batch, id)
-        SELECT k.batch::INTEGER AS batch, count(l.id) AS n, coalesce(sum(l.cents), 0)::BIGINT AS cents, max(l.seq) AS last FROM (SELECT DISTINCT batch FROM k) k LEFT JOIN l USING (batch) GROUP BY k.batch""", "owner_changes")),
+        SELECT k.batch::INTEGER AS batch, count(l.id) AS n, coalesce(sum(l.cents), 0)::BIGINT AS cents, max(l.seq) AS last FROM range(4) k(batch) LEFT JOIN l USING (batch) GROUP BY k.batch""", "owner_changes")),
     "stored_changes": (stored_changes, with_views("""
         , a AS (SELECT id, user_id, CASE WHEN id % 7 <> 3 AND (id % 10 = 9 OR id % 50 = 0) THEN 'saved ' || title ELSE title END AS title, CASE WHEN id % 7 = 3 THEN 10 ELSE energy_scale END AS energy_scale, is_done FROM reminders),
         b AS (SELECT a.id, a.user_id, CASE WHEN a.id % 11 = 5 AND a.id % 2 = 0 THEN r.title ELSE a.title END AS title,

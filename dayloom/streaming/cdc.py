@@ -113,11 +113,11 @@ def start(changes: DataFrame, path: str, checkpoint: str, lag: int | None = None
     def take(table: KeyedTable, notes: dict, batch: DataFrame, n: int) -> bool:
         batch = batch.persist()
         try:
-            final, seen = notes.get("final"), batch.agg(F.max("seq")).first()[0]  # one row
+            final = notes.get("final")
+            seen, late = batch.agg(F.max("seq"), F.count_if(F.col("seq") <= F.lit(final))).first()  # one row
             if seen is None:
                 return False
             on_time = batch if final is None else batch.filter(F.col("seq") > final)
-            late = 0 if final is None else batch.filter(F.col("seq") <= final).count()
             if lag is not None:
                 final = max(seen - lag, seen - lag if final is None else final)
             due = [int(b) for b, (_, _, mark) in table.latest().parts.items() if final is not None and mark is not None and mark <= final]
