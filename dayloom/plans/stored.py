@@ -66,6 +66,18 @@ def live_totals(spark, d):
     return spark.read.parquet(out).select(F.col("batch").cast("int").alias("batch"), "n", "cents", "last")
 
 
+def autosave_stream(spark, d):
+    """Drafts as the editor saves them, periodically and by a stream: half of them twice, and the newer text comes first."""
+    c = T.table(spark, d, "customer", "c_custkey", "c_name", "c_acctbal").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("body"), F.col("c_acctbal").alias("balance"))
+    first = c.withColumn("seq", F.lit(1).cast("long"))
+    again = first.filter("id % 2 = 0").withColumns({"seq": F.lit(2).cast("long"), "body": F.concat("body", F.lit(" saved"))})
+    feed, state, checkpoint = (scratch(spark, name) for name in ("drafts", "saved", "stream"))
+    for drafts in (again, first):
+        drafts.write.mode("append").parquet(feed)
+    cdc.autosave(cdc.read_changes(spark, feed, first.schema, 1), state, checkpoint, availableNow=True).awaitTermination()
+    return cdc.rows(spark, state).select("id", "body", "balance")
+
+
 # --- stored tables -----------------------------------------------------------------------------
 
 
@@ -222,6 +234,7 @@ QUERIES = {
         b AS (SELECT *, min(seq) FILTER (op = 'INSERT') OVER (PARTITION BY batch, id) AS made FROM a WHERE deleted IS NULL OR seq > deleted),
         l AS (SELECT batch, id, max(seq) AS seq, arg_max(cents, seq) AS cents FROM b WHERE seq = made OR (op = 'UPDATE' AND seq > made) GROUP BY batch, id)
         SELECT k.batch::INTEGER AS batch, count(l.id) AS n, coalesce(sum(l.cents), 0)::BIGINT AS cents, max(l.seq) AS last FROM range(4) k(batch) LEFT JOIN l USING (batch) GROUP BY k.batch""", "owner_changes")),
+    "autosave_stream": (autosave_stream, "SELECT c_custkey AS id, c_name || CASE WHEN c_custkey % 2 = 0 THEN ' saved' ELSE '' END AS body, c_acctbal AS balance FROM customer"),
     "stored_changes": (stored_changes, with_views("""
         , a AS (SELECT id, user_id, CASE WHEN id % 7 <> 3 AND (id % 10 = 9 OR id % 50 = 0) THEN 'saved ' || title ELSE title END AS title, CASE WHEN id % 7 = 3 THEN 10 ELSE energy_scale END AS energy_scale, is_done FROM reminders),
         b AS (SELECT a.id, a.user_id, CASE WHEN a.id % 11 = 5 AND a.id % 2 = 0 THEN r.title ELSE a.title END AS title,
