@@ -98,9 +98,6 @@ def clusters(timed: DataFrame) -> DataFrame:
     return fresh.withColumn("cluster", F.sum("_new").over(day.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-_OPEN = "struct<s:int,e:int,col:int>"
-
-
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is worked out once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -110,25 +107,24 @@ def packed(events: DataFrame) -> DataFrame:
     """Columns for the timed events of each owner's day: the first column in which an event overlaps none.
 
     Events are taken by start, the longer first, then by id. The fold sweeps one cluster of an owner's day at a time (each starts
-    again at the first column) and remembers only what is still open at an event's start: starts never fall, so
-    what has ended overlaps no later event. An event that begins later than another's end and before another's start (no length, or an end
-    before its start) takes only those columns whose open events began before its own end.
+    again at the first column) and remembers each column's last event with a length: starts never fall, so no other event of the column can be
+    open then. An event without length (or with its end before its start) closes nothing and leaves its column as it was.
     """
     timed = clusters(clipped(touched_days(events.filter(~is_multi_day()))))
     length = dates.minutes_between(F.col("start"), F.col("end"))
     queue = F.array_sort(F.collect_list(F.struct("s", (-length).alias("neg"), "id", "e")))
-    begin = F.struct(F.array().cast(f"array<{_OPEN}>").alias("open"), F.array().cast("array<int>").alias("cols"))
+    begin = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("last"), F.array().cast("array<int>").alias("cols"))
 
     def place(acc, x):
-        s, e = x["s"].cast("int"), x["e"].cast("int")
+        s, e, last = x["s"].cast("int"), x["e"].cast("int"), acc["last"]
+        own = F.struct(s.alias("s"), e.alias("e"))
 
-        def with_open(open_):
-            taken = F.transform(F.filter(open_, lambda y: y["s"] < e), lambda y: y["col"])
-            free = lambda t: F.array_min(F.array_except(F.sequence(F.lit(0), F.size(t)), t))
-            put = lambda col: F.struct(F.array_append(open_, F.struct(s.alias("s"), e.alias("e"), col.alias("col"))).alias("open"), F.array_append(acc["cols"], col).alias("cols"))
-            return _let(_let(taken, free), put)
+        def put(free):  # the first free column, from 1; 0: none
+            col = F.when(free > 0, free - 1).otherwise(F.size(last)).cast("int")
+            changed = F.concat(F.slice(last, F.lit(1), free - 1), F.array(own), F.slice(last, free + 1, F.size(last)))
+            return F.struct(F.when(free == 0, F.array_append(last, own)).when(e > s, changed).otherwise(last).alias("last"), F.array_append(acc["cols"], col).alias("cols"))
 
-        return _let(F.filter(acc["open"], lambda y: y["e"] > s), with_open)
+        return _let(F.array_position(F.transform(last, lambda y: (y["e"] <= s) | (y["s"] >= e)), F.lit(True)).cast("int"), put)
 
     groups = timed.groupBy("user_id", "day", "cluster").agg(queue.alias("queue"))
     placed = groups.select("user_id", "day", F.explode(F.arrays_zip("queue", F.aggregate("queue", begin, place, lambda acc: acc["cols"]).alias("col"))).alias("x"))
