@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from dayloom.llm.common import pieces, table
+from dayloom.llm.common import frugal, pieces, table
 
 #: Characters of a language's sample, of all samples together, and of a sample at least.
 SAMPLE_CHARS, ALL_CHARS, LEAST_CHARS = 30_000, 2_000_000, 200
-#: Characters of a text that one lane parses.
-STRETCH = 1024
+#: Characters of a text that one lane parses, and bytes of text that a task works on at a time, unless one text is longer.
+STRETCH, PIECE = 1024, 1 << 19
 
 
 def _letters(text: str) -> str:
@@ -152,7 +152,7 @@ def samples(docs: DataFrame, counts: dict[str, int], chars: int, shares: bool =
         if kept is not None:
             yield pa.RecordBatch.from_pandas(kept, preserve_index=False)
 
-    short = marked.mapInArrow(first, "lang string, over int, chance long, text string")
+    short = marked.mapInArrow(frugal(first), "lang string, over int, chance long, text string")
     short = short.groupBy("lang", "text").agg(F.min(F.struct("over", "chance")).alias("x")).select("lang", "x.*", "text")
     by = Window.partitionBy("lang").orderBy("over", "chance", "text")
     before = F.sum(F.length("text")).over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -291,7 +291,7 @@ def predict(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:
         m = built(shared.value)
         names = pa.array([*m.names, "und"])
         for whole in batches:
-            for b in pieces(whole, "text"):
+            for b in pieces(whole, "text", PIECE):
                 texts = b.column("text").fill_null("")
                 n = len(texts)
                 points = np.frombuffer("".join(t + "\0" for t in texts.to_pylist()).encode("utf-32-le"), "<u4")
@@ -317,7 +317,7 @@ def predict(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:
                 best[none], score[none] = len(m.names), 0.0
                 yield pa.RecordBatch.from_arrays([*b.columns, names.take(pa.array(best)), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def held_out() -> F.Column:

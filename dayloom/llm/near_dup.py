@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import SHINGLE_C, discard, flat, join_on, mix, pieces, release, sifted, signed, stash, table, word_hashes
+from dayloom.llm.common import SHINGLE_C, discard, flat, frugal, join_on, mix, pieces, release, sifted, signed, stash, table, word_hashes
 
 WORDS, BUCKETS, BAND_ROWS = 5, 128, 4
 #: Similarity in hundredths.
@@ -143,7 +143,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
                     ["id", "th", "n_shingles", "f1", "f2", "sig"],
                 )
 
-    return docs.mapInArrow(run, "id long, th long, n_shingles long, f1 long, f2 long, sig binary")
+    return docs.mapInArrow(frugal(run), "id long, th long, n_shingles long, f1 long, f2 long, sig binary")
 
 
 def _band_keys(parts: np.ndarray) -> np.ndarray:
@@ -165,7 +165,7 @@ def _bands(nodes: DataFrame) -> DataFrame:
             ids = np.repeat(b.column("doc_id").to_numpy(), n_bands)
             yield pa.RecordBatch.from_arrays([pa.array(signed(keys.reshape(-1))), pa.array(ids, pa.int64())], ["band", "doc_id"])
 
-    return nodes.select("doc_id", "sig").mapInArrow(run, "band long, doc_id long")
+    return nodes.select("doc_id", "sig").mapInArrow(frugal(run), "band long, doc_id long")
 
 
 def _survivors(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
@@ -180,7 +180,7 @@ def _survivors(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame
                 ok, est = hopeful(sa, sb, b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), similarity)
                 yield b.select(["a", "b"]).append_column("est", pa.array(est)).filter(pa.array(ok))
 
-    return both.select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(run, "a long, b long, est double")
+    return both.select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(frugal(run), "a long, b long, est double")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
@@ -201,7 +201,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
                     keep.append(100 * both_in >= similarity * (len(sa) + len(sb) - both_in))
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(frugal(run), "a long, b long")
 
 
 def _settled(cur: DataFrame) -> bool:
@@ -352,7 +352,7 @@ def _across(blocks: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
     parts = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a number of partitions that stays: the work grows with pairs, not with bytes
     dealt = m.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return dealt.mapInArrow(run, "band long, i int, j int, a long, b long")
+    return dealt.mapInArrow(frugal(run), "band long, i int, j int, a long, b long")
 
 
 def _dense_links(dense: DataFrame, blocks: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
@@ -386,7 +386,7 @@ def _dense_links(dense: DataFrame, blocks: DataFrame, texts: DataFrame, similari
 
     own = blocks.join(dense.select("band", "i", "j", F.col("a").alias("doc_id")), ["band", "i", "j", "doc_id"])
     some = texts.join(own.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
-    m = own.join(some.mapInArrow(sets, "doc_id long, shingles binary"), "doc_id")
+    m = own.join(some.mapInArrow(frugal(sets), "doc_id long, shingles binary"), "doc_id")
     return m.groupBy("band", "i", "j").applyInPandas(run, "a long, b long")
 
 
