@@ -34,7 +34,7 @@ def _after_delete(changes: DataFrame) -> DataFrame:
 
 def fold(changes: DataFrame, made: bool = False) -> DataFrame:
     """The rows that remain: ``id``, ``seq`` (of the change that gave the values), and the value columns; with ``made`` also the number of the insert."""
-    values = [c for c in changes.columns if c not in ("id", "seq", "op")]
+    values = [c for c in changes.columns if c not in ("id", "seq", "op", "_due")]
     c = _after_delete(changes).filter(F.col("_deleted").isNull() | (F.col("seq") > F.col("_deleted")))
     c = c.withColumn("_made", F.min(F.when(F.col("op") == "INSERT", F.col("seq"))).over(Window.partitionBy("id")))
     c = c.filter((F.col("seq") == F.col("_made")) | ((F.col("op") == "UPDATE") & (F.col("seq") > F.col("_made"))))
