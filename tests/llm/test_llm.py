@@ -219,6 +219,18 @@ def test_url_parts(spark):
     assert {r.url: (r.host, r.path) for r in url_filter.split_url(df).collect()} == urls
 
 
+def test_rules_say_what_the_contract_says(spark, tmp_path):
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://example.com/en/1": ("com/en/", "block"), "http://www.example.com/en/71": ("example.com/en/7", "allow"),
+        "http://a.net/de/8": ("net/de/", "allow"), "http://Example.NET/de/9": ("net/de/", "allow"), "http://spam.a.net/de/1": ("net/de/", "allow"),
+        "http://example.net/de/8": ("example.net/de/8", "block"), "http://m.example.net/de/85?q": ("example.net/de/8", "block"), "http://anexample.net/de/8": ("net/de/", "allow"),
+        "http://a.org/es/": ("org/es/", "block"), "http://a.org/en/": (None, "allow"), "http://spam.a.net/en/": (None, "block"), None: (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    urls = list(want)
+    assert {urls[r.page_id]: (r.rule, r.verdict) for r in url_filter.op5(spark, str(tmp_path)).collect()} == want
+
+
 # --- mixing
 
 
