@@ -107,20 +107,30 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, s
     return out, parts.select("doc_id", "text_hash", F.col("pos").alias("copy"), "lo", "hi")
 
 
+def _keyed(df: DataFrame, *more) -> DataFrame:
+    """A document's key in columns that are never null, so that joins and groups deal rows alike."""
+    doc_id = F.col("doc_id").cast("long")
+    return df.select(F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("no_id"), *more)
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: whole copies of a document, and one of its partly taken words."""
+    """The mix itself, with the columns of ``docs``: whole copies of a document, and one of its partly taken words.
+
+    Texts are dealt by their key once: all that follows reads this one exchange, as its joins and groups have just these keys.
+    """
     taken, parts = mix(docs, **options)
-    key = ["doc_id", "text_hash"]
+    key = ["id", "no_id", "text_hash"]
     # the row is nested, so that its columns may have any names
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    keyed = _keyed(docs, F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     # equal rows lie side by side in a line and take alike in whole passes
-    whole = taken.groupBy(*key).agg(F.max("passes").alias("passes"))
-    full = join_on(keyed, whole, key).filter("passes > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int")))).select("row.*")
-    cut = parts.groupBy(*key, "copy").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("cuts"))
+    whole = _keyed(taken, "text_hash", "passes").groupBy(*key).agg(F.max("passes").alias("passes"))
+    full = keyed.join(whole, key).filter("passes > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int")))).select("row.*")
+    cut = _keyed(parts, "text_hash", "copy", "lo", "hi").groupBy(*key, "copy").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("cuts"))
     words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD_RE), F.lit(0))
-    text = F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice(words, (c["lo"] + 1).cast("int"), (c["hi"] - c["lo"]).cast("int")))), " ")
-    one = join_on(keyed, cut.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    some = join_on(one, cut, key).withColumn("cut_text", text)
+    # the words stand in an array of one element, so that they are found once, not once a cut
+    text = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice(w, (c["lo"] + 1).cast("int"), (c["hi"] - c["lo"]).cast("int")))), " "))[0]
+    one = keyed.join(cut.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    some = one.join(cut, key).withColumn("cut_text", text)
     put = {"text": F.col("cut_text"), "n_chars": F.length("cut_text").cast("long")}
     return full.unionByName(some.select(*[put[c].alias(c) if c in put else F.col("row").getField(c).alias(c) for c in docs.columns]))
 

@@ -264,6 +264,22 @@ def test_mix_keeps_columns_of_any_name(spark, odd):
     assert sorted(map(str, mixing.mixed_documents(docs, shard_words=300, block_words=8).collect())) == sorted(map(str, rows))
 
 
+def test_mix_deals_texts_once(spark, small, odd):
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # the plan of large tables
+    before = {c: spark.conf.get(c) for c in off}
+    try:
+        for c, v in off.items():
+            spark.conf.set(c, v)
+        for docs in (small, odd):
+            mixed = mixing.mixed_documents(docs)
+            plan = mixed._sc._jvm.PythonSQLUtils.explainString(mixed._jdf.queryExecution(), "formatted")
+            dealt = re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]$", plan, re.M)
+            assert len(dealt) > 1 and sum(bool(re.search(r"\brow#", x)) for x in dealt) == 1
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
 # --- decontamination
 
 
